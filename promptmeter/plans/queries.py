@@ -1,0 +1,11 @@
+"""Registered queries of the analytics operators, and equivalent DuckDB SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
