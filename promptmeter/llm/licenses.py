@@ -12,7 +12,9 @@ paragraph of one line and a text of one paragraph are reported once, as the smal
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,29 @@ def bounds(size: int, t: float) -> tuple[int, int]:
     return int(-(-size * t // (2 - t))), int(size * (2 - t) / t)
 
 
+def clue_words(templates: dict[str, tuple[list[str], int]], t: float) -> list[str]:
+    """Words of which every passage that reaches the threshold holds one.
+
+    A passage needs t (size + least passage) / 2 of a template's d distinct bigrams, so one of any d - that + 1 of
+    them. Words are chosen, long ones first, until so many bigrams of each template have one of them.
+    """
+    open_bags = {k: (set(b), len(set(b)) - math.ceil(t * (len(b) + lo) / 2 - 1e-9) + 1) for k, (b, lo) in templates.items()}
+    words = sorted({w for b, _ in open_bags.values() for pair in b for w in pair.split()})
+    chosen: list[str] = []
+
+    def lacking(bag: set[str], need: int) -> int:
+        return max(0, need - sum(any(w in chosen for w in pair.split()) for pair in bag))
+
+    while any(lacking(*x) for x in open_bags.values()):
+
+        def gain(word: str) -> float:
+            covered = (min(lacking(bag, need), sum(word in pair.split() and not any(w in chosen for w in pair.split()) for pair in bag)) for bag, need in open_bags.values())
+            return sum(covered) * len(word) ** 2
+
+        chosen.append(max(words, key=gain))
+    return chosen
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, unit, unit_no, license, dice of every passage that reaches the threshold, with its best template."""
     sizes = {k: (bigrams(v), bounds(len(bigrams(v)), threshold)) for k, v in sorted(templates.items())}
@@ -60,29 +85,31 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         for k, (b, (lo, hi)) in sizes.items()
     ])
     least, most = min(lo for _, (lo, _) in sizes.values()), max(hi for _, (_, hi) in sizes.values())
-    clean = F.regexp_replace(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n")
-    texts = docs.where("text is not null").select("doc_id", F.trim(clean).alias("clean"))
+    lower, clues = F.lower("text"), clue_words({k: (b, lo) for k, (b, (lo, _)) in sizes.items()}, threshold)
+    hinted = lambda c: reduce(lambda a, b: a | b, (c.contains(w) for w in clues))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(lower, r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n"))
+    # a generator is evaluated once, however often its column is used after it
+    texts = docs.where(hinted(lower)).select("doc_id", F.explode(F.array(clean)).alias("clean"))
     units = {"line": F.split("clean", "\n"), "paragraph": F.split("clean", "\n\n+"), "text": F.array("clean")}
     blank = {"line": lambda x: F.lit(True), "paragraph": lambda x: x.contains("\n"), "text": lambda x: x.contains("\n\n")}
 
     def passages(unit: str):
         every = F.transform(units[unit], lambda x, i: F.struct(F.lit(unit).alias("unit"), (i + 1).cast("long").alias("unit_no"), x.alias("p")))
-        # a passage of n bigrams has at least 2 n + 1 characters and n blanks
-        return F.filter(every, lambda s: (F.length(s["p"]) > 2 * least) & blank[unit](s["p"]))
+        # a passage of n bigrams has at least 2 n + 1 characters
+        return F.filter(every, lambda s: (F.length(s["p"]) > 2 * least) & blank[unit](s["p"]) & hinted(s["p"]))
 
-    rows = texts.select("doc_id", F.explode(F.concat(*map(passages, units))).alias("s")).select("doc_id", "s.unit", "s.unit_no", F.regexp_replace(F.trim("s.p"), "\n+", " ").alias("p"))
-    n = F.length("p") - F.length(F.translate("p", " ", ""))
-    rows = rows.withColumn("n", n).where((F.col("n") >= least) & (F.col("n") <= most))
-    rows = rows.withColumn("w", F.split("p", " "))
+    rows = texts.select("doc_id", F.explode(F.concat(*map(passages, units))).alias("s"))
+    rows = rows.select("doc_id", "s.unit", "s.unit_no", F.explode(F.array(F.split(F.regexp_replace(F.trim("s.p"), "\n+", " "), " "))).alias("w"))
+    rows = rows.withColumn("n", F.size("w") - 1).where(F.col("n").between(least, most))
     pairs = F.array_distinct(F.transform(F.slice("w", 1, F.col("n")), lambda x, i: F.concat_ws(" ", x, F.element_at("w", i + 2))))
-    rows = rows.withColumn("b", pairs)
+    rows = rows.select("doc_id", "unit", "unit_no", "n", F.explode(F.array(pairs)).alias("b"))
     able = F.filter(known, lambda t: (F.col("n") >= t["lo"]) & (F.col("n") <= t["hi"]))
     scored = F.transform(able, lambda t: F.struct((F.size(F.array_intersect(t["set"], F.col("b"))) * 2.0 / (t["size"] + F.col("n"))).alias("dice"), t["license"].alias("license")))
-    rows = rows.withColumn("hits", F.filter(scored, lambda x: x["dice"] >= threshold)).where(F.size("hits") > 0)
-    best = F.array_max(F.transform("hits", lambda x: x["dice"]))
-    rows = rows.withColumn("dice", best)
-    name = F.array_min(F.transform(F.filter("hits", lambda x: x["dice"] == F.col("dice")), lambda x: x["license"]))
-    return rows.select("doc_id", "unit", "unit_no", name.alias("license"), "dice")
+    hits = F.filter(scored, lambda x: x["dice"] >= threshold)
+    # the greatest coefficient, and of equal ones the first name
+    best = F.array_min(F.transform(hits, lambda x: F.struct((-x["dice"]).alias("less"), x["license"].alias("license"))))
+    rows = rows.select("doc_id", "unit", "unit_no", F.explode(F.array(best)).alias("best")).where("best is not null")
+    return rows.select("doc_id", "unit", "unit_no", "best.license", (-F.col("best.less")).alias("dice"))
 
 
 def oracle_sql(docs: str = "documents", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
