@@ -63,7 +63,7 @@ class WordIds:
     such parts go straight to the merges, past the normaliser, which would leave them as they are.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, words: int = 100_000, stems: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,8 +75,8 @@ class WordIds:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level vocabularies write as themselves
         other = iter(range(256, 512))
         self.chars = [chr(b) if b in plain else chr(next(other)) for b in range(256)]
-        self.words = _Recent(self._word, most).young
-        self.stems = _Recent(self._part, most).young
+        self.words = _Recent(self._word, words).young
+        self.stems = _Recent(self._part, stems).young
         self.cut = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~][!-/:-@\\[-`{-~]*)?").fullmatch
 
     def _part(self, part: bytes) -> bytes:
