@@ -7,8 +7,8 @@ documents that share a band are candidates, and every link is confirmed on the f
 With 6 values a band and 50 bands a pair at similarity 0.8 is missed with probability (1 - 0.8^6)^50 = 2e-7.
 
 How buckets of any size stay whole without listing their pairs: equal sets are one class with one
-representative; in each bucket every representative is tested against one hub; buckets whose members have not
-all met in one component get other hubs; at last the remaining pairs between different components of a bucket
+representative; in each bucket every representative is tested against one hub; while many pairs lie between the
+components of buckets, these get other hubs; at last the remaining pairs between different components of a bucket
 are tested one by one. Components come from alternating stars.
 
 Edge cases: a text without words (or null) has an empty set and is linked with nothing; rows with one doc_id are
@@ -58,7 +58,6 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _signatures_udf(width: int):
-    @F.pandas_udf("n long, d1 long, d2 long, bands array<long>")
     def signatures(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             rows = []
@@ -72,17 +71,16 @@ def _signatures_udf(width: int):
                     rows.append((0, 0, 0, None))
             yield pd.DataFrame(rows, columns=["n", "d1", "d2", "bands"])
 
-    return signatures
+    return column_udf("n long, d1 long, d2 long, bands array<long>", pinned=True)(signatures)
 
 
 def _sets_udf(width: int):
-    @F.pandas_udf("binary")
     def sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         """The upper 40 bits of the shingle hashes, sorted: 5 bytes each."""
         for s in texts:
             yield pd.Series([(shingles(t, width) >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() for t in s])
 
-    return sets
+    return column_udf("binary", pinned=True)(sets)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -91,7 +89,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return wide.view(">u8").ravel()
 
 
-@column_udf("long")
+@column_udf("long", pinned=True)
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     out, last, last_set = [], None, None
     for x, y in zip(a, b, strict=True):
@@ -152,10 +150,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
     pairs = _pairs(bucket.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("hub.doc_id").alias("v"), F.col("hub.n").alias("nv")), None, percent)
     tested, links = pairs, written(_verified(docs, pairs, width, percent).union(again), "minmax-links")
     labels = written(components(links, "minmax-stars"), "minmax-labels")
-    k = 0
+    size, k = bucket.count(), 0
     while k <= hub_rounds:
         k += 1
         named = bucket.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        named = written(named, "minmax-named")
+        if k <= hub_rounds:
+            parts = named.groupBy("band", "c").count().groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("nn"))
+            across = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
+            k = hub_rounds + 1 if across <= 4 * size else k
         mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("doc_id", "n", "c"), F.xxhash64(F.lit(k), "doc_id")).alias("h")).where("c0 < c1")
         if k <= hub_rounds:
             rows = named.join(mixed, "band").where("c <> h.c").select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("h.doc_id").alias("v"), F.col("h.n").alias("nv"))

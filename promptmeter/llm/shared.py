@@ -117,12 +117,16 @@ def count_words(text_col):
     return F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def column_udf(schema: str):
-    """A pandas UDF that is built when it is used, so that modules import without a session."""
+def column_udf(schema: str, pinned: bool = False):
+    """A pandas UDF that is built when it is used, so that modules import without a session.
+
+    A pinned one stays where it is written: the optimizer would run others below a join, on rows that the join drops.
+    """
 
     def wrap(fn):
         def call(*cols):
-            return F.pandas_udf(fn, schema)(*cols)
+            udf = F.pandas_udf(fn, schema)
+            return (udf.asNondeterministic() if pinned else udf)(*cols)
 
         call.__doc__ = fn.__doc__
         return call
