@@ -4,7 +4,7 @@ Each of `perms` hash functions gives two values of a signature, the minimum and
 shingles, so a signature of 2 x perms values costs perms evaluations a shingle. The values are dealt to bands;
 documents that share a band are candidates, and every link is confirmed on the full shingle sets.
 
-With 6 values a band and 50 bands a pair at similarity 0.8 is missed with probability (1 - 0.8^6)^50 = 2e-7.
+With 8 values a band and 75 bands a pair at similarity 0.8 is missed with probability (1 - 0.8^8)^75 = 1e-6.
 
 How buckets of any size stay whole without listing their pairs: equal sets are one class with one
 representative; in each bucket every representative is tested against one hub; while many pairs lie between the
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import column_udf, discard, mix64, shingles, written
 
-PERMS, ROWS = 150, 6
+PERMS, ROWS = 300, 8
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -136,7 +136,7 @@ def _pairs(rows: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame
     return written(rows if tested is None else rows.join(tested, ["u", "v"], "left_anti"), "minmax-pairs")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sig = written(docs.withColumn("s", _signatures_udf(width)("text")).select("doc_id", "s.*"), "minmax-sig")
