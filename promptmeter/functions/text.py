@@ -125,4 +125,6 @@ def pico(cost) -> Column:
 
 def fixed_point(cost) -> Column:
     """US dollars with twelve decimals, as text."""
-    return (pico(cost) / F.lit(10**12).cast("decimal(13,0)")).cast("decimal(38,12)").cast("string")
+    digits = pico(cost).cast("string")
+    digits = F.when(F.length(digits) < 13, F.lpad(digits, 13, "0")).otherwise(digits)
+    return F.concat(digits.substr(F.lit(1), F.length(digits) - 12), F.lit("."), F.right(digits, F.lit(12)))

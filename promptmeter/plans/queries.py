@@ -2,10 +2,360 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import bpe, models, pretok, text
+from ..operators import costs, fairness, focus, governance, usage
+from ..sources.files import lines_of, ranks_of, read_tiktoken
+from ..sources.pricing import packaged_prices, prices_sql, staleness
+
+GPT_4O = (5.00, 20.00, None)
+FLASH = (0.15, 0.60, 3.50)
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir):
+    """Documents as prompt files."""
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"), "lang", "source")
+
+
+_DOCS = "(SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text AS content, lang, source FROM documents)"
+_WORDS = "CAST(len(regexp_extract_all({0}, '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT)"
+
+
+def _tokens(x):
+    n = _WORDS.format(x)
+    return f"(CASE WHEN {n} = 0 AND strlen({x}) > 0 THEN 1 ELSE {n} END)"
+
+
+_COST = "coalesce(input_price, 0.0::DOUBLE) / 1000000.0::DOUBLE * {0} + coalesce(output_price, 0.0::DOUBLE) / 1000000.0::DOUBLE * greatest({1} - {2}, 0) + (CASE WHEN coalesce(reasoning_price, 0.0::DOUBLE) > 0 THEN reasoning_price ELSE coalesce(output_price, 0.0::DOUBLE) END) / 1000000.0::DOUBLE * {2}"
+_PICO = "CAST(round(({0}) * 1000000000000.0::DOUBLE) AS DECIMAL(38,0))"
+_ENC = "CASE " + " ".join(f"WHEN starts_with({{0}}, '{p}') THEN '{e}'" for p, e in models.PREFIXES) + " END"
+
+
+def q_models(spark, sf_dir):
+    return models.models_list(packaged_prices(spark))
+
+
+def q_cost_by_lang_model(spark, sf_dir):
+    """Tokens and cost of each language at every model's price; texts are counted once, then priced by language."""
+    by_lang = fairness.by_language(_docs(spark, sf_dir)).select("lang", "tokens")
+    prices = packaged_prices(spark)
+    priced = by_lang.withColumn("model", F.explode(F.array(*[F.lit(p[0]) for p in _price_rows()])))
+    rows = costs.with_prices(priced, prices)
+    zero = F.lit(0).cast("long")
+    return rows.select("lang", "model", "tokens", text.pico(models.token_cost("tokens", zero, zero)).cast("long").alias("cost_pico"))
+
+
+def _price_rows():
+    from ..sources.pricing import PRICES
+
+    return PRICES
+
+
+def q_encoding_map(spark, sf_dir):
+    return packaged_prices(spark).select("model", models.encoding_of("model").alias("encoding"))
+
+
+def q_slug(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumn("r", text.resource_id(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("id-"), F.col("doc_id").cast("string"))), "path"))
+    return d.select("doc_id", text.slugify("path").alias("slug"), F.col("r.value").alias("resource_id"), F.col("r.source").alias("id_source"))
+
+
+def q_words_modes(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", *(text.word_count("content", m).alias(m) for m in ("whitespace", "character", "heuristic")), text.words_narrow("content").alias("narrow"), text.byte_length("content").alias("bytes"), text.approximate_tokens("content").alias("tokens"))
+
+
+def q_report(spark, sf_dir):
+    return costs.report(_docs(spark, sf_dir), 5.0)
+
+
+_LINE = """CASE event_id % 8
+ WHEN 0 THEN '{"usage":{"prompt_tokens":' || CAST(event_id % 1000 AS {s}) || ',"completion_tokens":' || CAST(event_id % 300 AS {s}) || ',"completion_tokens_details":{"reasoning_tokens":' || CAST(event_id % 50 AS {s}) || '}}}'
+ WHEN 1 THEN '{"input_tokens":' || CAST(event_id % 777 AS {s}) || ',"output_tokens":' || CAST(event_id % 99 AS {s}) || ',"id":"x"}'
+ WHEN 2 THEN '{"content":"some words about ' || event_type || '","n":1}'
+ WHEN 3 THEN '{"other":[1,2]}'
+ WHEN 4 THEN event_type || ' not json ' || CAST(event_id AS {s})
+ WHEN 5 THEN '[1, 2, 3]'
+ WHEN 6 THEN ''
+ ELSE '{"input_tokens":-5,"output_tokens":1}' END"""
+
+
+def _lines(spark, sf_dir):
+    """Usage lines made from events."""
+    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), F.expr(_LINE.replace("{s}", "STRING")).alias("value"))
+
+
+_LINES = f"(SELECT event_id AS line_no, event_id % 8 AS k, event_type, {_LINE.replace('{s}', 'VARCHAR')} AS value FROM events)"
+_FLASH = "(SELECT 0.15::DOUBLE AS input_price, 0.60::DOUBLE AS output_price, 3.50::DOUBLE AS reasoning_price)"
+
+
+def _classified_sql(mode: str) -> str:
+    """What the lines mean, read with DuckDB's own JSON functions."""
+    num = lambda p: f"TRY_CAST(json_extract_string(j, '{p}') AS BIGINT)"
+    bad = f"'{{\"error\":true}}'" if mode == "json_field" else None
+    text_ = "coalesce(CASE WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.content') = 'VARCHAR' THEN json_extract_string(j, '$.content') END, value)"
+    error = "NOT v" if bad else "false"
+    return f"""(SELECT line_no, CASE WHEN is_log THEN 'usage' WHEN {error} THEN 'error' WHEN json_type(j) = 'OBJECT' THEN 'object' ELSE 'raw' END AS kind,
+ CASE WHEN is_log THEN coalesce({num('$.usage.prompt_tokens')}, {num('$.input_tokens')}, 0) WHEN {error} THEN 0 ELSE {_tokens(text_)} END AS input,
+ CASE WHEN is_log THEN coalesce({num('$.usage.completion_tokens')}, {num('$.output_tokens')}, 0) ELSE 0 END AS output,
+ CASE WHEN is_log THEN coalesce({num('$.usage.completion_tokens_details.reasoning_tokens')}, 0) ELSE 0 END AS reasoning,
+ CASE WHEN {error} THEN 'Processing error' END AS error
+ FROM (SELECT *, v AND coalesce(json_type(j) = 'OBJECT' AND (json_type(j, '$.usage') = 'OBJECT' OR {num('$.input_tokens')} >= 0 OR ({num('$.output_tokens')} >= 0 AND coalesce({num('$.input_tokens')} >= 0, true))), false) AS is_log
+  FROM (SELECT *, json_valid(value) AS v, CASE WHEN json_valid(value) THEN value::JSON END AS j FROM {_LINES})))"""
+
+
+def _usage_sql(mode="auto"):
+    return f"(SELECT c.*, CASE WHEN error IS NULL THEN {_COST.format('input', 'output', 'reasoning')} END AS cost FROM {_classified_sql(mode)} c, {_FLASH})"
+
+
+def q_pipe_mixed(spark, sf_dir):
+    rows = usage.with_cost(usage.classify(_lines(spark, sf_dir)), FLASH)
+    return rows.select("line_no", "kind", "input", "output", "reasoning", text.pico("cost").cast("long").alias("cost_pico"), "error")
+
+
+def q_pipe_json_field(spark, sf_dir):
+    rows = usage.with_cost(usage.classify(_lines(spark, sf_dir), "json_field"), FLASH)
+    return rows.select("line_no", "kind", "input", "output", "reasoning", text.pico("cost").cast("long").alias("cost_pico"), "error")
+
+
+def q_pipe_output(spark, sf_dir):
+    """The output lines themselves."""
+    rows = usage.with_cost(usage.classify(_lines(spark, sf_dir)), FLASH)
+    return rows.select("line_no", usage.as_json(rows).alias("json"))
+
+
+def q_pipe_summary(spark, sf_dir):
+    rows = usage.with_cost(usage.classify(_lines(spark, sf_dir), "json_field"), FLASH)
+    return usage.totals(rows).select("lines", "tokens", F.col("cost_pico").cast("long").alias("cost_pico"))
+
+
+def q_usage_cost(spark, sf_dir):
+    """Conversations as usage: what users write is input, what assistants write output."""
+    c = _t(spark, sf_dir, "conversations").withColumn("n", text.approximate_tokens("text"))
+    rows = c.groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "assistant", 0).otherwise(F.col("n"))).alias("input"), F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0)).alias("output"))
+    rows = rows.withColumn("reasoning", F.lit(0).cast("long")).withColumn("error", F.lit(None).cast("string"))
+    return usage.with_cost(rows, GPT_4O).select("conv_id", "input", "output", text.pico("cost").cast("long").alias("cost_pico"))
+
+
+def q_quota_tokens(spark, sf_dir):
+    rows = usage.with_cost(usage.classify(_lines(spark, sf_dir), "json_field"), FLASH)
+    return usage.until_quota(rows, "line_no", max_tokens=100_000, slice_rows=1000).select("line_no", "kind", "input", "output")
+
+
+def q_quota_cost(spark, sf_dir):
+    rows = usage.with_cost(usage.classify(_lines(spark, sf_dir), "json_field"), FLASH)
+    return usage.until_quota(rows, "line_no", max_cost_pico=50_000_000_000, slice_rows=1000).select("line_no", "kind", "input", "output")
+
+
+def _quota_sql(total, limit):
+    each = "CASE WHEN error IS NULL THEN input + output ELSE 0 END" if total == "tokens" else f"CASE WHEN error IS NULL THEN {_PICO.format('cost')} ELSE 0 END"
+    return f"""SELECT line_no, kind, input, output FROM (SELECT *, coalesce(sum({each}) OVER b, 0) AS prior, coalesce(sum(CASE WHEN error IS NULL THEN 1 ELSE 0 END) OVER b, 0) AS good
+ FROM {_usage_sql('json_field')} WINDOW b AS (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE good = 0 OR prior < {limit}"""
+
+
+def _prompts(spark, sf_dir):
+    """Documents as prompts, with models dealt by id."""
+    names = F.array(*[F.lit(p[0]) for p in _price_rows()], F.lit("unknown-model"))
+    return _docs(spark, sf_dir).withColumn("model", F.element_at(names, (F.col("doc_id") % 14 + 1).cast("int")))
+
+
+_PROMPTS = f"(SELECT *, [{', '.join(repr(p[0]) for p in _price_rows())}, 'unknown-model'][CAST(doc_id % 14 + 1 AS INT)] AS model FROM {_DOCS})"
+ALLOWED = ["gpt-4o", "gpt-4o-mini", "claude-sonnet-4"]
+
+
+def q_policy_violations(spark, sf_dir):
+    return governance.violations(_prompts(spark, sf_dir), ALLOWED).groupBy("model").agg(F.count("*").alias("prompts"), F.min("path").alias("first_path"))
+
+
+def q_budget_gate(spark, sf_dir):
+    rows = costs.text_costs(_prompts(spark, sf_dir), packaged_prices(spark), missing="zero").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+    sums = rows.groupBy("source").agg(F.count("*").alias("prompts"), F.sum(text.pico("cost")).alias("pico"))
+    over = governance.budget(F.col("pico").cast("double"), 2e10)
+    return sums.select("source", "prompts", F.col("pico").cast("long").alias("total_pico"), F.when(over["over"], governance.OVER_BUDGET).otherwise(governance.OK).alias("exit_code"))
+
+
+def q_estimate(spark, sf_dir):
+    """Cost of each prompt, models without price left out."""
+    rows = costs.text_costs(_prompts(spark, sf_dir), packaged_prices(spark), missing="drop")
+    return rows.select(text.slugify("path").alias("resource_id"), "model", "tokens", text.pico("cost").cast("long").alias("cost_pico"))
+
+
+def _snapshots(spark, sf_dir):
+    rows = costs.text_costs(_prompts(spark, sf_dir).withColumn("model", F.lit("gpt-4o")), packaged_prices(spark))
+    rows = rows.select("doc_id", "path", F.col("path").alias("resource_id"), text.pico("cost").alias("cost"))
+    base = rows.where("doc_id % 5 <> 0").select("path", "resource_id", "cost")
+    head = rows.where("doc_id % 7 <> 0").select("path", "resource_id", (F.col("cost") * F.when(F.col("doc_id") % 3 == 0, 2).when(F.col("doc_id") % 3 == 1, 1).otherwise(0)).alias("cost"))
+    return governance.deltas(base, head)
+
+
+_COSTED = f"(SELECT doc_id, path, {_PICO.format('5.0::DOUBLE / 1000000.0::DOUBLE * ' + _tokens('content') + ' + 20.0::DOUBLE / 1000000.0::DOUBLE * 0 + 20.0::DOUBLE / 1000000.0::DOUBLE * 0')} AS cost FROM {_DOCS})"
+_DELTAS = f"""(SELECT path, path AS resource_id, a AS base_cost, b AS head_cost, coalesce(b, 0) - coalesce(a, 0) AS delta,
+ CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN b > a THEN 'increased' WHEN b < a THEN 'decreased' ELSE 'unchanged' END AS status
+ FROM (SELECT path, cost AS a FROM {_COSTED} WHERE doc_id % 5 <> 0) FULL JOIN (SELECT path, cost * CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS b FROM {_COSTED} WHERE doc_id % 7 <> 0) USING (path))"""
+
+
+def q_delta(spark, sf_dir):
+    return governance.ordered(_snapshots(spark, sf_dir)).select("resource_id", "path", F.col("base_cost").cast("long").alias("base_pico"), F.col("head_cost").cast("long").alias("head_pico"), F.col("delta").cast("long").alias("delta_pico"), "status", "priority")
+
+
+def q_delta_sum(spark, sf_dir):
+    s = _snapshots(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.sum("delta").alias("d"))
+    return s.select("status", "n", F.col("d").cast("long").alias("delta_pico"), governance.gate(F.lit(0.0), None, F.col("d"), True).alias("exit_code"))
+
+
+def q_focus(spark, sf_dir):
+    rows = costs.with_prices(_prompts(spark, sf_dir).withColumn("tokens_in", text.approximate_tokens("content")), packaged_prices(spark), "drop")
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumn("tokens_out", zero).withColumn("cost", models.token_cost("tokens_in", zero, zero))
+    rows = rows.withColumn("resource_id", text.slugify("path")).withColumn("tags", F.create_map(F.lit("team"), F.col("source"), F.lit("provider"), F.lit("me")))
+    out = focus.export(rows, F.lit("2025-01-31"), cache_hit_ratio=0.5)
+    return out.withColumn("BilledCost", F.col("BilledCost").cast("string"))
+
+
+def _focus_sql():
+    cost = _COST.format(_tokens("content"), "0", "0")
+    return f"""SELECT '2025-01-31' AS "ChargePeriodStart", 'Usage' AS "ChargeCategory", billed AS "BilledCost", slug AS "ResourceId", 'LLM' AS "ResourceType", '' AS "RegionId", 'AI and Machine Learning' AS "ServiceCategory", 'LLM Inference' AS "ServiceName", tokens AS "ConsumedQuantity", 'Tokens' AS "ConsumedUnit",
+ '{{"cost-type":"estimate","effective-cost":"' || billed || '","focus-target":"vantage","focus-version":"1.0","model":"' || model || '","provider":"' || provider || '","resource-name":"' || path || '","team":"' || source || '","x-cache-hit-ratio":0.50,"x-content-hash":"todo-hash","x-token-count-input":' || CAST(tokens AS VARCHAR) || ',"x-token-count-output":0}}' AS "Tags"
+ FROM (SELECT *, CAST(CAST(pico / 1000000000000 AS BIGINT) AS VARCHAR) AS x, CAST(pico // 1000000000000 AS VARCHAR) || '.' || lpad(CAST(pico % 1000000000000 AS VARCHAR), 12, '0') AS billed FROM (
+  SELECT d.*, p.provider, {_tokens('content')} AS tokens, CAST({_PICO.format(cost)} AS BIGINT) AS pico, {_SLUG.format('path')} AS slug FROM {_PROMPTS} d JOIN ({prices_sql()}) p USING (model)))"""
+
+
+_SLUG = "regexp_replace(lower(regexp_replace(regexp_replace({0}, '[^a-zA-Z0-9/\\\\._ ]', '', 'g'), '[/\\\\._ ]+', '-', 'g')), '^-+|-+$', '', 'g')"
+
+
+def q_fairness_lang(spark, sf_dir):
+    return fairness.with_parity(fairness.by_language(_docs(spark, sf_dir), n_words=text.words("content"), tokens=text.byte_length("content")), "en")
+
+
+_LANGS = f"""(SELECT *, f / (SELECT f FROM l WHERE lang = 'en') AS parity_ratio FROM l)"""
+_WITH_LANGS = f"WITH l AS (SELECT lang, CAST(sum(strlen(content)) AS BIGINT) AS tokens, CAST(sum({_WORDS.format('content')}) AS BIGINT) AS words, CAST(sum(strlen(content)) AS BIGINT) AS bytes, sum(strlen(content))::DOUBLE / sum({_WORDS.format('content')}) AS f FROM {_DOCS} GROUP BY lang)"
+
+
+def q_gini(spark, sf_dir):
+    return fairness.gini(q_fairness_lang(spark, sf_dir), "parity_ratio").select(F.round("gini", 9).alias("gini"))
+
+
+def q_worst(spark, sf_dir):
+    return fairness.worst(q_fairness_lang(spark, sf_dir), "en").select("worst_lang", F.round("max_parity", 9).alias("max_parity"))
+
+
+def q_special_tokens(spark, sf_dir):
+    odd = F.concat(F.substring("content", 1, 20), F.element_at(F.array(F.lit("<|endoftext|>"), F.lit("<|fim_prefix|> <|endoftext|>"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int")))
+    d = _docs(spark, sf_dir).withColumn("t", odd)
+    listed = list(bpe.CL100K.specials)
+    return d.select("doc_id", text.first_special("t", listed).alias("strict"), text.first_special("t", listed, "allow_list", ["<|endoftext|>"]).alias("listed"))
+
+
+def _special_sql(tokens):
+    at = lambda t: f"CASE WHEN contains(t, '{t}') THEN strlen(substr(t, 1, instr(t, '{t}') - 1)) END"
+    return f"CAST(coalesce({', '.join(map(at, tokens))}) AS BIGINT)"
+
+
+def q_pretok_spaces(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(pretok.pieces_sql("content", "spaces")).cast("long").alias("pieces"))
+
+
+def q_pretok_cl100k(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", pretok.piece_count("content", "cl100k").alias("pieces"))
+
+
+def q_pretok_o200k(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", pretok.piece_count("content", "o200k").alias("pieces"))
+
+
+def q_top_pieces(spark, sf_dir):
+    return costs.top_pieces(_docs(spark, sf_dir), pretok.pieces_sql("content", "spaces"), 20)
+
+
+def _public_encoding(spark):
+    import public_tokenizers
+
+    return bpe.Encoding("byte_bpe_50k", "cl100k", ranks_of(read_tiktoken(spark, "file://" + public_tokenizers.path("byte_bpe_50k.tiktoken"))))
+
+
+def q_bpe_count(spark, sf_dir):
+    """Exact token counts with a public vocabulary."""
+    d = _docs(spark, sf_dir).withColumn("c", bpe.count_tokens("content", _public_encoding(spark)))
+    return d.select("doc_id", "c.tokens", "c.approximate")
+
+
+def q_bpe_encode(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", bpe.encode("content", _public_encoding(spark)).alias("ids"))
+
+
+def q_content_hash(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.content_hash("content").alias("hash"))
+
+
+def q_lines(spark, sf_dir):
+    return lines_of(_docs(spark, sf_dir), "doc_id", "content").groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(text.approximate_tokens("value")).alias("tokens"))
+
+
+def q_percentiles(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("v", F.floor(F.coalesce("value", F.lit(0.0))).cast("long"))
+    return costs.latency_stats(e, "v", "event_type")
+
+
+def q_staleness(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 200) * 86400).alias("until"))
+    return e.groupBy(staleness(F.col("until"), 150 * 86400).alias("state")).agg(F.count("*").alias("n"))
+
+
+def q_resolve_models(spark, sf_dir):
+    names = ["gpt-4o", "openai/gpt-4o", "openai/new", "meta/llama-3-8b", "mistral/large", "other/x", "gpt-3.5-turbo", "plain"]
+    d = spark.sql("SELECT explode(array(" + ", ".join(f"'{n}'" for n in names) + ")) AS model")
+    return d.select("model", models.resolve_model("model").alias("r")).select("model", "r.provider", "r.name", "r.encoding", "r.family", "r.accuracy")
+
+
+def q_cost_rollup(spark, sf_dir):
+    rows = costs.with_prices(_prompts(spark, sf_dir).withColumn("tokens", text.approximate_tokens("content")), packaged_prices(spark), "drop")
+    zero = F.lit(0).cast("long")
+    return rows.withColumn("pico", text.pico(models.token_cost("tokens", zero, zero))).rollup("provider", "model").agg(F.sum("tokens").alias("tokens"), F.sum("pico").cast("long").alias("cost_pico"))
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, f in globals().items() if k.startswith("q_")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    p = prices_sql()
+    usage_columns = f"line_no, kind, input, output, reasoning, CAST({_PICO.format('cost')} AS BIGINT) AS cost_pico, error"
+    cjk = "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{20000}-\\x{2A6DF}\\x{F900}-\\x{FAFF}\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{AC00}-\\x{D7AF}]"
+    words, specials = _WORDS.format("content"), list(bpe.CL100K.specials)
+    costed = _COST.format(_tokens("content"), "0", "0")
+    return {
+        "q_models": f"SELECT model AS id, provider, {_ENC.format('model')} AS encoding, input_price, output_price, reasoning_price FROM ({p})",
+        "q_encoding_map": f"SELECT model, {_ENC.format('model')} AS encoding FROM ({p})",
+        "q_cost_by_lang_model": f"SELECT lang, model, tokens, CAST({_PICO.format(_COST.format('tokens', '0', '0'))} AS BIGINT) AS cost_pico FROM (SELECT lang, CAST(sum({_tokens('content')}) AS BIGINT) AS tokens FROM {_DOCS} WHERE lang IS NOT NULL GROUP BY lang), ({p})",
+        "q_slug": f"SELECT doc_id, {_SLUG.format('path')} AS slug, CASE WHEN doc_id % 3 = 0 THEN 'id-' || CAST(doc_id AS VARCHAR) ELSE {_SLUG.format('path')} END AS resource_id, CASE WHEN doc_id % 3 = 0 THEN 'manifest' ELSE 'path_slug' END AS id_source FROM {_DOCS}",
+        "q_words_modes": f"SELECT doc_id, {words} AS whitespace, length(content) AS character, CASE WHEN length(content) > 0 AND (length(content) - length(regexp_replace(content, '{cjk}', '', 'g'))) * 100 // greatest(length(content), 1) > 30 THEN length(content) ELSE {words} END AS heuristic, CAST(len(regexp_extract_all(content, '[^ \\t\\n\\r]+')) AS BIGINT) AS narrow, CAST(strlen(content) AS BIGINT) AS bytes, {_tokens('content')} AS tokens FROM {_DOCS}",
+        "q_report": f"SELECT bytes, tokens, words, 5.0::DOUBLE / 1000000.0::DOUBLE * tokens AS cost, tokens::DOUBLE / words AS fertility, bytes::DOUBLE / tokens AS bytes_per_token FROM (SELECT CAST(sum(strlen(content)) AS BIGINT) AS bytes, CAST(sum({_tokens('content')}) AS BIGINT) AS tokens, CAST(sum({words}) AS BIGINT) AS words FROM {_DOCS})",
+        "q_pipe_mixed": f"SELECT {usage_columns} FROM {_usage_sql()}",
+        "q_pipe_json_field": f"SELECT {usage_columns} FROM {_usage_sql('json_field')}",
+        "q_pipe_summary": f"SELECT count(*) AS lines, CAST(sum(input + output) AS BIGINT) AS tokens, CAST(sum({_PICO.format('cost')}) AS BIGINT) AS cost_pico FROM {_usage_sql('json_field')} WHERE error IS NULL",
+        "q_usage_cost": f"SELECT conv_id, input, output, CAST({_PICO.format('5.0::DOUBLE / 1000000.0::DOUBLE * input + 20.0::DOUBLE / 1000000.0::DOUBLE * output + 20.0::DOUBLE / 1000000.0::DOUBLE * 0')} AS BIGINT) AS cost_pico FROM (SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE {_tokens('text')} END) AS BIGINT) AS input, CAST(sum(CASE WHEN role = 'assistant' THEN {_tokens('text')} ELSE 0 END) AS BIGINT) AS output FROM conversations GROUP BY conv_id)",
+        "q_quota_tokens": _quota_sql("tokens", 100_000),
+        "q_quota_cost": _quota_sql("cost", 50_000_000_000),
+        "q_policy_violations": f"SELECT model, count(*) AS prompts, min(path) AS first_path FROM {_PROMPTS} WHERE model NOT IN ({', '.join(map(repr, ALLOWED))}) GROUP BY model",
+        "q_budget_gate": f"SELECT source, count(*) AS prompts, CAST(sum(c) AS BIGINT) AS total_pico, CAST(CASE WHEN sum(c) > 20000000000 THEN 2 ELSE 0 END AS INT) AS exit_code FROM (SELECT source, coalesce({_PICO.format(costed)}, 0) AS c FROM {_PROMPTS} d LEFT JOIN ({p}) USING (model)) GROUP BY source",
+        "q_estimate": f"SELECT {_SLUG.format('path')} AS resource_id, model, {_tokens('content')} AS tokens, CAST({_PICO.format(costed)} AS BIGINT) AS cost_pico FROM {_PROMPTS} JOIN ({p}) USING (model)",
+        "q_delta": f"SELECT resource_id, path, CAST(base_cost AS BIGINT) AS base_pico, CAST(head_cost AS BIGINT) AS head_pico, CAST(delta AS BIGINT) AS delta_pico, status, CAST(list_position(['increased', 'added', 'decreased', 'removed', 'unchanged'], status) AS INT) AS priority FROM {_DELTAS}",
+        "q_delta_sum": f"SELECT status, count(*) AS n, CAST(sum(delta) AS BIGINT) AS delta_pico, CAST(CASE WHEN sum(delta) > 0 THEN 2 ELSE 0 END AS INT) AS exit_code FROM {_DELTAS} GROUP BY status",
+        "q_focus": _focus_sql(),
+        "q_fairness_lang": f"{_WITH_LANGS} SELECT lang, tokens, words, bytes, f AS fertility, parity_ratio FROM {_LANGS}",
+        "q_gini": f"{_WITH_LANGS}, r AS (SELECT parity_ratio AS x FROM {_LANGS}) SELECT round((SELECT sum(abs(a.x - b.x)) FROM r a, r b) / (2.0::DOUBLE * count(*) * count(*) * avg(x)), 9) AS gini FROM r",
+        "q_worst": f"{_WITH_LANGS} SELECT lang AS worst_lang, round(parity_ratio, 9) AS max_parity FROM {_LANGS} ORDER BY parity_ratio DESC, lang LIMIT 1",
+        "q_special_tokens": f"SELECT doc_id, {_special_sql(specials)} AS strict, {_special_sql(specials[1:])} AS listed FROM (SELECT doc_id, substr(content, 1, 20) || ['<|endoftext|>', '<|fim_prefix|> <|endoftext|>', ''][CAST(doc_id % 3 + 1 AS INT)] AS t FROM {_DOCS})",
+        "q_pretok_spaces": f"SELECT doc_id, CAST(len(regexp_extract_all(content, '[^ ]+| ')) AS BIGINT) AS pieces FROM {_DOCS}",
+        "q_top_pieces": f"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, '[^ ]+| ')) AS piece FROM {_DOCS}) GROUP BY piece ORDER BY n DESC, piece LIMIT 20",
+        "q_lines": f"SELECT doc_id, count(*) AS lines, CAST(sum({_tokens('value')}) AS BIGINT) AS tokens FROM (SELECT doc_id, unnest(string_split(content, chr(10))) AS value FROM {_DOCS}) GROUP BY doc_id",
+        "q_percentiles": "SELECT event_type, count(*) AS n, min(v) AS min, max(v) AS max, CAST(sum(v) // count(*) AS BIGINT) AS mean, CAST(floor(sqrt(floor(sum((v - m) * (v - m)) / count(*)))) AS BIGINT) AS stddev, " + ", ".join(f"list_sort(list(v))[CAST(least(count(*) * {k} // 100, count(*) - 1) AS INT) + 1] AS p{k}" for k in (50, 95, 99)) + " FROM (SELECT *, CAST(sum(v) OVER (PARTITION BY event_type) // count(*) OVER (PARTITION BY event_type) AS BIGINT) AS m FROM (SELECT event_type, CAST(floor(coalesce(value, 0)) AS BIGINT) AS v FROM events)) GROUP BY event_type",
+        "q_staleness": "SELECT CASE WHEN u = 0 OR 150 > u + 90 THEN 'Critical' WHEN 150 > u THEN 'Warning' ELSE 'Fresh' END AS state, count(*) AS n FROM (SELECT event_id % 200 AS u FROM events) GROUP BY 1",
+        "q_resolve_models": "SELECT * FROM (VALUES ('gpt-4o', 'openai', 'gpt-4o', 'o200k_base', 'gpt4', 'exact'), ('openai/gpt-4o', 'openai', 'gpt-4o', 'o200k_base', 'gpt4', 'exact'), ('openai/new', 'openai', 'new', NULL, 'gpt4', 'heuristic'), ('meta/llama-3-8b', 'meta', 'llama-3-8b', NULL, 'llama3', 'heuristic'), ('mistral/large', 'mistral', 'large', NULL, 'mistral', 'heuristic'), ('other/x', 'generic', 'x', NULL, 'unknown', 'heuristic'), ('gpt-3.5-turbo', 'openai', 'gpt-3.5-turbo', 'cl100k_base', 'gpt3', 'exact'), ('plain', 'generic', 'plain', NULL, 'unknown', 'heuristic')) t(model, provider, name, encoding, family, accuracy)",
+        "q_cost_rollup": f"SELECT provider, model, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(c) AS BIGINT) AS cost_pico FROM (SELECT provider, model, {_tokens('content')} AS tokens, {_PICO.format(costed)} AS c FROM {_PROMPTS} JOIN ({p}) USING (model)) GROUP BY ROLLUP (provider, model)",
+    }
