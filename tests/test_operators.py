@@ -134,8 +134,8 @@ def test_files(tmp_path, spark):
 
 def test_stream_stops_at_its_quota(tmp_path, spark):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "x.txt").write_text("\n".join(["a b c"] * 10))
-    rows = cost_stream(spark.readStream.text(str(tmp_path / "in")), FLASH).withColumn("n", F.monotonically_increasing_id())
+    (tmp_path / "in" / "x.txt").write_text("\n".join(f"{k} b c" for k in range(10)))
+    rows = cost_stream(spark.readStream.text(str(tmp_path / "in")), FLASH).withColumn("n", F.split("value", " ")[0].cast("long"))
     taken = []
     sink = QuotaSink(lambda d, e: taken.extend(d.collect()), "n", max_tokens=7)
     query = rows.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
