@@ -38,7 +38,8 @@ def with_chunks(docs: DataFrame, *keep: str, divisor: int = DIVISOR) -> DataFram
 def repeats(docs: DataFrame, min_chars: int = MIN_CHARS, divisor: int = DIVISOR) -> DataFrame:
     """doc_id, k, hash of the chunks to remove."""
     known = with_chunks(docs.where("doc_id is not null and text like '%\n%'"), "doc_id", divisor=divisor)
-    chunks = known.select("doc_id", F.posexplode("__chunks").alias("k", "c")).where((F.col("c.lines") > 1) & (F.length("c.text") >= min_chars))
+    # the outer form, because the optimizer would copy the input of the other into a filter below, lambda into lambda
+    chunks = known.select("doc_id", F.posexplode_outer("__chunks").alias("k", "c")).where((F.col("c.lines") > 1) & (F.length("c.text") >= min_chars))
     chunks = chunks.select("doc_id", "k", F.xxhash64("c.text").alias("hash"), F.col("c.text").alias("chunk"))
     often = written(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "chunks-often")
     places = written(chunks.join(often, "hash", "left_semi"), "chunks-places")
@@ -54,13 +55,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, divisor: int = DIVI
     touched = with_chunks(own.where("__gone is not null"), *docs.columns, "__gone", divisor=divisor)
     kept = F.filter(F.transform("__chunks", lambda c, k: F.struct(c["text"].alias("text"), c["lines"].alias("lines"), F.array_contains("__gone", F.struct(k.alias("k"), F.xxhash64(c["text"]).alias("hash"))).alias("gone"))), lambda c: ~c["gone"])
     touched = touched.withColumn("__kept", kept)
-    cleaned = touched.select(
+    number = lambda of: F.aggregate(of, F.lit(0), lambda s, c: s + c["lines"])
+    cleaned = F.struct(
         *[F.array_join(F.transform("__kept", lambda c: c["text"]), "\n").alias("text") if c.lower() == "text" else F.col(c) for c in docs.columns],
         (F.size("__chunks") - F.size("__kept")).cast("long").alias("__removed"),
-        (F.aggregate("__chunks", F.lit(0), lambda s, c: s + c["lines"]) - F.aggregate("__kept", F.lit(0), lambda s, c: s + c["lines"])).cast("long").alias("__lines_removed"),
+        (number("__chunks") - number("__kept")).cast("long").alias("__lines_removed"),
     )
+    cleaned = touched.select(F.explode_outer(F.array(cleaned)).alias("__row")).select("__row.*")
     none = F.lit(0).cast("long")
-    return cleaned.union(own.where("__gone is null").select(*docs.columns, none, none))
+    return cleaned.union(own.where("__gone is null").select(*docs.columns, none.alias("__removed"), none.alias("__lines_removed")))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
