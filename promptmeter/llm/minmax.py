@@ -7,8 +7,9 @@ documents that share a band are candidates, and every link is confirmed on the f
 With 8 values a band and 75 bands a pair at similarity 0.8 is missed with probability (1 - 0.8^8)^75 = 1e-6.
 
 How buckets of any size stay whole without listing their pairs: equal sets are one class with one
-representative; in each bucket every representative is tested against one hub; while many pairs lie between the
-components of buckets, these get other hubs; at last the remaining pairs between different components of a bucket
+representative; in each bucket of the first bands every representative is tested against one hub; of all bands,
+buckets whose documents are one component by then are settled; while many pairs lie between the components of the
+others, these get other hubs; at last the remaining pairs between different components of a bucket
 are tested one by one. Components come from alternating stars.
 
 Edge cases: a text without words (or null) has an empty set and is linked with nothing; rows with one doc_id are
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .shared import column_udf, discard, mix64, shingles, written
 
 PERMS, ROWS = 300, 8
+#: Bands that the first round looks at.
+FIRST_BANDS = 8
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -136,6 +139,11 @@ def _pairs(rows: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame
     return written(rows if tested is None else rows.join(tested, ["u", "v"], "left_anti"), "minmax-pairs")
 
 
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with c, the component of doc_id so far."""
+    return rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -144,17 +152,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
     classes = written(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "minmax-classes")
     member = full.join(classes, ["n", "d1", "d2"])
     again = member.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u > v").select("u", "v")
-    rows = member.where("doc_id = rep").select("doc_id", "n", F.explode("bands").alias("band"))
+    reps = written(member.where("doc_id = rep").select("doc_id", "n", "bands"), "minmax-reps")
+    # First a few bands alone: they join most copies, whose buckets then need no second look.
+    rows = reps.select("doc_id", "n", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"))
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "n")).alias("hub")).where("first < last")
-    bucket = written(rows.join(shared.select("band", "hub"), "band"), "minmax-buckets")
-    pairs = _pairs(bucket.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("hub.doc_id").alias("v"), F.col("hub.n").alias("nv")), None, percent)
+    rows = rows.join(shared.select("band", "hub"), "band")
+    pairs = _pairs(rows.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("hub.doc_id").alias("v"), F.col("hub.n").alias("nv")), None, percent)
     tested, links = pairs, written(_verified(docs, pairs, width, percent).union(again), "minmax-links")
     labels = written(components(links, "minmax-stars"), "minmax-labels")
+    # Then all bands, of which only the buckets with several components count; those of one component are settled.
+    rows = _named(reps, labels).select("doc_id", "n", "c", F.explode("bands").alias("band"))
+    several = rows.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
+    bucket = written(rows.join(several, "band").select("band", "doc_id", "n"), "minmax-buckets")
     size, k = bucket.count(), 0
     while k <= hub_rounds:
         k += 1
-        named = bucket.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-        named = written(named, "minmax-named")
+        named = written(_named(bucket, labels), "minmax-named")
         if k <= hub_rounds:
             parts = named.groupBy("band", "c").count().groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("nn"))
             across = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
