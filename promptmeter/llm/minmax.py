@@ -5,7 +5,7 @@ shingles, so a signature of 2 x perms values costs perms evaluations a shingle.
 documents that share a band are candidates, and every link is confirmed on the full shingle sets.
 
 With 10 values a band and 100 bands a pair at similarity 0.8 is missed with probability (1 - 0.8^10)^100 = 1e-5 if
-bands were independent; as they share values, 600 in all, with about 5e-5.
+bands were independent; as they share values, 600 in all, with about 8e-5 (simulated).
 
 How buckets of any size stay whole without listing their pairs: equal sets are one class with one
 representative; in each bucket of the first bands every representative is tested against one hub; of all bands,
