@@ -13,6 +13,11 @@ buckets whose documents are one component by then are settled; while many pairs
 others, these get other hubs; at last the remaining pairs between different components of a bucket
 are tested one by one. Components come from alternating stars.
 
+Before full sets are compared, pairs that cannot reach the similarity are left out by odd sketches: bit i of a
+sketch is the parity of the number of shingles whose hash falls on i, so two sketches differ in at most as many bits
+as the sets have shingles not in common. That bound is exact: it costs no link. Long sets differ in more shingles
+than a sketch has bits; their pairs all go on to the full comparison.
+
 Edge cases: a text without words (or null) has an empty set and is linked with nothing; rows with one doc_id are
 one node; rows whose doc_id is null are linked with nothing, have a null component and are kept.
 """
@@ -31,6 +36,8 @@ from .shared import column_udf, discard, mix64, shingles, written
 PERMS, ROWS, BANDS = 300, 10, 100
 #: Bands that the first round looks at.
 FIRST_BANDS = 8
+#: 64-bit words of an odd sketch.
+SKETCH = 16
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -61,6 +68,21 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return mix64((rows * _MULT).sum(1, dtype=np.uint64) + np.arange(len(rows), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of hashes that fall on each of SKETCH x 64 bits."""
+    bits = 64 * SKETCH
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_reach(su, sv, n, percent: int):
+    """Whether sets of n shingles together may reach the similarity: d shingles not in common need d (100 + percent) <= n (100 - percent)."""
+    differ = F.lit(0)
+    for k in range(SKETCH):
+        differ = differ + F.bit_count(su[k].bitwiseXOR(sv[k]))
+    return differ * (100 + percent) <= n * (100 - percent)
+
+
 def _signatures_udf(width: int):
     def signatures(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
@@ -70,12 +92,12 @@ def _signatures_udf(width: int):
                 if len(h):
                     weight = mix64(np.arange(1, len(h) + 1, dtype=np.uint64))
                     d = np.array([(h * (weight | np.uint64(1))).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(h + weight))]).view(np.int64)
-                    rows.append((len(h), int(d[0]), int(d[1]), bands(signature(h))))
+                    rows.append((len(h), int(d[0]), int(d[1]), bands(signature(h)), odd_sketch(h)))
                 else:
-                    rows.append((0, 0, 0, None))
-            yield pd.DataFrame(rows, columns=["n", "d1", "d2", "bands"])
+                    rows.append((0, 0, 0, None, None))
+            yield pd.DataFrame(rows, columns=["n", "d1", "d2", "bands", "sketch"])
 
-    return column_udf("n long, d1 long, d2 long, bands array<long>", pinned=True)(signatures)
+    return column_udf("n long, d1 long, d2 long, bands array<long>, sketch array<long>", pinned=True)(signatures)
 
 
 def _sets_udf(width: int):
@@ -134,7 +156,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
 
 
 def _pairs(rows: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
-    """Distinct pairs u > v of rows (u, nu, v, nv) whose set sizes allow the similarity and that are not tested yet."""
+    """Distinct pairs u > v of rows (u, nu, v, nv) whose set sizes, and sketches (su, sv) where there are any, allow the similarity and that are not tested yet."""
+    if "su" in rows.columns:
+        rows = rows.where(_may_reach(F.col("su"), F.col("sv"), F.col("nu") + F.col("nv"), percent))
     rows = rows.where((F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (F.col("u") != F.col("v")))
     rows = rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     return written(rows if tested is None else rows.join(tested, ["u", "v"], "left_anti"), "minmax-pairs")
@@ -153,7 +177,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
     classes = written(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "minmax-classes")
     member = full.join(classes, ["n", "d1", "d2"])
     again = member.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u > v").select("u", "v")
-    reps = written(member.where("doc_id = rep").select("doc_id", "n", "bands"), "minmax-reps")
+    reps = written(member.where("doc_id = rep").select("doc_id", "n", "bands", "sketch"), "minmax-reps")
     # First a few bands alone: they join most copies, whose buckets then need no second look.
     rows = reps.select("doc_id", "n", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"))
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "n")).alias("hub")).where("first < last")
@@ -164,7 +188,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
     # Then all bands, of which only the buckets with several components count; those of one component are settled.
     rows = _named(reps, labels).select("doc_id", "n", "c", F.explode("bands").alias("band"))
     several = rows.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
-    bucket = written(rows.join(several, "band").select("band", "doc_id", "n"), "minmax-buckets")
+    bucket = rows.join(several, "band").select("band", "doc_id", "n").join(reps.select("doc_id", "sketch"), "doc_id")
+    bucket = written(bucket.select("band", "doc_id", "n", "sketch"), "minmax-buckets")
     size, k = bucket.count(), 0
     while k <= hub_rounds:
         k += 1
@@ -173,12 +198,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
             parts = named.groupBy("band", "c").count().groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("nn"))
             across = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
             k = hub_rounds + 1 if across <= 4 * size else k
-        mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("doc_id", "n", "c"), F.xxhash64(F.lit(k), "doc_id")).alias("h")).where("c0 < c1")
+        mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("doc_id", "n", "c", "sketch"), F.xxhash64(F.lit(k), "doc_id")).alias("h")).where("c0 < c1")
         if k <= hub_rounds:
-            rows = named.join(mixed, "band").where("c <> h.c").select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("h.doc_id").alias("v"), F.col("h.n").alias("nv"))
+            rows = named.join(mixed, "band").where("c <> h.c").select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("h.doc_id").alias("v"), F.col("h.n").alias("nv"), F.col("sketch").alias("su"), F.col("h.sketch").alias("sv"))
         else:  # the pairs that are left between components of one bucket
             rest = named.join(mixed.select("band"), "band", "left_semi")
-            a, b = (rest.select("band", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "uv")
+            a, b = (rest.select("band", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
             rows = a.join(b, "band").where("cu > cv")
         pairs = _pairs(rows, tested, percent)
         found = written(_verified(docs, pairs, width, percent), "minmax-links")

@@ -322,3 +322,20 @@ def test_no_rows_are_lost_by_the_stages(spark):
         d = stage(spark, d, "")
         assert name == "packing" or d.columns == docs(spark, []).columns
     check_packing(d.collect())
+
+
+def test_odd_sketches_never_leave_out_a_link(spark):
+    rng = np.random.default_rng(5)
+    rows, truth = [], []
+    for k in range(120):
+        n = int(rng.integers(1, 400))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        keep = rng.random(n) < rng.uniform(0.6, 1.0)
+        b = np.concatenate((a[keep], rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 2)), dtype=np.uint64)))
+        common, total = int(keep.sum()), len(a) + len(b)
+        rows.append((k, minmax.odd_sketch(a).tolist(), minmax.odd_sketch(b).tolist(), total))
+        truth.append(100 * common >= 80 * (total - common))
+    df = spark.createDataFrame(rows, "k int, su array<long>, sv array<long>, n long")
+    passed = {r.k for r in df.where(minmax._may_reach(F.col("su"), F.col("sv"), F.col("n"), 80)).select("k").collect()}
+    assert passed >= {k for k, linked in enumerate(truth) if linked}
+    assert 0 < sum(truth) <= len(passed) < len(rows)
