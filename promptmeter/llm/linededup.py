@@ -1,11 +1,14 @@
-"""Line deduplication by content-defined chunks of lines, in DataFrame operations only.
+"""Line deduplication by runs of lines, in DataFrame operations only.
 
-A rolling hash over the hashes of the last two lines decides whether a chunk ends after a line, so boundaries
-move with their lines. Chunks of two lines and more with at least `min_chars` characters that stand in several
-places are removed everywhere but in the first (by doc_id and place); equal hashes count only if the bytes are equal.
+A line is known if it stands at an earlier place (by doc_id, text hash and line number) together with the line before
+or after it, or, with at least `min_chars` characters, alone. Every line and every two adjacent lines are compared, so
+no boundary can fall badly: a repeated passage is known from its first line to its last. Runs of known lines with at
+least `min_chars` characters (line ends included) are removed. The first place of a line is never removed.
+
+Lines are compared by 64-bit hashes; a hash with which lines of different bytes are found is never used.
 
 Edge cases: a null text stays null and an empty one empty; rows whose doc_id is null are left as they are;
-rows with one doc_id and one text are one place; a text whose chunks are all removed becomes empty.
+rows with one doc_id and one text are one place; a text whose lines are all removed becomes empty.
 """
 
 from __future__ import annotations
@@ -18,56 +21,48 @@ from .shared import written
 DIVISOR, MIN_CHARS = 2, 40
 
 
-def with_chunks(docs: DataFrame, *keep: str, divisor: int = DIVISOR) -> DataFrame:
-    """`keep` columns and __chunks: array of struct(text, lines) that joins to the text."""
-    out = docs.select(*keep, F.split("text", "\n").alias("__lines"))
-    line_hash = F.transform("__lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
-    out = out.withColumn("__h", line_hash)
-    pairs = F.arrays_zip(F.col("__h").alias("a"), F.concat(F.array(F.lit(0).cast("long")), F.col("__h")).alias("b"))
-    ends = F.transform(F.slice(pairs, 1, F.size("__h")), lambda x: (x["a"] + x["b"] * 31) % divisor == 0)
-    out = out.withColumn("__ends", ends)
-    numbered = F.transform("__ends", lambda x, i: F.struct(x.alias("end"), (i + 1).alias("at")))
-    stops = F.transform(F.filter(numbered, lambda x: x["end"] | (x["at"] == F.size("__lines"))), lambda x: x["at"])
-    out = out.withColumn("__stops", stops)
-    ranges = F.arrays_zip(F.col("__stops").alias("to"), F.concat(F.array(F.lit(0)), F.col("__stops")).alias("of"))
-    out = out.withColumn("__ranges", F.slice(ranges, 1, F.size("__stops")))
-    chunks = F.transform("__ranges", lambda x: F.struct(F.array_join(F.slice(F.col("__lines"), x["of"] + 1, x["to"] - x["of"]), "\n").alias("text"), (x["to"] - x["of"]).alias("lines")))
-    return out.select(*keep, chunks.alias("__chunks"))
-
-
-def repeats(docs: DataFrame, min_chars: int = MIN_CHARS, divisor: int = DIVISOR) -> DataFrame:
-    """doc_id, k, hash of the chunks to remove."""
-    known = with_chunks(docs.where("doc_id is not null and text like '%\n%'"), "doc_id", divisor=divisor)
-    # the outer form, because the optimizer would copy the input of the other into a filter below, lambda into lambda
-    chunks = known.select("doc_id", F.posexplode_outer("__chunks").alias("k", "c")).where((F.col("c.lines") > 1) & (F.length("c.text") >= min_chars))
-    chunks = chunks.select("doc_id", "k", F.xxhash64("c.text").alias("hash"), F.col("c.text").alias("chunk"))
-    often = written(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "chunks-often")
-    places = written(chunks.join(often, "hash", "left_semi"), "chunks-places")
-    first = places.groupBy("hash", "chunk").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.max(F.struct("doc_id", "k")).alias("last")).where("first < last")
-    found = places.join(first.select("hash", "chunk", "first"), ["hash", "chunk"]).where(F.struct("doc_id", "k") != F.col("first"))
-    return found.select("doc_id", "k", "hash")
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, divisor: int = DIVISOR) -> DataFrame:
-    """All columns of docs with the text cleaned, and __removed (chunks) and __lines_removed."""
-    gone = repeats(docs, min_chars, divisor).groupBy("doc_id").agg(F.collect_set(F.struct("k", "hash")).alias("__gone")).withColumnRenamed("doc_id", "__id")
-    own = docs.join(gone, docs["doc_id"] == gone["__id"], "left").drop("__id")
-    touched = with_chunks(own.where("__gone is not null"), *docs.columns, "__gone", divisor=divisor)
-    kept = F.filter(F.transform("__chunks", lambda c, k: F.struct(c["text"].alias("text"), c["lines"].alias("lines"), F.array_contains("__gone", F.struct(k.alias("k"), F.xxhash64(c["text"]).alias("hash"))).alias("gone"))), lambda c: ~c["gone"])
-    touched = touched.withColumn("__kept", kept)
-    number = lambda of: F.aggregate(of, F.lit(0), lambda s, c: s + c["lines"])
-    cleaned = F.struct(
-        *[F.array_join(F.transform("__kept", lambda c: c["text"]), "\n").alias("text") if c.lower() == "text" else F.col(c) for c in docs.columns],
-        (F.size("__chunks") - F.size("__kept")).cast("long").alias("__removed"),
-        (number("__chunks") - number("__kept")).cast("long").alias("__lines_removed"),
-    )
-    cleaned = touched.select(F.explode_outer(F.array(cleaned)).alias("__row")).select("__row.*")
+def _known(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, hash of the text, sorted numbers of the lines that stand elsewhere before."""
+    texts = docs.where("doc_id is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("row"), F.explode_outer(F.array(F.split("text", "\n"))).alias("lines"))
+    each = texts.select(F.explode_outer("lines").alias("line")).select(F.xxhash64("line").alias("hash"), "line")
+    # equal hashes are equal lines, unless the least and the greatest line of a hash differ
+    clash = written(each.groupBy("hash").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a < b").select("hash"), "lines-clash")
+    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
+    lines = texts.select("doc_id", "row", F.explode_outer(F.array(hashed)).alias("own"))
+    after = F.concat(F.slice("own", 2, F.greatest(F.size("own") - 1, F.lit(1))), F.array(F.lit(None).cast("struct<h:bigint,n:int>")))
+    lines = lines.select("doc_id", "row", F.posexplode_outer(F.arrays_zip(F.col("own").alias("own"), F.slice(after, 1, F.size("own")).alias("next"))).alias("at", "x"))
+    lines = lines.select("doc_id", "row", "at", F.col("x.own.h").alias("h"), F.col("x.own.n").alias("n"), F.col("x.next.h").alias("g"))
+    units = F.array(F.when(F.col("n") >= min_chars, F.struct(F.col("h").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(1).alias("lines"))), F.when(F.col("g").isNotNull(), F.struct("h", "g", F.lit(2).alias("lines"))))
+    units = lines.select(F.struct("doc_id", "row", "at").alias("place"), F.explode_outer(units).alias("u")).where("u is not null").select("place", "u.*")
+    units = units.join(F.broadcast(clash), units["h"] == clash["hash"], "left_anti").join(F.broadcast(clash), (units["g"] == clash["hash"]) & (units["lines"] == 2), "left_anti")
+    units = written(units, "lines-units")
+    first = units.groupBy("h", "g", "lines").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
+    found = units.join(first, ["h", "g", "lines"]).where("place <> first").select("place.*", "lines")
+    found = found.select("doc_id", "row", F.explode(F.sequence(F.col("at") + 1, F.col("at") + F.col("lines"))).alias("at"))
+    return found.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("known"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """All columns of docs with the text cleaned, and __removed (runs of lines) and __lines_removed."""
+    known = _known(docs, min_chars).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("known").alias("__known"))
+    own = docs.join(known, (docs["doc_id"] == known["__id"]) & (F.xxhash64(docs["text"]) == known["__row"]), "left").drop("__id", "__row")
+    touched = own.where("__known is not null").select(*docs.columns, "__known", F.explode_outer(F.array(F.split("text", "\n"))).alias("__lines"))
+    # a run starts at a known line after one that is not, and ends at one before one that is not
+    starts, ends = F.array_except("__known", F.transform("__known", lambda x: x + 1)), F.array_except("__known", F.transform("__known", lambda x: x - 1))
+    runs = F.arrays_zip(starts.alias("a"), ends.alias("b"))
+    size = lambda r: F.aggregate(F.slice("__lines", r["a"], r["b"] - r["a"] + 1), F.lit(-1), lambda s, x: s + F.length(x) + 1)
+    touched = touched.select(*docs.columns, "__lines", F.explode_outer(F.array(F.filter(runs, lambda r: size(r) >= min_chars))).alias("__runs"))
+    gone = F.flatten(F.transform("__runs", lambda r: F.sequence(r["a"], r["b"])))
+    touched = touched.select(*docs.columns, "__lines", "__runs", F.explode_outer(F.array(gone)).alias("__gone"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("__lines")), "__gone"), lambda k: F.element_at("__lines", k))
+    out = [F.array_join(kept, "\n").alias("text") if c.lower() == "text" else F.col(c) for c in docs.columns]
+    cleaned = touched.select(*out, F.size("__runs").cast("long").alias("__removed"), F.size("__gone").cast("long").alias("__lines_removed"))
     none = F.lit(0).cast("long")
-    return cleaned.union(own.where("__gone is null").select(*docs.columns, none.alias("__removed"), none.alias("__lines_removed")))
+    return cleaned.union(own.where("__known is null").select(*docs.columns, none.alias("__removed"), none.alias("__lines_removed")))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks removed; documents of which nothing is left go."""
+    """docs with repeated lines removed; documents of which nothing is left go."""
     return dedup_lines(docs).where("__removed = 0 or text <> ''").select(*docs.columns)
 
 

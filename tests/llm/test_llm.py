@@ -339,3 +339,48 @@ def test_odd_sketches_never_leave_out_a_link(spark):
     passed = {r.k for r in df.where(minmax._may_reach(F.col("su"), F.col("sv"), F.col("n"), 80)).select("k").collect()}
     assert passed >= {k for k, linked in enumerate(truth) if linked}
     assert 0 < sum(truth) <= len(passed) < len(rows)
+
+
+def lines_by_definition(rows, least=linededup.MIN_CHARS):
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        lines = text.split("\n")
+        known = set()
+        for k, line in enumerate(lines):
+            if len(line) >= least and (line,) in seen:
+                known.add(k)
+            if k + 1 < len(lines) and (line, lines[k + 1]) in seen:
+                known |= {k, k + 1}
+            seen |= {(line,), tuple(lines[k : k + 2])}
+        kept, run = [], []
+        for k, line in enumerate([*lines, None]):
+            if k in known:
+                run.append(line)
+                continue
+            if len("\n".join(run)) < least:
+                kept += run
+            run = []
+            kept.append(line)
+        out[doc_id] = "\n".join(kept[:-1])
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 10, 20])
+def test_line_dedup_removes_whole_planted_passages(spark, size):
+    rng = random.Random(size)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[line(60) for _ in range(size)] for _ in range(10)]
+    rows = [(k, "\n".join([line(20), line(20), *passages[k % 10], line(20), line(20)]), "en", "s", 1) for k in range(30)]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert all(got[k]["text"] == rows[k][1] for k in range(10))
+    for k in range(10, 30):
+        lines = rows[k][1].split("\n")
+        assert got[k]["text"] == "\n".join(lines[:2] + lines[-2:]) and (got[k]["__removed"], got[k]["__lines_removed"]) == (1, size)
+
+
+def test_line_dedup_against_its_definition(spark):
+    rng = random.Random(11)
+    pool = ["", "}", "short line", "a line of middling length", "one line that is longer than forty characters are", *(f"w{k}" for k in range(8))]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for k in range(60)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs(spark, [(*r, "", "", 0) for r in rows])).collect()}
+    assert got == lines_by_definition(rows)
