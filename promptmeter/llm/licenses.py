@@ -19,8 +19,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 THRESHOLD = 0.8
-#: Short forms in which public licenses are declared or begin.
+#: Short forms in which public licenses are declared or begin, then their texts or defining paragraphs.
 TEMPLATES = {
     "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -41,7 +43,7 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+} | TEXTS
 
 
 def bigrams(text: str) -> list[str]:
@@ -60,20 +62,24 @@ def clue_words(templates: dict[str, tuple[list[str], int]], t: float) -> list[st
     A passage needs t (size + least passage) / 2 of a template's d distinct bigrams, so one of any d - that + 1 of
     them. Words are chosen, long ones first, until so many bigrams of each template have one of them.
     """
-    open_bags = {k: (set(b), len(set(b)) - math.ceil(t * (len(b) + lo) / 2 - 1e-9) + 1) for k, (b, lo) in templates.items()}
-    words = sorted({w for b, _ in open_bags.values() for pair in b for w in pair.split()})
-    chosen: list[str] = []
-
-    def lacking(bag: set[str], need: int) -> int:
-        return max(0, need - sum(any(w in chosen for w in pair.split()) for pair in bag))
-
-    while any(lacking(*x) for x in open_bags.values()):
-
-        def gain(word: str) -> float:
-            covered = (min(lacking(bag, need), sum(word in pair.split() and not any(w in chosen for w in pair.split()) for pair in bag)) for bag, need in open_bags.values())
-            return sum(covered) * len(word) ** 2
-
+    need = {k: len(set(b)) - math.ceil(t * (len(b) + lo) / 2 - 1e-9) + 1 for k, (b, lo) in templates.items()}
+    has: dict[str, dict[str, set[str]]] = {}
+    for k, (b, _) in templates.items():
+        for pair in b:
+            for w in pair.split():
+                has.setdefault(w, {}).setdefault(k, set()).add(pair)
+    covered: dict[str, set[str]] = {k: set() for k in templates}
+    long = {w: x for w, x in has.items() if len(w) > 4}  # short words stand in most texts
+    reach = {k: len(set().union(*(x.get(k, set()) for x in long.values()))) for k in templates}
+    words, chosen = sorted(long if all(reach[k] >= n for k, n in need.items()) else has), []
+
+    def gain(word: str) -> float:
+        return sum(min(max(0, need[k] - len(covered[k])), len(pairs - covered[k])) for k, pairs in has[word].items()) * len(word) ** 2
+
+    while any(len(covered[k]) < n for k, n in need.items()):
         chosen.append(max(words, key=gain))
+        for k, pairs in has[chosen[-1]].items():
+            covered[k] |= pairs
     return chosen
 
 
@@ -81,7 +87,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     """doc_id, unit, unit_no, license, dice of every passage that reaches the threshold, with its best template."""
     sizes = {k: (bigrams(v), bounds(len(bigrams(v)), threshold)) for k, v in sorted(templates.items())}
     known = F.array(*[
-        F.struct(F.lit(k).alias("license"), F.lit(len(b)).alias("size"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*map(F.lit, sorted(set(b)))).alias("set"))
+        F.struct(F.lit(k).alias("license"), F.lit(len(b)).alias("size"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.split(F.lit("|".join(sorted(set(b)))), r"\|").alias("set"))
         for k, (b, (lo, hi)) in sizes.items()
     ])
     least, most = min(lo for _, (lo, _) in sizes.values()), max(hi for _, (_, hi) in sizes.values())

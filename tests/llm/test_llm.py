@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -264,6 +265,46 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
 
 
+MIT = """{title}
+
+Copyright (c) 2020 Foo Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_whole_license_files(spark):
+    files = {"MIT": MIT.format(title="MIT License"), "MIT (MIT)": MIT.format(title="The MIT License (MIT)")}
+    for name in ("Apache-2.0", "BSD", "CC0-1.0", "GPL-2", "GPL-3", "LGPL-3", "MPL-2.0"):
+        path = f"/usr/share/common-licenses/{name}"
+        if os.path.exists(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                files[name] = f.read()
+    d = docs(spark, [(k, text, "en", "s", 1) for k, text in enumerate(files.values())])
+    got = {}
+    for r in licenses.scan_licenses(d).collect():
+        got.setdefault(list(files)[r["doc_id"]], set()).add((r["unit"], r["license"]))
+    assert ("text", "MIT-text") in got["MIT"] and {("text", "MIT-text"), ("line", "MIT-title")} <= got["MIT (MIT)"]
+    for name in files:
+        assert any(x.startswith(name.split(" ")[0]) for _, x in got.get(name, ())), (name, got.get(name))
+
+
 # 8
 
 
