@@ -245,7 +245,7 @@ def q_worst(spark, sf_dir):
 
 
 def q_special_tokens(spark, sf_dir):
-    odd = F.concat(F.substring("content", 1, 20), F.element_at(F.array(F.lit("<|endoftext|>"), F.lit("<|fim_prefix|> <|endoftext|>"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int")))
+    odd = F.concat("content", F.element_at(F.array(F.lit("<|endoftext|>"), F.lit("<|fim_prefix|> <|endoftext|>"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int")))
     d = _docs(spark, sf_dir).withColumn("t", odd)
     listed = list(bpe.CL100K.specials)
     return d.select("doc_id", text.first_special("t", listed).alias("strict"), text.first_special("t", listed, "allow_list", ["<|endoftext|>"]).alias("listed"))

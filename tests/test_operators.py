@@ -147,3 +147,12 @@ def test_percentiles(spark):
     d = spark.createDataFrame([(k,) for k in (5, 1, 3, 3)], "v long")
     r = costs.latency_stats(d.withColumn("g", F.lit(1)), "v", "g").first()
     assert (r["n"], r["p50"], r["p99"], r["mean"], r["stddev"]) == (4, 3, 5, 3, 1)
+
+
+def test_special_tokens_are_searched_in_whole_texts(spark, tmp_path):
+    from promptmeter.plans import queries
+
+    rows = [(0, "x" * 50 + "<|endoftext|> tail", "en", "s"), (2, "y" * 300 + "<|fim_prefix|>", "en", "s"), (5, "z" * 40, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["strict"], r["listed"]) for r in queries.q_special_tokens(spark, str(tmp_path)).collect()}
+    assert got == {0: (50, None), 2: (300, 300), 5: (None, None)}
