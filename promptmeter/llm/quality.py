@@ -22,15 +22,32 @@ from pyspark.sql import functions as F
 from .shared import column_udf
 
 BUCKETS, DIM = 1 << 16, 16
+#: Bytes of a token above which it is not remembered, and of the blocks in which its n-grams are counted.
+LONG, BLOCK = 64, 1 << 16
 
 
 def token_features(token: bytes) -> np.ndarray:
     """Buckets of a token and of its character n-grams (over bytes, with marks at both ends)."""
-    marked = b"<" + token[:64] + b">"
+    marked = b"<" + token + b">"
     grams = [token] + [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
     return np.array([xxhash.xxh32_intdigest(g) & (BUCKETS - 1) for g in grams], np.int32)
 
 
+def token_counts(token: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of token_features and how often each stands there, taken in blocks, so memory is bounded."""
+    if len(token) <= BLOCK // 16:
+        return np.unique(token_features(token), return_counts=True)
+    marked, counts = b"<" + token + b">", np.zeros(BUCKETS, np.int64)
+    counts[xxhash.xxh32_intdigest(token) & (BUCKETS - 1)] += 1
+    for at in range(0, len(marked), BLOCK):
+        for n in (3, 4, 5):
+            of = range(at, min(at + BLOCK, len(marked) - n + 1))
+            grams = [xxhash.xxh32_intdigest(marked[i : i + n]) & (BUCKETS - 1) for i in of]
+            counts += np.bincount(np.array(grams, np.int64), minlength=BUCKETS)
+    ids = np.flatnonzero(counts)
+    return ids.astype(np.int32), counts[ids]
+
+
 def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
@@ -49,6 +66,10 @@ class Model:
         def score(text: str | None) -> float:
             words, total = tokens(text), 0.0
             for w in words:
+                if len(w) > LONG:
+                    ids, n = token_counts(w)
+                    total += float(direction[ids] @ n / n.sum())
+                    continue
                 x = rows.get(w)
                 if x is None:
                     if len(rows) >= most:
@@ -68,9 +89,9 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     counts: dict[bytes, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    parts = [(token_features(w), c) for w, c in counts.items()]
-    ids = np.concatenate([f for f, _ in parts])
-    weights = np.concatenate([np.full(len(f), c / len(f) / len(words), np.float32) for f, c in parts])
+    parts = [(*((token_features(w), 1) if len(w) <= LONG else token_counts(w)), c) for w, c in counts.items()]
+    ids = np.concatenate([f for f, _, _ in parts])
+    weights = np.concatenate([(np.ones(len(f)) * n * (c / (np.ones(len(f)) * n).sum() / len(words))).astype(np.float32) for f, n, c in parts])
     buckets, where = np.unique(ids, return_inverse=True)
     return buckets, np.bincount(where, weights).astype(np.float32)
 

@@ -340,6 +340,20 @@ def test_quality(spark, odd, none):
     assert quality.fit(none, labels).bias == 0.0
 
 
+def test_quality_reads_long_tokens_to_their_end():
+    rng = np.random.default_rng(1)
+    for size in (65, 1000, 70_000):
+        token = bytes(rng.integers(97, 123, size, dtype=np.uint8))
+        ids, n = np.unique(quality.token_features(token), return_counts=True)
+        got = quality.token_counts(token)
+        assert (got[0] == ids).all() and (got[1] == n).all() and n.sum() == 1 + 3 * (size + 2) - 9
+    head = "日本語" * 30
+    good, bad = (head + w * 60 for w in ("良い", "悪く"))
+    model = quality.train([good, bad] * 20, [1, 0] * 20)
+    one = model.scorer()
+    assert one(good + "良") > 0.7 and one(bad + "悪") < 0.3
+
+
 # 10
 
 
