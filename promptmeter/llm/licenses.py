@@ -8,6 +8,11 @@ DataFrame operations only.
 
 Edge cases: null and empty texts have no passage; of equal coefficients the first template by name counts; a
 paragraph of one line and a text of one paragraph are reported once, as the smaller unit.
+
+A notice inside a longer line, or wrapped over lines that others adjoin, is a window: a run of words of the text that
+begins and ends with bigrams of one template and reaches the threshold. Its number is that of its first word. Of
+windows that overlap the one with the greatest coefficient counts, then the longest; windows inside a line, paragraph
+or text that reaches the threshold itself are not reported again. Rows with one doc_id and one text have theirs once.
 """
 
 from __future__ import annotations
@@ -115,7 +120,83 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     # the greatest coefficient, and of equal ones the first name
     best = F.array_min(F.transform(hits, lambda x: F.struct((-x["dice"]).alias("less"), x["license"].alias("license"))))
     rows = rows.select("doc_id", "unit", "unit_no", F.explode(F.array(best)).alias("best")).where("best is not null")
-    return rows.select("doc_id", "unit", "unit_no", "best.license", (-F.col("best.less")).alias("dice"))
+    rows = rows.select("doc_id", "unit", "unit_no", "best.license", (-F.col("best.less")).alias("dice"))
+    return rows.union(_windows(texts, sizes, known, threshold))
+
+
+def _bound(value, use):
+    """use(value) with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _dice(known, words, threshold: float):
+    """Whether the words as one passage reach the threshold with any template."""
+
+    def any_of(w):
+        pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.element_at(w, i + 2)))
+        return _bound(F.array_distinct(pairs), lambda b: F.exists(known, lambda t: (F.size(w) - 1).between(t["lo"], t["hi"]) & (F.size(F.array_intersect(t["set"], b)) * 2.0 / (t["size"] + F.size(w) - 1) >= threshold)))
+
+    return _bound(words, any_of)
+
+
+def _windows(texts: DataFrame, sizes: dict, known, threshold: float) -> DataFrame:
+    """The rows of windows of texts (doc_id, clean)."""
+    every = F.split(F.lit("|".join(sorted({x for b, _ in sizes.values() for x in b}))), r"\|")
+    need = {k: math.ceil(threshold * (len(b) + lo) / 2 - 1e-9) for k, (b, (lo, _)) in sizes.items()}
+    needs = F.create_map(*(F.lit(x) for k, n in need.items() for x in (k, n)))
+    # words with the number of their line and paragraph
+    lines = F.split("clean", "\n")
+    rows = texts.select("doc_id", F.explode(F.array(lines)).alias("lines"))
+    numbered = F.flatten(F.transform("lines", lambda x, i: F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), i.alias("line")))))
+    rows = rows.select("doc_id", "lines", F.explode(F.array(numbered)).alias("ws"))
+    pairs = F.transform(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x["w"], F.element_at("ws", i + 2)["w"]))
+    rows = rows.select("doc_id", "lines", "ws", F.explode(F.array(pairs)).alias("b"))
+    rows = rows.select("doc_id", "lines", "ws", "b", F.explode(F.array(F.array_intersect(every, "b"))).alias("seen"))
+    able = F.filter(known, lambda t: F.size(F.array_intersect(t["set"], F.col("seen"))) >= needs[t["license"]])
+    rows = rows.select("doc_id", "lines", "ws", "b", F.explode(F.array(able)).alias("able")).where(F.size("able") > 0)
+    rows = rows.select("doc_id", "lines", "ws", "b", F.posexplode("able").alias("k", "t"))
+    places = F.filter(F.transform("b", lambda x, i: F.struct((i + 1).alias("at"), F.array_position(F.col("t.set"), x).cast("int").alias("id"))), lambda h: h["id"] > 0)
+    rows = rows.select("doc_id", "lines", "ws", "k", "t", F.explode(F.array(places)).alias("hits"))
+    # for each hit the place of the same bigram before it, in reach of a window (0: none)
+    before = lambda h, i: F.slice(F.col("hits"), F.greatest(i + 1 - F.col("t.hi"), F.lit(1)), F.least(i, F.col("t.hi")))
+    last = F.transform("hits", lambda h, i: F.struct(h["at"].alias("at"), F.coalesce(F.array_max(F.transform(F.filter(before(h, i), lambda g: g["id"] == h["id"]), lambda g: g["at"])), F.lit(0)).alias("before")))
+    rows = rows.select("doc_id", "lines", "ws", "k", "t", F.explode(F.array(last)).alias("hits"))
+    # a window begins where enough hits follow within its greatest length
+    least = needs[F.col("t.license")]
+    dense = F.filter(F.sequence(F.lit(1), F.size("hits")), lambda j: (j + least - 1 <= F.size("hits")) & (F.get("hits", j + least - 2)["at"] - F.get("hits", j - 1)["at"] < F.col("t.hi")))
+    rows = rows.select("doc_id", "lines", "ws", "t", "hits", F.explode(F.array(F.when(F.size("hits") >= least, dense).otherwise(F.array().cast("array<int>")))).alias("dense")).where(F.size("dense") > 0)
+    rows = rows.select("doc_id", "lines", "ws", "t", "hits", F.explode("dense").alias("j"))
+    at = F.get("hits", F.col("j") - 1)["at"]
+    start = F.struct(F.lit(0).alias("c"), F.lit(0.0).alias("dice"), F.lit(0).alias("n"))
+
+    def step(s, h):
+        c, n = s["c"] + F.when(h["before"] < F.col("at"), 1).otherwise(0), h["at"] - F.col("at") + 1
+        dice = c * 2.0 / (F.col("t.size") + n)
+        better = (dice >= s["dice"]) & n.between(F.col("t.lo"), F.col("t.hi"))
+        return F.struct(c.alias("c"), F.when(better, dice).otherwise(s["dice"]).alias("dice"), F.when(better, n).otherwise(s["n"]).alias("n"))
+
+    rows = rows.withColumn("at", at)
+    best = F.aggregate(F.slice("hits", F.col("j"), F.least(F.col("t.hi"), F.size("hits"))), start, step)
+    rows = rows.select("doc_id", "lines", "ws", "t.license", "at", F.explode(F.array(best)).alias("best")).where(F.col("best.dice") >= threshold)
+    rows = rows.select("doc_id", "lines", "ws", F.struct((-F.col("best.dice")).alias("less"), (-F.col("best.n")).alias("short"), "license", F.col("at").alias("a"), (F.col("at") + F.col("best.n")).alias("z")).alias("x"))
+    # what overlaps a better one goes; rows of one text meet here
+    rows = rows.groupBy("doc_id", "lines", "ws").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    apart = F.aggregate("xs", F.slice("xs", 1, 0), lambda s, x: F.when(F.exists(s, lambda y: (x["a"] <= y["z"]) & (y["a"] <= x["z"])), s).otherwise(F.concat(s, F.array(x))))
+    rows = rows.select("doc_id", "lines", "ws", F.explode(apart).alias("x"))
+    # the line, paragraph and text around a window
+    first, final = F.element_at("ws", F.col("x.a"))["line"], F.element_at("ws", F.col("x.z"))["line"]
+    rows = rows.select("doc_id", "lines", "ws", "x", first.alias("p"), final.alias("q"))
+    blank = F.filter(F.transform("lines", lambda l, i: F.when(l == "", i)), lambda i: i.isNotNull())
+    rows = rows.select("doc_id", "ws", "x", "p", "q", F.explode(F.array(blank)).alias("blank"))
+    lo = F.coalesce(F.array_max(F.filter("blank", lambda i: i < F.col("p"))), F.lit(-1))
+    hi = F.coalesce(F.array_min(F.filter("blank", lambda i: i > F.col("p"))), F.lit(2**31 - 1))
+    rows = rows.select("doc_id", "ws", "x", "p", "q", lo.alias("lo"), hi.alias("hi"))
+    part = lambda ok: F.transform(F.filter("ws", ok), lambda w: w["w"])
+    shown = (F.col("p") == F.col("q")) & _dice(known, part(lambda w: w["line"] == F.col("p")), threshold)
+    shown = shown | ((F.col("q") < F.col("hi")) & _dice(known, part(lambda w: (w["line"] > F.col("lo")) & (w["line"] < F.col("hi"))), threshold))
+    shown = shown | _dice(known, F.transform("ws", lambda w: w["w"]), threshold)
+    rows = rows.select("doc_id", "x", F.explode(F.array(shown)).alias("shown")).where(~F.coalesce("shown", F.lit(False)))
+    return rows.select("doc_id", F.lit("window").alias("unit"), F.col("x.a").cast("long").alias("unit_no"), F.col("x.license").alias("license"), (-F.col("x.less")).alias("dice"))
 
 
 def oracle_sql(docs: str = "documents", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:

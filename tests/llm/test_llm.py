@@ -305,6 +305,26 @@ def test_whole_license_files(spark):
         assert any(x.startswith(name.split(" ")[0]) for _, x in got.get(name, ())), (name, got.get(name))
 
 
+def test_notices_inside_longer_passages(spark):
+    texts = [
+        "Copyright 2020 Foo Authors. Licensed under the Apache License, Version 2.0. See the LICENSE file for details.",
+        "This project is released under the MIT License.",
+        "# Copyright 2020 Foo\n# Licensed under the Apache License,\n# Version 2.0.\nimport os\nimport sys\nprint(os.name, sys.path)\ndef main(): return 0",
+        "Hello there.\nReleased under the MIT License.\nx",
+        "Some text. Released under the MIT License. " + "More words follow here. " * 9 + "Released under the MIT License. Done with it all.",
+        " ".join(MIT.format(title="A project of ours, see below for its terms, which are as follows").split()) + " And then many other words follow. " * 40,
+        "the software and the license of the public under the terms of which " * 20,
+    ]
+    d = docs(spark, [(k, text, "en", "s", 1) for k, text in enumerate(texts)])
+    got = {}
+    for r in licenses.scan_licenses(d).collect():
+        got.setdefault(r["doc_id"], []).append((r["unit"], r["unit_no"], r["license"], r["dice"]))
+    assert got[0] == [("window", 5, "Apache-2.0", 1.0)] and got[1] == [("window", 4, "MIT", 1.0)] and got[2] == [("window", 4, "Apache-2.0", 1.0)]
+    assert [x[:3] for x in got[3]] == [("line", 2, "MIT")]
+    assert sorted(got[4]) == [("window", 3, "MIT", 1.0), ("window", 44, "MIT", 1.0)]
+    assert [(u, name) for u, _, name, _ in got[5]] == [("window", "MIT-grant")] and 6 not in got  # whole, while the text has repeated bigrams
+
+
 # 8
 
 
