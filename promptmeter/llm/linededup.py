@@ -1,14 +1,21 @@
-"""Line deduplication by runs of lines, in DataFrame operations only.
+"""Line deduplication by content-defined chunks of lines, in DataFrame operations only.
 
-A line is known if it stands at an earlier place (by doc_id, text hash and line number) together with the line before
-or after it, or, with at least `min_chars` characters, alone. Every line and every two adjacent lines are compared, so
-no boundary can fall badly: a repeated passage is known from its first line to its last. Runs of known lines with at
-least `min_chars` characters (line ends included) are removed. The first place of a line is never removed.
+A rolling hash over the hashes of two adjacent lines chooses where a chunk may end: after a line whose rolling hash
+is 0 modulo `divisor`, if that of the line before it isn't and more than one line follows. So every chunk has two
+lines at least (four on average with divisor 2), if the text has so many, and the boundaries inside a passage depend
+on its own lines from its third line on, wherever it stands. A chunk of several lines with at least `min_chars`
+characters that stands byte for byte at an earlier place (by doc_id, text hash and line number) is removed.
 
-Lines are compared by 64-bit hashes; a hash with which lines of different bytes are found is never used.
+The lines at a passage's edges share their chunk with lines that aren't repeated. So lines with at least `min_chars`
+characters (long ones) are compared likewise one by one, and so are the chunks that end at long lines: runs of short
+lines, and a long line with the short ones after or before it. The first place of a chunk or line is never removed.
+
+Only hashes and places are grouped at first; the bytes of those whose hash repeats are then compared. What stands in
+very many places is dealt to as many parts as its count asks for.
 
 Edge cases: a null text stays null and an empty one empty; rows whose doc_id is null are left as they are;
-rows with one doc_id and one text are one place; a text whose lines are all removed becomes empty.
+rows with one doc_id and one text are one place; a text whose lines are all removed becomes empty; equal hashes of
+different bytes cost nothing but the comparison.
 """
 
 from __future__ import annotations
@@ -16,65 +23,118 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 
 DIVISOR, MIN_CHARS = 2, 40
+#: Places of one chunk that a part takes, and the parts in which places look for their first.
+PART, PARTS = 1000, 16
+
+
+def _once(value):
+    """The value as a generator's only row: it is evaluated once, however often its column is used after it."""
+    return F.explode_outer(F.array(value))
+
+
+def unit_hash(text):
+    return F.xxhash64(text)
+
+
+def _units(texts: DataFrame, divisor: int, min_chars: int) -> DataFrame:
+    """doc_id, row, and of each chunk of several lines and each long line: at (its first line, from 1), n (lines), h."""
+    rows = texts.select("doc_id", "row", _once(F.split("text", "\n")).alias("lines"))
+    short = F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
+    rows = rows.select("doc_id", "row", "lines", _once(short).alias("hs"))
+    stop = F.transform("hs", lambda h, i: (i > 0) & ((h + F.get("hs", i - 1) * 31) % divisor == 0))
+    rows = rows.select("doc_id", "row", "lines", _once(stop).alias("stop"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (i == F.size("lines")) | (i + 1 < F.size("lines")) & (F.get("stop", i - 1) & ~F.coalesce(F.get("stop", i - 2), F.lit(False))))
+    rows = rows.select("doc_id", "row", "lines", _once(ends).alias("ends"))
+    spans = F.transform("ends", lambda e, i: _span(F.coalesce(F.get("ends", i - 1), F.lit(0)) + 1, e))
+    edges = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.length(F.get("lines", i - 1)) >= min_chars), F.array(F.size("lines") + 1))
+    rows = rows.select("doc_id", "row", "lines", _once(spans).alias("spans"), edges.alias("edges")).select("doc_id", "row", "lines", "spans", _once("edges").alias("edges"))
+    # between two long lines (a before, z after; 0 and the number of lines and 1 are none): the short ones, these with a, these with z
+    short = F.transform(F.slice("edges", 1, F.size("edges") - 1), lambda a, i: F.struct(a.alias("a"), F.get("edges", i + 1).alias("z")))
+    short = F.transform(F.filter(short, lambda r: r["z"] > r["a"] + 1), lambda r: F.array(_span(r["a"] + 1, r["z"] - 1), _span(r["a"], r["z"] - 1), _span(r["a"] + 1, r["z"])))
+    spans = F.filter(F.array_distinct(F.concat("spans", F.flatten(short))), lambda s: (s["at"] > 0) & (s["e"] > s["at"]) & (s["e"] <= F.size("lines")))
+    rows = rows.select("doc_id", "row", "lines", _once(spans).alias("spans"))
+    chunks = F.transform("spans", lambda s: F.struct(s["at"].alias("at"), (s["e"] - s["at"] + 1).alias("n"), F.array_join(F.slice("lines", s["at"], s["e"] - s["at"] + 1), "\n").alias("x")))
+    lines = F.transform("lines", lambda x, i: F.struct((i + 1).alias("at"), F.lit(1).alias("n"), x.alias("x")))
+    both = F.filter(F.concat(chunks, lines), lambda u: F.length(u["x"]) >= min_chars)
+    rows = rows.select("doc_id", "row", F.explode(F.transform(both, lambda u: F.struct(u["at"].alias("at"), u["n"].alias("n"), unit_hash(u["x"]).alias("h")))).alias("u"))
+    return rows.select("doc_id", "row", "u.*")
+
+
+def _span(at, end):
+    return F.struct(at.alias("at"), end.alias("e"))
+
+
+def _parts(count):
+    return (count / PART).cast("int") + 1
+
+
+def _repeated(texts: DataFrame, divisor: int, min_chars: int) -> DataFrame:
+    """doc_id, row, units (at, n) that stand elsewhere before, byte for byte."""
+    units = written(_units(texts.select("doc_id", "row", "text"), divisor, min_chars), "lines-units")
+    many = units.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    dealt = F.pmod(F.xxhash64("doc_id", "row", "at"), F.lit(PARTS)).cast("int")
+    some = units.withColumn("part", dealt).join(many.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["h", "part"])
+    some = some.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n", "h", "c")).alias("units"))
+    held = texts.join(some.withColumnsRenamed({"doc_id": "__d", "row": "__r"}), (F.col("doc_id") == F.col("__d")) & (F.col("row") == F.col("__r")))
+    held = held.select("doc_id", "row", F.split("text", "\n").alias("lines"), "units").select("doc_id", "row", "lines", F.explode("units").alias("u"))
+    held = held.select(F.struct("doc_id", "row", "u.at").alias("place"), "u.n", "u.h", "u.c", F.array_join(F.slice("lines", F.col("u.at"), F.col("u.n")), "\n").alias("x"))
+    held = written(held.withColumn("part", F.pmod(F.xxhash64("place"), _parts(F.col("c"))).cast("int")), "lines-held")
+    first = held.groupBy("h", "part", "x").agg(F.min("place").alias("first"), F.max("c").alias("c")).groupBy("h", "x").agg(F.min("first").alias("first"), F.max("c").alias("c"))
+    first = first.select("h", "x", "first", F.explode(F.sequence(F.lit(0), _parts(F.col("c")) - 1)).alias("part"))
+    again = held.select("place", "n", "h", "part", "x").join(first, ["h", "part", "x"]).where("place <> first")
+    return again.groupBy("place.doc_id", "place.row").agg(F.collect_list(F.struct("place.at", "n")).alias("units"))
+
 
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, divisor: int = DIVISOR, names: tuple[str, str] = ("__removed", "__lines_removed")) -> DataFrame:
+    """All columns of docs with the text cleaned, and two counts, called `names`: removed chunks of several lines, and removed lines.
 
-def _known(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, hash of the text, sorted numbers of the lines that stand elsewhere before."""
-    texts = docs.where("doc_id is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("row"), F.explode_outer(F.array(F.split("text", "\n"))).alias("lines"))
-    each = texts.select(F.explode_outer("lines").alias("line")).select(F.xxhash64("line").alias("hash"), "line")
-    # equal hashes are equal lines, unless the least and the greatest line of a hash differ
-    clash = written(each.groupBy("hash").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a < b").select("hash"), "lines-clash")
-    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
-    lines = texts.select("doc_id", "row", F.explode_outer(F.array(hashed)).alias("own"))
-    after = F.concat(F.slice("own", 2, F.greatest(F.size("own") - 1, F.lit(1))), F.array(F.lit(None).cast("struct<h:bigint,n:int>")))
-    lines = lines.select("doc_id", "row", F.posexplode_outer(F.arrays_zip(F.col("own").alias("own"), F.slice(after, 1, F.size("own")).alias("next"))).alias("at", "x"))
-    lines = lines.select("doc_id", "row", "at", F.col("x.own.h").alias("h"), F.col("x.own.n").alias("n"), F.col("x.next.h").alias("g"))
-    units = F.array(F.when(F.col("n") >= min_chars, F.struct(F.col("h").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(1).alias("lines"))), F.when(F.col("g").isNotNull(), F.struct("h", "g", F.lit(2).alias("lines"))))
-    units = lines.select(F.struct("doc_id", "row", "at").alias("place"), F.explode_outer(units).alias("u")).where("u is not null").select("place", "u.*")
-    units = units.join(F.broadcast(clash), units["h"] == clash["hash"], "left_anti").join(F.broadcast(clash), (units["g"] == clash["hash"]) & (units["lines"] == 2), "left_anti")
-    units = written(units, "lines-units")
-    first = units.groupBy("h", "g", "lines").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
-    found = units.join(first, ["h", "g", "lines"]).where("place <> first").select("place.*", "lines")
-    found = found.select("doc_id", "row", F.explode(F.sequence(F.col("at") + 1, F.col("at") + F.col("lines"))).alias("at"))
-    return found.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("known"))
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of docs with the text cleaned, and __removed (runs of lines) and __lines_removed."""
-    known = _known(docs, min_chars).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("known").alias("__known"))
-    own = docs.join(known, (docs["doc_id"] == known["__id"]) & (F.xxhash64(docs["text"]) == known["__row"]), "left").drop("__id", "__row")
-    touched = own.where("__known is not null").select(*docs.columns, "__known", F.explode_outer(F.array(F.split("text", "\n"))).alias("__lines"))
-    # a run starts at a known line after one that is not, and ends at one before one that is not
-    starts, ends = F.array_except("__known", F.transform("__known", lambda x: x + 1)), F.array_except("__known", F.transform("__known", lambda x: x - 1))
-    runs = F.arrays_zip(starts.alias("a"), ends.alias("b"))
-    size = lambda r: F.aggregate(F.slice("__lines", r["a"], r["b"] - r["a"] + 1), F.lit(-1), lambda s, x: s + F.length(x) + 1)
-    touched = touched.select(*docs.columns, "__lines", F.explode_outer(F.array(F.filter(runs, lambda r: size(r) >= min_chars))).alias("__runs"))
-    gone = F.flatten(F.transform("__runs", lambda r: F.sequence(r["a"], r["b"])))
-    touched = touched.select(*docs.columns, "__lines", "__runs", F.explode_outer(F.array(gone)).alias("__gone"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("__lines")), "__gone"), lambda k: F.element_at("__lines", k))
-    out = [F.array_join(kept, "\n").alias("text") if c.lower() == "text" else F.col(c) for c in docs.columns]
-    cleaned = touched.select(*out, F.size("__runs").cast("long").alias("__removed"), F.size("__gone").cast("long").alias("__lines_removed"))
-    none = F.lit(0).cast("long")
-    return cleaned.union(own.where("__known is null").select(*docs.columns, none.alias("__removed"), none.alias("__lines_removed")))
+    Columns of docs with these names are replaced.
+    """
+    cols = [c for c in docs.columns if c.lower() not in names]
+    text = next(c for c in cols if c.lower() == "text")
+    row, key, known, lines, gone = (unused(docs, x) for x in ("row", "key", "known", "lines", "gone"))
+    able = "doc_id is not null and text <> ''"
+    full = docs.select(*cols).where(able).withColumn(row, F.xxhash64("text"))
+    units = _repeated(full.select("doc_id", F.col(row).alias("row"), "text"), divisor, min_chars)
+    units = units.select(F.col("doc_id").alias(key), F.col("row").alias(f"{key}r"), F.col("units").alias(known))
+    own = full.join(units, (full["doc_id"] == units[key]) & (full[row] == units[f"{key}r"]), "left").drop(row, key, f"{key}r")
+    touched = own.where(F.col(known).isNotNull()).select(*cols, known, _once(F.split("text", "\n")).alias(lines))
+    numbers = F.array_distinct(F.flatten(F.transform(known, lambda u: F.sequence(u["at"], u["at"] + u["n"] - 1))))
+    touched = touched.select(*cols, known, lines, _once(numbers).alias(gone))
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), gone), lambda k: F.element_at(lines, k))
+    out = [F.array_join(kept, "\n").alias(text) if c == text else F.col(c) for c in cols]
+    chunks = F.size(F.filter(known, lambda u: u["n"] > 1)).cast("long")
+    cleaned = touched.select(*out, chunks.alias(names[0]), F.size(gone).cast("long").alias(names[1]))
+    none = [F.lit(0).cast("long").alias(c) for c in names]
+    rest = docs.where(~F.coalesce(F.expr(able), F.lit(False)))
+    return cleaned.union(own.where(F.col(known).isNull()).select(*cols, *none)).union(rest.select(*cols, *none))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated lines removed; documents of which nothing is left go."""
-    return dedup_lines(docs).where("__removed = 0 or text <> ''").select(*docs.columns)
+    names = unused(docs, "removed"), unused(docs, "lines_removed")
+    return dedup_lines(docs, names=names).where((F.col(names[1]) == 0) | (F.col("text") != "")).select(*docs.columns)
 
 
 def oracle_sql(docs: str = "documents", divisor: int = DIVISOR, min_chars: int = MIN_CHARS) -> str:
     """doc_id, text, removed_chunks, removed_lines in DuckDB SQL, for unique ids."""
     return f"""WITH l AS (
   SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {docs} WHERE text IS NOT NULL)),
-b AS (SELECT *, (h + coalesce(lag(h) OVER d, 0) * 31) % {divisor} = 0 AS stop FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-k AS (SELECT *, coalesce(sum(CASE WHEN stop THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
-c AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines FROM k GROUP BY doc_id, k),
-f AS (SELECT *, lines > 1 AND length(chunk) >= {min_chars} AND row_number() OVER (PARTITION BY chunk, lines > 1 ORDER BY doc_id, k) > 1 AS gone FROM c),
-r AS (SELECT doc_id, string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, count(*) FILTER (WHERE gone) AS n, coalesce(sum(lines) FILTER (WHERE gone), 0) AS m FROM f GROUP BY doc_id)
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {docs} WHERE text <> '')),
+b AS (SELECT *, coalesce((h + lag(h) OVER d * 31) % {divisor} = 0, false) AS stop, i + 1 < max(i) OVER (PARTITION BY doc_id) AS inner_line FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, stop AND inner_line AND NOT coalesce(lag(stop) OVER d, false) AS last FROM b WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT *, coalesce(sum(CASE WHEN last THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k,
+  length(line) >= {min_chars} AS long, sum(CASE WHEN length(line) >= {min_chars} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g, max(i) OVER (PARTITION BY doc_id) AS m FROM e),
+q AS (SELECT doc_id, min(i) AS a, max(i) AS z, min(m) AS m FROM k WHERE NOT long GROUP BY doc_id, g),
+p AS (SELECT doc_id, min(i) AS a, max(i) AS z FROM k GROUP BY doc_id, k UNION SELECT doc_id, a, z FROM q UNION SELECT doc_id, a - 1, z FROM q WHERE a > 1 UNION SELECT doc_id, a, z + 1 FROM q WHERE z < m),
+c AS (SELECT p.doc_id, a, z, string_agg(line, chr(10) ORDER BY i) AS chunk FROM p JOIN l ON p.doc_id = l.doc_id AND i BETWEEN a AND z WHERE z > a GROUP BY p.doc_id, a, z),
+f AS (SELECT doc_id, a, z FROM c WHERE length(chunk) >= {min_chars} QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) > 1),
+s AS (SELECT doc_id, i AS a, i AS z FROM l WHERE length(line) >= {min_chars} QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1),
+x AS (SELECT doc_id, unnest(generate_series(a, z)) AS i FROM (FROM f UNION ALL FROM s)),
+n AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id),
+r AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE x.i IS NULL) AS text, count(x.i) AS m FROM l LEFT JOIN (SELECT DISTINCT doc_id, i FROM x) x ON l.doc_id = x.doc_id AND l.i = x.i GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text, CAST(coalesce(n, 0) AS BIGINT) AS removed_chunks, CAST(coalesce(m, 0) AS BIGINT) AS removed_lines
-FROM {docs} d LEFT JOIN r USING (doc_id)"""
+FROM {docs} d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)"""

@@ -68,6 +68,14 @@ def _drop_written() -> None:
             return
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken, name = {c.lower() for c in df.columns}, f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, on an array of uint64."""
     x = (x ^ (x >> np.uint64(33))) * _M64

@@ -360,18 +360,74 @@ def test_quality(spark, odd, none):
     assert quality.fit(none, labels).bias == 0.0
 
 
+def plain_gram_bucket(gram):
+    """The bucket of an n-gram, a step a byte."""
+    h = 0
+    for byte in gram:
+        h = (h * 0x01000193 + byte) % 2**32
+    return ((h ^ len(gram)) * 0x9E3779B1) % 2**32 >> 16
+
+
+def plain_features(token):
+    marked = b"<" + token + b">"
+    own = quality.word_hash(token) * 0x9E3779B1 % 2**32 >> 16
+    return [own] + [plain_gram_bucket(marked[k : k + n]) for n in (3, 4, 5) for k in range(len(marked) - n + 1)]
+
+
+def plain_score(text, direction, bias):
+    words = (text or "").encode().split()
+    values = [np.mean([direction[b] for b in plain_features(w)]) for w in words]
+    for a, b in zip(words, words[1:]):
+        mixed = (quality.word_hash(a) * 0x85EBCA77 % 2**32) ^ quality.word_hash(b)
+        values.append(direction[mixed * 0x9E3779B1 % 2**32 >> 16])
+    return 1 / (1 + np.exp(-(np.mean(values) if values else 0.0) - bias))
+
+
+def test_quality_scores_against_a_plain_form(monkeypatch):
+    rng = random.Random(19)
+    texts = [words(rng, rng.randrange(0, 40), ["a", "日本語", "token,", "é", "xyz" * 30, *(f"w{k}" for k in range(50))]) for _ in range(60)] + [None, "", " \n", "one"]
+    direction = np.random.default_rng(2).normal(size=quality.BUCKETS)
+    expected = [plain_score(t, direction, 0.3) for t in texts]
+    for block, most, long in ((1 << 20, 100_000, 1 << 12), (64, 10, 40)):  # texts in one block and in many, tokens forgotten all the time, and too long ones
+        monkeypatch.setattr(quality, "BLOCK", block)
+        monkeypatch.setattr(quality, "LONG", long)
+        one = quality.Scorer(direction, 0.3)
+        one.tokens.most = most
+        assert np.allclose(one(texts), expected) and np.allclose(one(texts[::-1]), expected[::-1])
+
+
+def test_quality_learns_by_the_gradient():
+    rng = random.Random(4)
+    texts = [words(rng, 30, ["good", "fine"] if k % 2 else ["bad", "poor"]) for k in range(40)]
+    model = quality.train(texts, [k % 2 for k in range(40)])
+    got = quality.Scorer(model.direction(), model.bias)(["good fine good", "poor bad bad"])
+    assert got[0] > 0.9 and got[1] < 0.1
+    # the weights of a document's buckets are those of the score: both give the same mean
+    for t in texts[:5]:
+        ids, w = quality.document_features(t)
+        z = float(w @ model.direction()[ids]) + model.bias
+        assert abs(1 / (1 + np.exp(-z)) - plain_score(t, model.direction(), model.bias)) < 1e-5
+
+
 def test_quality_reads_long_tokens_to_their_end():
     rng = np.random.default_rng(1)
-    for size in (65, 1000, 70_000):
+    for size in (65, 5000, 300_000):
         token = bytes(rng.integers(97, 123, size, dtype=np.uint8))
-        ids, n = np.unique(quality.token_features(token), return_counts=True)
-        got = quality.token_counts(token)
-        assert (got[0] == ids).all() and (got[1] == n).all() and n.sum() == 1 + 3 * (size + 2) - 9
+        n = np.bincount(quality.token_features([token])[0], minlength=quality.BUCKETS)
+        assert (quality.long_token_counts(token) == n).all() and n.sum() == 1 + 3 * (size + 2) - 9
     head = "日本語" * 30
     good, bad = (head + w * 60 for w in ("良い", "悪く"))
     model = quality.train([good, bad] * 20, [1, 0] * 20)
-    one = model.scorer()
-    assert one(good + "良") > 0.7 and one(bad + "悪") < 0.3
+    one = quality.Scorer(model.direction(), model.bias)([good + "良", bad + "悪"])
+    assert one[0] > 0.7 and one[1] < 0.3
+
+
+def test_quality_of_repeated_ids_and_empty_tables(spark, none):
+    labels = spark.createDataFrame([(2, 1, 0), (2, 0, 0), (3, 0, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    d = docs(spark, [(2, f"text {k}", "en", "s", 1) for k in range(30)] + [(3, "x" * 900, "", "", 0), (4, None, "", "", 0)])
+    model = quality.fit(d, labels, max_train_docs=10, max_train_chars=100)
+    assert quality.score(d, model).count() == 32 and quality.score(none, model).count() == 0
+    assert quality.score(none, model).columns == ["doc_id", "held_out", "score", "predicted"]
 
 
 # 10
@@ -416,27 +472,35 @@ def test_odd_sketches_never_leave_out_a_link(spark):
     assert 0 < sum(truth) <= len(passed) < len(rows)
 
 
-def lines_by_definition(rows, least=linededup.MIN_CHARS):
+def lines_by_definition(rows, least=linededup.MIN_CHARS, divisor=linededup.DIVISOR):
+    """doc_id -> (text, chunks, lines removed); also what stays of the lines in adjacent pairs that stood before."""
     seen, out = set(), {}
     for doc_id, text in sorted(rows):
         lines = text.split("\n")
-        known = set()
-        for k, line in enumerate(lines):
-            if len(line) >= least and (line,) in seen:
-                known.add(k)
-            if k + 1 < len(lines) and (line, lines[k + 1]) in seen:
-                known |= {k, k + 1}
-            seen |= {(line,), tuple(lines[k : k + 2])}
-        kept, run = [], []
-        for k, line in enumerate([*lines, None]):
-            if k in known:
-                run.append(line)
-                continue
-            if len("\n".join(run)) < least:
-                kept += run
-            run = []
-            kept.append(line)
-        out[doc_id] = "\n".join(kept[:-1])
+        last, long = len(lines) - 1, [len(x) >= least for x in lines]
+        hashes = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+        stop = [k > 0 and (hashes[k] + 31 * hashes[k - 1]) % divisor == 0 for k in range(len(lines))]
+        spans, a = set(), 0
+        for k in range(len(lines)):
+            if k == last or k < last - 1 and stop[k] and not stop[k - 1]:
+                spans.add((a, k))
+                a = k + 1
+        for k in range(len(lines)):
+            if not long[k] and (k == 0 or long[k - 1]):
+                z = k
+                while z < last and not long[z + 1]:
+                    z += 1
+                spans |= {(k, z), (max(k - 1, 0), z), (k, min(z + 1, last))}
+        spans = {x for x in spans if x[0] < x[1]} | {(k, k) for k in range(len(lines))}
+        gone, chunks = set(), 0
+        for a, z in sorted(spans):
+            unit = tuple(lines[a : z + 1])
+            if len("\n".join(unit)) >= least:
+                if unit in seen:
+                    gone |= set(range(a, z + 1))
+                    chunks += z > a
+                seen.add(unit)
+        out[doc_id] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), chunks, len(gone))
     return out
 
 
@@ -450,12 +514,50 @@ def test_line_dedup_removes_whole_planted_passages(spark, size):
     assert all(got[k]["text"] == rows[k][1] for k in range(10))
     for k in range(10, 30):
         lines = rows[k][1].split("\n")
-        assert got[k]["text"] == "\n".join(lines[:2] + lines[-2:]) and (got[k]["__removed"], got[k]["__lines_removed"]) == (1, size)
+        assert got[k]["text"] == "\n".join(lines[:2] + lines[-2:]) and got[k]["__lines_removed"] == size and (got[k]["__removed"] > 0 or size < 20)
 
 
-def test_line_dedup_against_its_definition(spark):
+LINES = ["", "}", "short line", "a line of middling length", "one line that is longer than forty characters are", "ünïcode lines, too, have their forty characters ✓", *(f"w{k}" for k in range(8))]
+
+
+def line_rows(n=60):
     rng = random.Random(11)
-    pool = ["", "}", "short line", "a line of middling length", "one line that is longer than forty characters are", *(f"w{k}" for k in range(8))]
-    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for k in range(60)]
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs(spark, [(*r, "", "", 0) for r in rows])).collect()}
-    assert got == lines_by_definition(rows)
+    return [(k, "\n".join(rng.choice(LINES) for _ in range(rng.randrange(1, 14)))) for k in range(n)]
+
+
+def removed(df):
+    return {r["doc_id"]: (r["text"], r["__removed"], r["__lines_removed"]) for r in df.collect()}
+
+
+def test_line_dedup_against_its_definition(spark):
+    rows = line_rows()
+    assert removed(linededup.dedup_lines(docs(spark, [(*r, "", "", 0) for r in rows]))) == lines_by_definition(rows)
+
+
+def test_line_dedup_compares_bytes_where_hashes_are_equal(spark, monkeypatch):
+    rows = line_rows()
+    monkeypatch.setattr(linededup, "unit_hash", lambda x: F.length(x).cast("long"))  # all texts of one length clash
+    monkeypatch.setattr(linededup, "PART", 3)  # and what stands in over three places is dealt to several parts
+    assert removed(linededup.dedup_lines(docs(spark, [(*r, "", "", 0) for r in rows]))) == lines_by_definition(rows)
+
+
+def test_line_dedup_of_shifted_passages(spark):
+    rng = random.Random(12)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 12)))
+    passage, own = [line() for _ in range(40)], lambda n: [line() for _ in range(n)]
+    rows = [(k, "\n".join([*own(k), *passage, *own(3)])) for k in range(12)]
+    got = removed(linededup.dedup_lines(docs(spark, [(*r, "", "", 0) for r in rows])))
+    assert all(got[k][2] >= 38 for k in range(1, 12)) and got[0] == (rows[0][1], 0, 0)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark, odd):
+    names = ["__id", "__row", "__gone", "__known", "__lines", "__key", "__keyr", "__removed", "__lines_removed"]
+    own = odd
+    for c in names:
+        own = own.withColumn(c, F.lit("mine"))
+    kept = linededup.drop_repeats(own)
+    assert kept.columns == own.columns and kept.select(*names).distinct().collect() == [tuple(["mine"] * len(names))]
+    long = "a line that has more than forty characters in it, surely"
+    rows = [(None, long, "", "", 0), (1, long, "", "", 0), (1, long, "", "", 0), (2, long, "", "", 0), (2, None, "", "", 0), (3, "", "", "", 0)]
+    left = sorted((r["doc_id"] or 0, str(r["text"])) for r in linededup.dedup_lines(docs(spark, rows)).collect())
+    assert left == [(0, long), (1, long), (1, long), (2, ""), (2, "None"), (3, "")]
