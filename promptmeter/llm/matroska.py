@@ -4,7 +4,9 @@ The parser reads variable-length element ids and sizes (also unknown ones), clus
 groups with no, Xiph, EBML and fixed-size lacing, and cues; each packet has its track, timestamp and byte range.
 The layout follows the published EBML and Matroska specifications (RFC 8794, RFC 9559).
 
-Edge cases: a null text is the empty text; an empty text is one frame of padding.
+Edge cases: a null text is the empty text; an empty text is one frame of padding. A file that isn't Matroska, is cut
+off or contradicts itself is a ValueError of parse(); in packet_table it is one row with its error and no packet, and
+a null file is one such row too, so one broken file costs no other.
 """
 
 from __future__ import annotations
@@ -146,6 +148,13 @@ def _frames(data: bytes, at: int, end: int, how: int) -> list[tuple[int, int]]:
 
 def parse(data: bytes) -> Media:
     """All packets, cues, clusters and tracks of a Matroska file; ValueError where it isn't one."""
+    try:
+        return _parsed(data)
+    except (IndexError, struct.error, OverflowError, ZeroDivisionError) as e:
+        raise ValueError(f"broken file: {e}") from e
+
+
+def _parsed(data: bytes) -> Media:
     out, segment, cluster_time, track, cue = Media(), 0, 0, {}, {}
     stack: list[tuple[int, int]] = []  # ends of open parents; -1: unknown
     at = 0
@@ -160,6 +169,8 @@ def parse(data: bytes) -> Media:
         end = -1 if unknown else body + size
         if end > len(data):
             raise ValueError(f"element {key:X} at byte {at} is cut off")
+        if end > (limit := next((e for _, e in reversed(stack) if e >= 0), len(data))):
+            raise ValueError(f"element {key:X} at byte {at} ends after its parent at byte {limit}")
         while key in _TOP and stack and stack[-1][1] == -1 and (stack[-1][0] != SEGMENT or key in (EBML, SEGMENT)):
             stack.pop()
         if key in _PARENTS:
@@ -184,6 +195,8 @@ def parse(data: bytes) -> Media:
             step = out.tracks.get(number_, {}).get("frame_ns", 0) / out.scale
             out.packets += [(number_, cluster_time + relative + int(k * step), a, b, key == SIMPLE and flags > 127) for k, (a, b) in enumerate(ranges)]
         elif key == TIMESTAMP:
+            if not out.clusters:
+                raise ValueError(f"timestamp outside a cluster at byte {at}")
             cluster_time = int.from_bytes(value, "big")
             out.clusters[-1] = (out.clusters[-1][0], cluster_time)
         elif key == SCALE:
@@ -222,18 +235,23 @@ def feature(media: Media, payload: bytes) -> str:
 _PACKET = "array<struct<packet int, track int, timestamp_ns long, start long, end long, key boolean>>"
 
 
-@column_udf(_PACKET)
+@column_udf("array<struct<packet int, track int, timestamp_ns long, start long, end long, key boolean, error string>>")
 def _packets(files: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in files:
         out = []
         for data in s:
-            m = parse(data) if data else Media()
-            out.append([{"packet": k, "track": t, "timestamp_ns": ts * m.scale, "start": a, "end": b, "key": key} for k, (t, ts, a, b, key) in enumerate(m.packets)])
+            try:
+                if data is None:
+                    raise ValueError("no file")
+                m = parse(data)
+                out.append([{"packet": k, "track": t, "timestamp_ns": ts * m.scale, "start": a, "end": b, "key": key, "error": None} for k, (t, ts, a, b, key) in enumerate(m.packets)])
+            except ValueError as e:
+                out.append([{"packet": None, "track": None, "timestamp_ns": None, "start": None, "end": None, "key": None, "error": str(e)}])
         yield pd.Series(out)
 
 
 def packet_table(files: DataFrame, key: str, media: str) -> DataFrame:
-    """One row a packet of the Matroska files in column `media`: packet, track, timestamp, byte range, key flag."""
+    """One row a packet of the Matroska files in column `media`: packet, track, timestamp, byte range, key flag; a broken or null file is one row with its error."""
     return files.select(key, F.explode(_packets(media)).alias("p")).select(key, "p.*")
 
 
