@@ -4,8 +4,14 @@ Every shingle is hashed once; the upper bits choose its bin, the rest is its val
 Empty bins copy the bin that a 2-universal sequence of probes reaches first. `BITS` low-order bits of each of the
 `BINS` values are stored, and the share of agreeing bins is corrected for accidental agreement.
 
+Documents are compared with their next in order of doc_id: one shuffle by ranges of doc_id, a pass over each sorted
+partition, and a join of each partition's last row with the first of the next one by the partitions' numbers. What
+the driver holds and what a plan says don't depend on the number of rows.
+
 Edge cases: null and empty texts and texts without words have the fingerprint of no shingles, an empty string,
-whose likeness is 1 to itself and 0 to others; fewer than five words are one shingle; equal rows follow one another.
+whose likeness is 1 to itself and 0 to others; fewer than five words are one shingle. Rows with one doc_id follow by
+a hash of their text. Rows whose doc_id is null have no place in the order: they have their size and fingerprint, and
+null for what needs a next document. A document that is alone is its own next.
 """
 
 from __future__ import annotations
@@ -15,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import mix64, shingles
+from .shared import mix64, shingles, written
 
 BINS, BITS, WIDTH = 256, 8, 5
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
@@ -42,64 +49,89 @@ def fingerprint(text: str | None, width: int = WIDTH) -> bytes:
         hit = full[probe]
         bins[open_bins[hit]] = bins[probe[hit]]
         open_bins, attempt = open_bins[~hit], attempt + 1
-    return mix64(bins).astype(np.uint8).tobytes()  # BITS low-order bits
+    return packed(mix64(bins))
+
+
+def packed(values: np.ndarray, bits: int = BITS) -> bytes:
+    """The low-order bits of each value, without gaps."""
+    if bits == 8:
+        return values.astype(np.uint8).tobytes()
+    return np.packbits((values[:, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8), bitorder="little").tobytes()
+
+
+def unpacked(data: bytes, bits: int = BITS) -> np.ndarray:
+    if bits == 8:
+        return np.frombuffer(data, np.uint8)
+    rows = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: len(data) * 8 // bits * bits].reshape(-1, bits)
+    return rows.astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
 
 
 def likeness(a: bytes, b: bytes) -> float:
     """Estimated Jaccard similarity: agreement of the bins, less what b bits agree by accident."""
     if not a or not b:
         return float(a == b)
-    same = float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
+    same = float((unpacked(a) == unpacked(b)).mean())
     accident = 0.5**BITS
     return min(1.0, max(0.0, (same - accident) / (1 - accident)))
 
 
-def with_next(docs: DataFrame, rows_per_slice: int = 2000) -> DataFrame:
-    """Rows (slice, extra, doc_id, text) such that each row's successor by doc_id follows in its slice.
+def _edited(text: str, following: str) -> str:
+    n = len(text)
+    return text[: n - n // 2] + following[: n // 2]
 
-    Slices are ranges of doc_id about as large as one another; each slice ends with a copy (extra) of the first row
-    of the next, the last slice with the first row of all.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    known = docs.where("doc_id is not null")
-    n = max(1, -(-known.count() // rows_per_slice))
-    cuts = sorted(set(known.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
-    at = F.aggregate(F.array(*[F.lit(int(c)) for c in cuts]), F.lit(0), lambda s, c: s + F.when(F.col("doc_id") >= c, 1).otherwise(0)) if cuts else F.lit(0)
-    sliced = known.withColumn("slice", at)
-    starts = {r["slice"]: r["first"] for r in sliced.groupBy("slice").agg(F.min("doc_id").alias("first")).collect()}
-    order = sorted(starts)
-    if not order:
-        return sliced.select("slice", F.lit(0).alias("extra"), "doc_id", "text")
-    before = {starts[s]: order[k - 1] if k else order[-1] for k, s in enumerate(order)}
-    back = F.create_map(*(F.lit(x) for k, s in before.items() for x in (int(k), int(s))))
-    heads = known.where(F.col("doc_id").isin([int(x) for x in before])).groupBy("doc_id").agg(F.min("text").alias("text"))
-    extra = heads.select(back[F.col("doc_id")].alias("slice"), F.lit(1).alias("extra"), "doc_id", "text")
-    every = sliced.select("slice", F.lit(0).alias("extra"), "doc_id", "text").unionByName(extra)
-    return every.repartition(max(n, 1), "slice").sortWithinPartitions("slice", "extra", "doc_id", "text")
-
-
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: tuple | None = None
+
+def _compared(doc_id: int, text: str, own: bytes, following: str, next_print: bytes) -> tuple:
+    edited = _edited(text, following)
+    edited_print = fingerprint(edited)
+    return doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "replace")).digest(), own, edited_print, likeness(own, edited_print), likeness(own, next_print)
+
+
+_OUT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_NAMES = [c.split()[0] for c in _OUT.split(", ")]
+#: Kinds of rows of a pass: compared ones, and the first and the last of a partition, which carry their text.
+DONE, FIRST, LAST = 0, 1, 2
+
+
+def _pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Compares the rows (doc_id, text) of one sorted partition, each with the one after it."""
+    place, held = TaskContext.get().partitionId(), None
+    columns = ["kind", "place", *_NAMES, "text"]
     for pdf in batches:
         out = []
-        for where, extra, doc_id, text in pdf.itertuples(index=False):
+        for doc_id, text in pdf[["doc_id", "text"]].itertuples(index=False):
             own = fingerprint(text)
-            if held and held[0] == where:
-                _, last_id, last, last_print = held
-                n = len(last)
-                edited = last[: n - n // 2] + text[: n // 2]
-                edited_print = fingerprint(edited)
-                out.append((last_id, n, hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), last_print.hex(), edited_print.hex(), likeness(last_print, edited_print), likeness(last_print, own)))
-            held = None if extra else (where, doc_id, text, own)
-        yield pd.DataFrame(out, columns=_COLUMNS)
+            if held:
+                out.append((DONE, place, *_compared(*held, text, own), None))
+            else:
+                out.append((FIRST, place, doc_id, len(text), None, own, None, None, None, text))
+            held = doc_id, text, own
+        yield pd.DataFrame(out, columns=columns)
+    if held:
+        yield pd.DataFrame([(LAST, place, held[0], len(held[1]), None, held[2], None, None, None, held[1])], columns=columns)
 
 
-_COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+def _at_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame([_compared(*row) for row in pdf.itertuples(index=False)], columns=_NAMES)
 
 
-def compare_with_next(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every document, of its edited text, and their likeness to one another and to the next document.
+def _alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame([(None, len(t), None, fingerprint(t), None, None, None) for t in pdf["text"]], columns=_NAMES)
+
 
-    Rows whose doc_id is null have no place in the order and are left out; rows with one doc_id follow by text.
-    """
-    return with_next(docs).mapInPandas(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness to one another and to the next document."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    order = ["doc_id", "h", "text"]
+    ranged = docs.where("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    ranged = ranged.repartitionByRange(*([partitions] if partitions else []), "doc_id", "h").sortWithinPartitions(*order).select("doc_id", "text")
+    rows = written(ranged.mapInPandas(_pass, f"kind int, place int, {_OUT}, text string"), "fingerprints")
+    first = rows.where(F.col("kind") == FIRST).select("place", F.col("text").alias("following"), F.col("fingerprint").alias("next_print"))
+    # the partition after each one that has rows; after the last the first: one number a partition
+    around = first.select("place").withColumn("next", F.coalesce(F.lead("place").over(Window.orderBy("place")), F.min("place").over(Window.partitionBy())))
+    last = rows.where(F.col("kind") == LAST).join(around, "place").join(first.withColumnRenamed("place", "next"), "next")
+    edges = last.select("doc_id", "text", F.col("fingerprint").alias("own"), "following", "next_print").mapInPandas(_at_edges, _OUT)
+    alone = docs.where("doc_id is null").select("text").mapInPandas(_alone, _OUT)
+    out = rows.where(F.col("kind") == DONE).select(*_NAMES).union(edges).union(alone)
+    return out.select(*(F.lower(F.hex(c)).alias(c) if "fingerprint" in c or "sha256" in c else F.col(c) for c in _NAMES))
