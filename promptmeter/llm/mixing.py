@@ -5,8 +5,12 @@ threshold: sizes are summed by source and hash bucket, the bucket in which the r
 found, and only that bucket is refined by further bits of the hash. What a threshold leaves of the budget is
 offered to the smaller rows that were not taken, `phases` times.
 
+All that a row needs to know is one row for its source: its target, and the room and threshold of each phase. That
+table is as large as there are sources; documents are never shuffled with their texts.
+
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; equal rows share their
-hash and are taken together; sources of size 0 have target 0.
+hash and are taken together; sources of size 0 have target 0; an empty table gives none. Targets are found by two
+windows over one row a source, so sources may be millions, not billions.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import count_words, written
+from .shared import count_words, unused, written
 
 BITS, STEP = 60, 12
 WEIGHTS = (3, 1, 2)
@@ -68,33 +72,48 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("src", F.col("low").alias("theta"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, phases: int = 4) -> DataFrame:
-    """doc_id, src, h, size, source_size, target, copies, taken of every row of docs (doc_id, text, source)."""
+def _taken(size: str, h: str):
+    """Whether a row of that size and hash was taken in one of the phases done."""
+    return F.exists("done", lambda d: (F.col(size) <= d["room"]) & (F.col(h) < d["theta"]))
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, phases: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, src, h, size) of docs, and one row a source: src, source_size, target, whole (copies of every row), done (room, theta)."""
     rows = written(docs.select("doc_id", source_key().alias("src"), row_hash().alias("h"), count_words("text").alias("size")), "mixing-rows")
-    goal = written(targets(rows, weights, share, most), "mixing-targets")
+    goal = targets(rows, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("u", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    budgets, taken_if, marks = goal.select("src", "u"), None, rows
+    state = written(goal.withColumn("room", F.col("u")).withColumn("done", F.array().cast("array<struct<room:bigint,theta:bigint>>")), "mixing-state")
     for k in range(phases):
-        free = marks.join(budgets.select("src", F.col("u").alias("room")), "src").where((F.col("size") <= F.col("room")) & (F.lit(True) if taken_if is None else ~taken_if)).select("src", "h", "size")
-        theta = _thresholds(free, budgets)
-        room, limit = f"room{k}", f"theta{k}"
-        marks = marks.join(budgets.select("src", F.col("u").alias(room)), "src").join(theta.withColumnRenamed("theta", limit), "src", "left")
-        now = (F.col("size") <= F.col(room)) & (F.col("h") < F.coalesce(F.col(limit), F.lit((1 << BITS) + 1)))
-        taken_if = now if taken_if is None else taken_if | now
+        free = rows.join(state.select("src", "room", "done"), "src").where((F.col("size") <= F.col("room")) & ~_taken("size", "h")).select("src", "h", "size")
+        theta = _thresholds(free, state.select("src", F.col("room").alias("u")))
+        step = F.struct("room", F.coalesce("theta", F.lit((1 << BITS) + 1)).alias("theta"))
+        after = state.join(theta, "src", "left").withColumn("done", F.concat("done", F.array(step))).drop("theta")
         if k + 1 < phases:
-            spent = marks.groupBy("src").agg(F.sum(F.when(taken_if, F.col("size")).otherwise(0)).alias("spent"))
-            budgets = written(goal.join(spent, "src").select("src", (F.col("u") - F.col("spent")).alias("u")), "mixing-room")
-    out = marks.withColumn("extra", taken_if.cast("long")).join(goal.select("src", "source_size", "target", "whole"), "src")
-    out = out.withColumn("copies", F.col("whole") + F.col("extra"))
+            after = written(after, "mixing-state")
+            spent = rows.join(after.select("src", "done"), "src").groupBy("src").agg(F.sum(F.when(_taken("size", "h"), F.col("size")).otherwise(0)).alias("spent"))
+            after = after.drop("room").join(spent, "src").withColumn("room", F.col("u") - F.col("spent")).drop("spent")
+        state = written(after, "mixing-state")
+    return rows, state.select("src", "source_size", "target", "whole", "done")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, phases: int = 4) -> DataFrame:
+    """doc_id, src, h, size, source_size, target, copies, taken of every row of docs (doc_id, text, source)."""
+    rows, state = plan(docs, weights, share, most, phases)
+    out = rows.join(state, "src").withColumn("copies", F.col("whole") + _taken("size", "h").cast("long"))
     return out.select("doc_id", "src", "h", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs with every row as often as it is taken."""
-    copies = mix(docs, **options).select(F.col("src").alias("__src"), F.col("h").alias("__h"), "copies").distinct()
-    own = docs.withColumn("__src", source_key()).withColumn("__h", row_hash())
-    return own.join(copies, ["__src", "__h"]).where("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows, state = plan(docs, **options)
+    src, h, size, n = (unused(docs, x) for x in ("src", "h", "size", "n"))
+    own = docs.withColumns({src: source_key(), h: row_hash(), size: count_words("text")})
+    names = {c: unused(own, f"of_{c}") for c in state.columns}
+    state = state.withColumnsRenamed(names)
+    taken = F.exists(names["done"], lambda d: (F.col(size) <= d["room"]) & (F.col(h) < d["theta"]))
+    own = own.join(state, F.col(src) == F.col(names["src"])).withColumn(n, (F.col(names["whole"]) + taken.cast("long")).cast("int"))
+    return own.where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def oracle_sql(docs: str = "documents", phases: int = 4) -> str:
