@@ -2,14 +2,17 @@
 
 Weights are learned by follow-the-regularised-leader with elastic-net penalties and the probabilities are
 calibrated by one temperature on documents that training left out. Document frequencies come from every
-labelled row of the learning split; the weights from a bounded sample of them (`max_train_docs`).
+labelled row of the learning split; the weights from a bounded sample of them (`max_train_docs`, `max_train_chars`),
+in one task of an executor, of which the driver gets the model alone.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; without any labelled row every text is.
-A null doc_id belongs to neither split: it is not learned from and held_out is false.
+A null doc_id belongs to neither split: it is not learned from and held_out is false. Rows with one doc_id and one
+text count once in the sample, however often they stand in the table.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column_udf
+from .shared import unused
 
 BITS = 16
 DIMS = 1 << BITS
@@ -143,18 +146,34 @@ def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
     yield pd.DataFrame({"f": np.append(ids, -1), "n": np.append(df[ids], docs)})
 
 
-@column_udf("ids array<int>, counts array<float>")
-def _grams(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in texts:
-        rows = [gram_counts(t) for t in s]
-        yield pd.DataFrame({"ids": [r[0] for r in rows], "counts": [r[1] for r in rows]})
+def _trainer(model: Model, each: int):
+    """A function over the batches of a sample (draw, lang, text): the trained model's parameters, pickled, of at most `each` rows a language."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: dict[str, list[tuple[int, str]]] = {}
+        for pdf in batches:
+            for draw, lang, text in pdf[["draw", "lang", "text"]].itertuples(index=False):
+                rows.setdefault(lang, []).append((draw, text))
+        learn, held = [], []
+        for lang in sorted(rows):
+            for k, (_, text) in enumerate(sorted(rows[lang])[:each]):
+                ids, counts = gram_counts(text)
+                if len(ids):
+                    (held if k % 5 == 4 else learn).append((ids, counts, model.langs.index(lang)))
+        train_ftrl(model, learn)
+        calibrate(model, held)
+        some = np.flatnonzero(model.weights.any(1))
+        yield pd.DataFrame({"model": [pickle.dumps((some, model.weights[some], model.bias, model.temperature))]})
 
-def fit(labelled: DataFrame, max_train_docs: int = 2000, max_langs: int = 500) -> Model:
+    return run
+
+
+def fit(labelled: DataFrame, max_train_docs: int = 2000, max_langs: int = 500, max_train_chars: int = 20_000) -> Model:
     """Learns from rows (doc_id, text, lang); lang null or `und` is no label.
 
-    At most max_train_docs rows, dealt evenly to the languages and chosen by a hash of doc_id, reach the driver;
-    a fifth of them only sets the temperature. More than max_langs languages are refused.
+    The weights come from at most max_train_docs rows of at most max_train_chars characters, dealt evenly to the
+    languages and chosen by a hash of doc_id and text; a fifth of them only sets the temperature. They meet in one
+    task, so both bounds hold its memory. More than max_langs languages are refused.
     """
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and lang <> 'und' and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}
@@ -163,21 +182,20 @@ def fit(labelled: DataFrame, max_train_docs: int = 2000, max_langs: int = 500) -
     model = Model(sorted(sizes), np.ones(DIMS, np.float32), np.zeros((DIMS, len(sizes)), np.float32), np.zeros(len(sizes)))
     if not sizes:
         return model
-    n = dict(rows.select("text").mapInPandas(_document_frequencies, "f int, n long").groupBy("f").agg(F.sum("n")).collect())
-    df = np.array([n.get(k, 0) for k in range(DIMS)], np.float64)
-    model.idf = (np.log((1 + n.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
+    n = rows.select("text").mapInPandas(_document_frequencies, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    f, n, df = n["f"].to_numpy(), n["n"].to_numpy(), np.zeros(DIMS + 1, np.float64)
+    df[f] = n  # -1, the last, is the number of documents
+    model.idf = (np.log((1 + df[-1]) / (1 + df[:DIMS])) + 1).astype(np.float32)
     each = max(2, max_train_docs // len(sizes))
     share = F.create_map(*(F.lit(x) for k, c in sizes.items() for x in (k, min(1.0, 1.3 * each / c))))
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000))
-    sample = rows.withColumn("_draw", draw).where(F.col("_draw") < share[F.col("lang")] * 1_000_000).withColumn("_g", _grams("text")).select("_draw", "lang", "_g.ids", "_g.counts").toPandas()
-    learn, held = [], []
-    for lang, part in sample.sort_values("_draw", kind="stable").groupby("lang"):
-        y = model.langs.index(lang)
-        for k, r in enumerate(part.head(each).itertuples()):
-            if len(r.ids):
-                (held if k % 5 == 4 else learn).append((np.asarray(r.ids), np.asarray(r.counts), y))
-    train_ftrl(model, learn)
-    calibrate(model, held)
+    draw = F.xxhash64(F.lit(11), "doc_id", "text")
+    sample = rows.where(F.length("text") <= max_train_chars).select(draw.alias("draw"), "lang", "text")
+    sample = sample.where(F.pmod("draw", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).distinct().orderBy("draw", "lang", "text").limit(4 * max_train_docs)
+    blank = Model(model.langs, model.idf, np.empty((0, len(sizes)), np.float32), model.bias)
+    found = sample.coalesce(1).mapInPandas(_trainer(blank, each), "model binary").first()
+    if found:
+        some, weights, model.bias, model.temperature = pickle.loads(bytes(found["model"]))
+        model.weights[some] = weights
     return model
 
 
@@ -202,8 +220,8 @@ def held_out(doc_id="doc_id"):
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with the columns lang_pred and score, replacing columns of these names."""
-    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "__lang")]
-    return docs.select(*rest).withColumn("__lang", predictor(model)("text")).select(*rest, "__lang.lang_pred", "__lang.score")
+    rest, of = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")], unused(docs, "lang")
+    return docs.select(*rest, predictor(model)("text").alias(of)).select(*rest, f"{of}.lang_pred", f"{of}.score")
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -212,6 +230,6 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 def reject_unclear(docs: DataFrame, least: float = 0.4, max_train_docs: int = 2000) -> DataFrame:
     """docs without those whose language can't be told: no letter, or best calibrated probability under `least`."""
-    model = fit(learnable(docs), max_train_docs)
-    out = docs.withColumn("__lang", predictor(model)("text")).where((F.col("__lang.lang_pred") != "und") & (F.col("__lang.score") >= least))
+    model, of = fit(learnable(docs), max_train_docs), unused(docs, "lang")
+    out = docs.withColumn(of, predictor(model)("text")).where((F.col(of)["lang_pred"] != "und") & (F.col(of)["score"] >= least))
     return out.select(*docs.columns)
