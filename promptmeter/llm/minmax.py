@@ -10,8 +10,12 @@ bands were independent; as they share values, 600 in all, with about 8e-5 (simul
 How buckets of any size stay whole without listing their pairs: equal sets are one class with one
 representative; in each bucket of the first bands every representative is tested against one hub; of all bands,
 buckets whose documents are one component by then are settled; while many pairs lie between the components of the
-others, these get other hubs; at last the remaining pairs between different components of a bucket
-are tested one by one. Components come from alternating stars.
+others, these get other hubs, up to `hub_rounds` times. At last the pairs between different components of a bucket
+are looked at in blocks: a bucket is dealt to parts of at most PART documents, each two parts meet in one task, and
+only pairs whose sizes and sketches allow the similarity leave it. So no task's work grows with a bucket. A bucket
+of n documents no two of which are near still costs n^2 / 2 comparisons of sketches, spread over (n / PART)^2 / 2
+blocks; leaving any out could lose a link.
+Components come from alternating stars.
 
 Before full sets are compared, pairs that cannot reach the similarity are left out by odd sketches: bit i of a
 sketch is the parity of the number of shingles whose hash falls on i, so two sketches differ in at most as many bits
@@ -19,7 +23,8 @@ as the sets have shingles not in common. That bound is exact: it costs no link.
 than a sketch has bits; their pairs all go on to the full comparison.
 
 Edge cases: a text without words (or null) has an empty set and is linked with nothing; rows with one doc_id are
-one node; rows whose doc_id is null are linked with nothing, have a null component and are kept.
+one node, however many texts they have; rows whose doc_id is null are linked with nothing, have a null component and
+are kept.
 """
 
 from __future__ import annotations
@@ -31,13 +36,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import column_udf, discard, mix64, shingles, written
+from .shared import column_udf, discard, mix64, shingles, unused, written
 
 PERMS, ROWS, BANDS = 300, 10, 100
 #: Bands that the first round looks at.
 FIRST_BANDS = 8
 #: 64-bit words of an odd sketch.
 SKETCH = 16
+#: Documents of a bucket that meet those of another part in one task.
+PART = 2000
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -102,28 +109,20 @@ def _signatures_udf(width: int):
 
 def _sets_udf(width: int):
     def sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        """The upper 40 bits of the shingle hashes, sorted: 5 bytes each."""
+        """The sorted shingle hashes, 8 bytes each."""
         for s in texts:
-            yield pd.Series([(shingles(t, width) >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() for t in s])
+            yield pd.Series([shingles(t, width).tobytes() for t in s])
 
     return column_udf("binary", pinned=True)(sets)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.view(">u8").ravel()
-
-
 @column_udf("long", pinned=True)
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     out, last, last_set = [], None, None
     for x, y in zip(a, b, strict=True):
         if last is None or y != last:
-            last, last_set = y, _unpacked(y)
-        both = np.concatenate((_unpacked(x), last_set))
-        both.sort()
-        out.append(int((both[1:] == both[:-1]).sum()))
+            last, last_set = y, np.frombuffer(y, np.uint64)
+        out.append(len(np.intersect1d(np.frombuffer(x, np.uint64), last_set, assume_unique=True)))
     return pd.Series(out)
 
 
@@ -147,36 +146,60 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs (u, v) those whose full sets reach the similarity."""
+    """Of the pairs (u, v) those whose full sets reach the similarity. A document's set is made once as u and once as v."""
     text = docs.select(F.col("doc_id").alias("u"), "text")
-    left = text.join(pairs.select("u", "v"), "u").select("u", "v", _sets_udf(width)("text").alias("su"))
+    left = text.join(pairs.groupBy("u").agg(F.collect_list("v").alias("vs")), "u").select("u", "vs", _sets_udf(width)("text").alias("su"))
+    left = left.select("u", F.explode("vs").alias("v"), "su")
     hubs = text.join(pairs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select(F.col("u").alias("v"), _sets_udf(width)("text").alias("sv"))
-    tested = left.join(hubs, "v").select("u", "v", _common("su", "sv").alias("c"), ((F.length("su") + F.length("sv")) / 5).cast("long").alias("n"))
+    tested = left.join(hubs, "v").select("u", "v", _common("su", "sv").alias("c"), ((F.length("su") + F.length("sv")) / 8).cast("long").alias("n"))
     return tested.where(F.col("c") * 100 >= (F.col("n") - F.col("c")) * percent).select("u", "v").distinct()
 
 
+def _able(percent: int):
+    """Whether the set sizes of (u, nu, v, nv) allow the similarity."""
+    return (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (F.col("u") != F.col("v"))
+
+
 def _pairs(rows: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
     """Distinct pairs u > v of rows (u, nu, v, nv) whose set sizes, and sketches (su, sv) where there are any, allow the similarity and that are not tested yet."""
     if "su" in rows.columns:
         rows = rows.where(_may_reach(F.col("su"), F.col("sv"), F.col("nu") + F.col("nv"), percent))
-    rows = rows.where((F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (F.col("u") != F.col("v")))
-    rows = rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    rows = rows.where(_able(percent)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     return written(rows if tested is None else rows.join(tested, ["u", "v"], "left_anti"), "minmax-pairs")
 
 
+def _across(named: DataFrame, percent: int) -> DataFrame:
+    """u, nu, v, nv of the pairs between components of one bucket that sizes and sketches allow, looked at in blocks.
+
+    A bucket of m documents has p = m / PART parts; a document goes to the p blocks that its part forms with the others.
+    """
+    sizes = named.groupBy("band").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band", (F.floor(F.col("m") / PART) + 1).cast("int").alias("p"))
+    dealt = named.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("p")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    dealt = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    a, b = (dealt.select("band", "low", "high", F.col("part").alias(f"p{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
+    # within a part each pair is met once by the order of components, between two parts by the order of parts
+    once = F.when(F.col("low") == F.col("high"), F.col("cu") > F.col("cv")).otherwise((F.col("cu") != F.col("cv")) & (F.col("pu") > F.col("pv")))
+    # the optimizer makes the filter part of the join
+    met = a.join(b, ["band", "low", "high"]).where(once & _able(percent) & _may_reach(F.col("su"), F.col("sv"), F.col("nu") + F.col("nv"), percent))
+    return met.select("u", "nu", "v", "nv")
+
+
 def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with c, the component of doc_id so far."""
     return rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sig = written(docs.withColumn("s", _signatures_udf(width)("text")).select("doc_id", "s.*"), "minmax-sig")
     full = sig.where("n > 0 and doc_id is not null")
     classes = written(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "minmax-classes")
     member = full.join(classes, ["n", "d1", "d2"])
-    again = member.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("u")).where("u > v").select("u", "v")
+    # rows of one doc_id with several texts: every representative is linked with the smallest
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where("w > v").select("doc_id", "v")
+    again = member.select("doc_id", F.col("rep").alias("u")).join(several, "doc_id").where("u > v").select("u", "v").distinct()
     reps = written(member.where("doc_id = rep").select("doc_id", "n", "bands", "sketch"), "minmax-reps")
     # First a few bands alone: they join most copies, whose buckets then need no second look.
     rows = reps.select("doc_id", "n", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"))
@@ -202,9 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
         if k <= hub_rounds:
             rows = named.join(mixed, "band").where("c <> h.c").select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("h.doc_id").alias("v"), F.col("h.n").alias("nv"), F.col("sketch").alias("su"), F.col("h.sketch").alias("sv"))
         else:  # the pairs that are left between components of one bucket
-            rest = named.join(mixed.select("band"), "band", "left_semi")
-            a, b = (rest.select("band", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
-            rows = a.join(b, "band").where("cu > cv")
+            rows = _across(named, percent)
         pairs = _pairs(rows, tested, percent)
         found = written(_verified(docs, pairs, width, percent), "minmax-links")
         if found.isEmpty():
@@ -221,7 +242,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document, the smallest doc_id, of each group; of rows with one doc_id the first by text stays."""
-    keep = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    known = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
-    known = known.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__copy = 1")
+    keep, copy = unused(docs, "keep"), unused(docs, "copy")
+    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias(keep)).distinct()
+    known = docs.join(kept, docs["doc_id"] == kept[keep], "left_semi")
+    known = known.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(copy) == 1)
     return known.select(*docs.columns).union(docs.where("doc_id is null"))

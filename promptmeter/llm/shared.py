@@ -86,7 +86,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash; forgets all words once it holds too many, so its memory is bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
