@@ -134,6 +134,36 @@ def test_near_duplicates_against_all_pairs(spark, width):
     assert all(n == len(shared.shingles(t, width)) for (k, t), n in zip(rows, (got[k][2] for k, _ in rows)))
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(1, a), (5, b), (9, a), (9, b), (9, c), (7, c), (8, "by itself"), (None, a)]
+    got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in minmax.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    assert got == [(0, None, True), (1, 1, True), (5, 1, False), (7, 1, False), (8, 8, True), (9, 1, False), (9, 1, False), (9, 1, False)]
+
+
+def test_buckets_of_distinct_documents_are_looked_at_in_blocks(spark, monkeypatch):
+    rng = random.Random(33)
+    shared_words = [f"s{k}" for k in range(60)]  # a template: documents of it are near 0.7, some of them over 0.8
+    rows = []
+    for k in range(150):
+        own = [f"o{rng.randrange(12)}x{j}" for j in range(rng.choice([4, 12]))]
+        rows.append((k, " ".join(shared_words + own)))
+    monkeypatch.setattr(minmax, "PART", 7)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (0, 2):
+        got = {r["doc_id"]: r["component_id"] for r in minmax.near_duplicates(d, 2, hub_rounds=rounds).collect()}
+        assert got == brute_components(rows, 2)
+    labelled = spark.createDataFrame([(1, k, 50, k % 3, [0] * minmax.SKETCH) for k in range(40)], "band long, doc_id long, n long, c long, sketch array<long>")
+    met = minmax._across(labelled, 80).select(F.greatest("u", "v"), F.least("u", "v")).collect()
+    assert sorted(map(tuple, met)) == sorted((u, v) for u in range(40) for v in range(u) if u % 3 != v % 3)  # each pair once
+
+
+def test_near_dedup_keeps_columns_of_any_name(spark, odd):
+    own = odd.withColumn("__copy", F.lit("mine")).withColumn("__keep", F.lit("mine"))
+    kept = minmax.drop_near_duplicates(own)
+    assert kept.columns == own.columns and kept.select("__copy", "__keep").distinct().collect() == [("mine", "mine")]
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     got = minmax.near_duplicates(odd, 2).collect()
     assert len(got) == len(ODD) and {(r["doc_id"], r["n_shingles"]) for r in got} >= {(1, 0), (2, 0), (4, 1), (6, 1), (3, 4)}
@@ -156,20 +186,39 @@ def test_fingerprints_against_the_definition(spark):
     rng = random.Random(4)
     rows = [(k * 3, words(rng, rng.randrange(0, 60), ["a", "é", "cd", "xyz", "日本"]), "", "", 0) for k in range(50)]
     d = docs(spark, rows)
-    ids = [r[0] for r in rows]
-    for size in (7, 1000):
-        got = {r["doc_id"]: r for r in fingerprints.with_next(d, size).mapInPandas(fingerprints._compare, fingerprints_schema()).collect()}
-        assert sorted(got) == ids
+    for parts in (1, 7, 120):  # one partition, several, and more than there are rows
+        got = {r["doc_id"]: r for r in fingerprints.compare_with_next(d, parts).collect()}
+        assert sorted(got) == [r[0] for r in rows]
         for k, (doc_id, text, *_) in enumerate(rows):
             following = rows[(k + 1) % len(rows)][1]
             n = len(text)
-            edited = text[: n - n // 2] + following[: n // 2]
-            assert (got[doc_id]["n_chars"], got[doc_id]["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
-            assert got[doc_id]["fingerprint"] == fingerprints.fingerprint(text).hex()
-
-
-def fingerprints_schema():
-    return "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+            edited, own = text[: n - n // 2] + following[: n // 2], got[doc_id]
+            assert (own["n_chars"], own["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
+            assert own["fingerprint"] == fingerprints.fingerprint(text).hex() and own["edited_fingerprint"] == fingerprints.fingerprint(edited).hex()
+            sets = [set(shared.shingles(t, 5).tolist()) for t in (text, edited, following)]
+            for name, other in (("near_edited", sets[1]), ("near_next", sets[2])):
+                true = len(sets[0] & other) / len(sets[0] | other) if sets[0] | other else 1.0
+                assert abs(own[name] - true) < 0.16
+
+
+def test_fingerprints_against_a_plain_form():
+    """One permutation: a bin's value is its least hash, an empty bin's that of the first full bin of its probes."""
+    text = " ".join(f"w{k}" for k in range(90))
+    hashes, size = shared.shingles(text, 5).tolist(), fingerprints.BINS
+    full = {}
+    for h in hashes:
+        full[h * size >> 64] = min(h, full.get(h * size >> 64, 1 << 64))
+    values = []
+    for b in range(size):
+        probe, attempt = b, 0
+        while probe not in full:
+            attempt += 1
+            probe = int(shared.mix64(np.array([(b * 0x9E3779B97F4A7C15 + attempt) % 2**64], np.uint64))[0]) * size >> 64
+        values.append(full[probe])
+    assert fingerprints.fingerprint(text) == fingerprints.packed(shared.mix64(np.array(values, np.uint64)))
+    for bits in (1, 2, 4, 8, 16):
+        x = np.array(values, np.uint64)
+        assert (fingerprints.unpacked(fingerprints.packed(x, bits), bits) == (x & np.uint64((1 << bits) - 1))).all()
 
 
 def test_fingerprints_estimate_similarity():
@@ -182,8 +231,12 @@ def test_fingerprints_estimate_similarity():
 
 
 def test_fingerprints_of_odd_rows(spark, odd, none):
-    assert fingerprints.compare_with_next(odd).count() == len(ODD) - 1
-    assert fingerprints.compare_with_next(none).count() == 0
+    got = fingerprints.compare_with_next(odd).collect()
+    assert len(got) == len(ODD) and fingerprints.compare_with_next(none).count() == 0
+    alone = next(r for r in got if r["doc_id"] is None)
+    assert alone["n_chars"] == 5 and alone["fingerprint"] == fingerprints.fingerprint("no id").hex() and alone["near_next"] is None
+    one = fingerprints.compare_with_next(docs(spark, [(7, "a b c d e f", "", "", 0)])).first()
+    assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"a b c a b c").hexdigest()
 
 
 # 5
@@ -212,11 +265,41 @@ def test_unknown_sizes_and_broken_files():
     file = matroska.mux(b"abc" * 1000)
     at = file.index(bytes.fromhex("18538067")) + 4
     assert len(matroska.parse(file[:at] + b"\x01" + b"\xff" * 7 + file[at + 8 :]).packets) == 6
-    for broken in (file[:-3], b"\x00" * 40):
+    for broken in (file[:-3], b"\x00" * 40, b"\x1a", b"\xe7\x81\x05"):
         with pytest.raises(ValueError):
             matroska.parse(broken)
 
 
+def test_media_cut_or_changed_anywhere_is_an_error_or_a_table(spark):
+    file = matroska.mux(bytes(range(256)) * 9)
+    rng = random.Random(55)
+    files = [file[:k] for k in range(len(file))]
+    for _ in range(1500):
+        x = bytearray(file)
+        x[rng.randrange(min(400, len(x)))] = rng.randrange(256)
+        files.append(bytes(x))
+    good = 0
+    for x in files:
+        try:
+            good += all(0 <= a <= b <= len(x) for _, _, a, b, _ in matroska.parse(x).packets)
+        except ValueError:
+            pass
+    assert good > 100
+    d = spark.createDataFrame([(1, bytearray(file)), (2, bytearray(file[:-3])), (3, None), (4, bytearray(b"\x1a"))], "doc_id long, media binary")
+    got = matroska.packet_table(d, "doc_id", "media").collect()
+    assert [r["doc_id"] for r in got if r["error"]] == [2, 3, 4] and sum(r["doc_id"] == 1 for r in got) == 4
+
+
+def test_media_of_any_text(spark):
+    rng = random.Random(56)
+    texts = ["".join(rng.choice(["a", "é", "日", "\n", "x" * 50]) for _ in range(rng.randrange(0, 300))) for _ in range(25)] + ["é" * 288, "x" * 576]
+    got = {r["doc_id"]: r for r in matroska.round_trip(docs(spark, [(k, t, "", "", 0) for k, t in enumerate(texts)])).collect()}
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        whole = raw.ljust(max(576, -(-len(raw) // 576) * 576), b"\xff")
+        assert (got[k]["n_bytes"], got[k]["payload_bytes"], got[k]["payload_sha256"], got[k]["tail_crc32"]) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]))
+
+
 def test_media_of_odd_rows(spark, odd, none):
     got = {r["doc_id"]: r for r in matroska.round_trip(odd).collect()}
     assert got[1]["n_bytes"] == 0 and got[1]["payload_bytes"] == 576 and got[1]["payload_sha256"] == hashlib.sha256(b"\xff" * 576).hexdigest()
@@ -342,6 +425,11 @@ def test_mix(spark, odd, none):
     assert mixing.mixed(docs(spark, rows)).count() == sum(r["copies"] for r in got)
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
     assert mixing.mixed(odd).columns == odd.columns
+    own = odd.withColumns({c: F.lit("mine") for c in ("copies", "__src", "__h", "__n", "src", "done", "whole", "room", "target")})
+    kept = mixing.mixed(own)
+    assert kept.columns == own.columns and kept.count() == mixing.mixed(odd).count() and kept.select("copies", "__h", "done").distinct().collect() == [("mine", "mine", "mine")]
+    again = sorted(map(tuple, mixing.mix(docs(spark, rows[::-1])).collect()), key=str)
+    assert again == sorted(map(tuple, got), key=str)  # reruns agree, whatever the order of rows
 
 
 # 9
