@@ -125,6 +125,13 @@ def pico(cost) -> Column:
 
 def fixed_point(cost) -> Column:
     """US dollars with twelve decimals, as text."""
-    digits = pico(cost).cast("string")
+    whole = pico(cost)
+    digits = F.abs(whole).cast("string")
     digits = F.when(F.length(digits) < 13, F.lpad(digits, 13, "0")).otherwise(digits)
-    return F.concat(digits.substr(F.lit(1), F.length(digits) - 12), F.lit("."), F.right(digits, F.lit(12)))
+    return F.concat(F.when(whole < 0, "-").otherwise(""), digits.substr(F.lit(1), F.length(digits) - 12), F.lit("."), F.right(digits, F.lit(12)))
+
+
+def quoted(text) -> Column:
+    """A JSON string."""
+    whole = F.to_json(F.array(_c(text)))
+    return whole.substr(F.lit(2), F.length(whole) - 2)

@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fixed_point
+from ..functions.text import fixed_point, quoted
 
 COLUMNS = ["ChargePeriodStart", "ChargeCategory", "BilledCost", "ResourceId", "ResourceType", "RegionId", "ServiceCategory", "ServiceName", "ConsumedQuantity", "ConsumedUnit", "Tags"]
 # Tag keys that users can't set. The key of the export's own type is a parameter (see tags_json).
 RESERVED = ["focus-version", "focus-target", "provider", "model", "effective-cost", "resource-name", "x-token-count-input", "x-token-count-output", "x-cache-hit-ratio", "x-content-hash"]
 
 
-def quoted(text: Column) -> Column:
-    """A JSON string."""
-    whole = F.to_json(F.array(text))
-    return whole.substr(F.lit(2), F.length(whole) - 2)
-
-
 def canonical_json(encoded: Column) -> Column:
     """A map of keys to encoded values as JSON: keys in byte order, no blanks."""
     entries = F.array_sort(F.map_entries(encoded))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import token_cost
-from ..functions.text import approximate_tokens, pico
+from ..functions.text import approximate_tokens, pico, quoted
 
 _RECORD = "usage struct<prompt_tokens string, completion_tokens string, total_tokens string, completion_tokens_details struct<reasoning_tokens string>>, input_tokens string, output_tokens string"
 _WHOLE = "^[0-9]{1,19}$"
@@ -63,19 +65,24 @@ def as_json(rows: DataFrame) -> Column:
     six = lambda c: F.format_string("%.6f", c)
     log = F.concat(F.lit('{"input":'), "input", F.lit(',"output":'), "output", F.lit(',"reasoning":'), "reasoning", F.lit(',"cost":'), six(F.col("cost")), F.lit("}"))
     raw = F.concat(F.lit('{"tokens":'), "input", F.lit(',"cost":'), six(F.col("cost")), F.lit("}"))
-    usage = F.to_json(F.struct(F.col("input").alias("input_tokens"), F.col("cost").alias("cost_usd")))
-    # an object keeps its members as they are written; usage is set or replaced
-    entries = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: k != "usage")
-    members = F.transform(F.map_entries(entries), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), _member(e["value"])))
-    enriched = F.concat(F.lit("{"), F.concat_ws(",", members), F.when(F.size(members) > 0, ",").otherwise(""), F.lit('"usage":'), usage, F.lit("}"))
+    usage = F.concat(F.lit('{"input_tokens":'), "input", F.lit(',"cost_usd":'), json_number(F.col("cost")), F.lit("}"))
+    # an object keeps its members, with their types and in their order; usage is set where it stands or at the end
+    members = F.map_entries(F.from_json("value", "map<string,variant>"))
+    written = F.transform(members, lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.when(e["key"] == "usage", usage).otherwise(F.coalesce(F.to_json(e["value"]), F.lit("null")))))
+    own = F.when(F.exists(members, lambda e: e["key"] == "usage"), written).otherwise(F.concat(written, F.array(F.concat(F.lit('"usage":'), usage))))
+    enriched = F.concat(F.lit("{"), F.concat_ws(",", own), F.lit("}"))
     error = F.to_json(F.struct("error"))
     return F.when(F.col("kind") == "usage", log).when(F.col("kind") == "object", enriched).when(F.col("kind") == "error", error).otherwise(raw)
 
 
-def _member(value: Column) -> Column:
-    """A member's JSON: text that is itself JSON other than a bare string stays, other text is quoted."""
-    quoted = F.to_json(F.array(value))
-    return F.when(value.isNull(), "null").when(F.try_parse_json(value).isNotNull(), value).otherwise(quoted.substr(F.lit(2), F.length(quoted) - 2))
+def json_number(x: Column) -> Column:
+    """A double in its shortest decimal form, with a small e: 2.68e-4, 3e-7, 0.5, 0."""
+    return F.lower(F.regexp_replace(x.cast("string"), r"\.0(E|$)", "$1"))
+
+
+def summary_text(sums: DataFrame) -> DataFrame:
+    """The summary block of totals() as one text: lines, tokens, cost with six decimals."""
+    return sums.select(F.format_string("Lines: %d\nTokens: %d\nCost: $%.6f", "lines", "tokens", F.col("cost_pico").cast("double") / 1e12).alias("text"))
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -95,6 +102,9 @@ def until_quota(rows: DataFrame, order: str, max_tokens: int | None = None, max_
     sums = each.groupBy("__s").agg(F.sum("__t").alias("st"), F.sum("__c").alias("sc"), F.sum(F.col("__ok").cast("long")).alias("sn"))
     before = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__s", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b{c}") for c in ("st", "sc", "sn")))
+    # slices behind the limit are left out before their rows are moved
+    within = [F.col(c) < limit for limit, c in ((max_tokens, "bst"), (max_cost_pico, "bsc")) if limit is not None]
+    starts = starts.where((F.col("bsn") == 0) | reduce(lambda a, b: a & b, within, F.lit(True)))
     inside = Window.partitionBy("__s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     prior = lambda base, c: F.col(base) + F.coalesce(F.sum(c).over(inside), F.lit(0))
     out = each.join(starts, "__s").select(*rows.columns, prior("bst", "__t").alias("__pt"), prior("bsc", "__c").alias("__pc"), prior("bsn", F.col("__ok").cast("long")).alias("__pn"))
