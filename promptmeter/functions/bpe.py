@@ -68,23 +68,50 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks.get(piece[a : end[a]], 0) for a in range(n) if alive[a]]
 
 
+def native_merger(encoding: Encoding):
+    """A compiled function piece -> ids with the same ranks, or None where none is installed or it could differ.
+
+    It needs all 256 single bytes, and takes a piece that is itself a token as it is, so such pieces are merged here.
+    """
+    ranks = encoding.ranks
+    try:
+        from tiktoken._tiktoken import CoreBPE
+    except ImportError:
+        return None
+    if any(bytes([b]) not in ranks for b in range(256)) or max(map(len, ranks)) > LONGEST:
+        return None
+    core = CoreBPE(ranks, {}, r"(?s:.)")
+    return lambda piece: merge(piece, ranks) if piece in ranks else core.encode_single_piece(piece)
+
+
 class Encoder:
-    def __init__(self, encoding: Encoding, most: int = 200_000):
+    """Ids of pieces, remembered in two generations: a full one becomes the old one, whose pieces come back on use."""
+
+    def __init__(self, encoding: Encoding, most: int = 100_000, native: bool = True):
         if encoding.ranks is None:
             raise ValueError(f"{encoding.name} has no vocabulary")
         self.encoding, self.most = encoding, most
+        self.merge = native and native_merger(encoding) or (lambda piece: merge(piece, encoding.ranks))
         self.memo: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
 
-    def ids(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for p in split(text, self.encoding.kind):
-            ids = self.memo.get(p)
+    def piece(self, p: str) -> list[int]:
+        ids = self.memo.get(p)
+        if ids is None:
+            ids = self.old.get(p)
             if ids is None:
-                if len(self.memo) >= self.most:
-                    self.memo.clear()
-                self.memo[p] = ids = merge(p.encode("utf-8", "replace"), self.encoding.ranks)
-            out += ids
-        return out
+                ids = self.merge(p.encode("utf-8", "replace"))
+            if len(self.memo) >= self.most:
+                self.old, self.memo = self.memo, {}
+            self.memo[p] = ids
+        return ids
+
+    def ids(self, text: str | None) -> list[int]:
+        return [i for p in split(text, self.encoding.kind) for i in self.piece(p)]
+
+    def count(self, text: str | None) -> int:
+        memo, piece = self.memo.get, self.piece
+        return sum(len(memo(p) or piece(p)) for p in split(text, self.encoding.kind))
 
 
 def _column(text, encoding: Encoding, of, returns: str) -> Column:
@@ -95,7 +122,7 @@ def _column(text, encoding: Encoding, of, returns: str) -> Column:
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(shared.value)
         for s in texts:
-            yield s.map(lambda t: of(encoder.ids(t)))
+            yield s.map(lambda t: of(encoder, t))
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, returns)(text)
@@ -103,20 +130,39 @@ def _column(text, encoding: Encoding, of, returns: str) -> Column:
 
 def encode(text, encoding: Encoding) -> Column:
     """Token ids; an encoding without vocabulary is an error."""
-    return _column(text, encoding, lambda ids: ids, "array<int>")
+    return _column(text, encoding, Encoder.ids, "array<int>")
 
 
 def count_tokens(text, encoding: Encoding | None) -> Column:
     """struct(tokens, approximate): exact with a vocabulary, else the number of words (1 if there are only blanks)."""
     if encoding is None or encoding.ranks is None:
         return F.struct(approximate_tokens(text).alias("tokens"), F.lit(True).alias("approximate"))
-    return F.struct(_column(text, encoding, len, "long").alias("tokens"), F.lit(False).alias("approximate"))
+    return F.struct(_column(text, encoding, Encoder.count, "long").alias("tokens"), F.lit(False).alias("approximate"))
 
 
 def decode(rows: DataFrame, ids: str, vocabulary: DataFrame) -> DataFrame:
-    """rows with column `bytes`: the ids' bytes in order; ids that the vocabulary (token, rank) lacks add none."""
-    one = rows.withColumn("__row", F.monotonically_increasing_id())
-    each = one.select("__row", F.posexplode(ids).alias("__at", "rank")).join(vocabulary.select("rank", "token"), "rank", "left")
-    joined = each.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__at", F.hex("token").alias("h")))).alias("__parts"))
-    text = F.unhex(F.concat_ws("", F.transform("__parts", lambda x: F.coalesce(x["h"], F.lit("")))))
-    return one.join(joined, "__row", "left").withColumn("bytes", F.coalesce(text, F.lit(b""))).drop("__row", "__parts")
+    """rows with column `bytes`: the ids' bytes in order; ids that the vocabulary (token, rank) lacks add none.
+
+    Vocabularies are bounded (ranks_of refuses larger ones), so every worker has the whole one.
+    """
+    from ..sources.files import ranks_of
+
+    shared = rows.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks_of(vocabulary).items()})
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        token = shared.value.get
+        for s in batches:
+            yield s.map(lambda x: b"" if x is None else b"".join(token(i, b"") for i in x))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return rows.withColumn("bytes", F.pandas_udf(run, "binary")(ids))
+
+
+def parity_counts(cases: DataFrame, encodings: dict[str, Encoding]) -> DataFrame:
+    """passed, failed, skipped of cases (encoding, text, tokens): whether encoding the text gives the tokens; unknown encodings are skipped."""
+    verdict = F.lit("skipped")
+    for name, encoding in encodings.items():
+        if encoding.ranks is not None:
+            verdict = F.when(F.col("encoding") == name, F.when(encode("text", encoding) == F.col("tokens"), "passed").otherwise("failed")).otherwise(verdict)
+    kinds = cases.select(verdict.alias("v"))
+    return kinds.agg(*(F.count_if(F.col("v") == v).alias(v) for v in ("passed", "failed", "skipped")))

@@ -12,11 +12,11 @@ from ..functions.text import approximate_tokens, byte_length, compression, ferti
 def with_prices(rows: DataFrame, prices: DataFrame, missing: str = "error") -> DataFrame:
     """rows (model, ...) with their prices; a model without price is an error, dropped, or priced 0 (zero).
 
-    Price tables hold at most a thousand models, which their reader checks, so they are broadcast.
+    No hint is given: a table of a thousand models is broadcast by its size, one of any size is joined as such.
     """
     if missing == "drop":
-        return rows.join(F.broadcast(prices), "model")
-    out = rows.join(F.broadcast(prices.withColumn("__known", F.lit(True))), "model", "left")
+        return rows.join(prices, "model")
+    out = rows.join(prices.withColumn("__known", F.lit(True)), "model", "left")
     if missing == "error":
         stop = F.raise_error(F.concat(F.lit("no price for model "), F.coalesce("model", F.lit("null"))))
         return out.where(F.when(F.col("__known").isNull(), stop.cast("boolean")).otherwise(True)).drop("__known")

@@ -81,6 +81,16 @@ def sticky_comment(comments: DataFrame, marker: str) -> DataFrame:
     return comments.where(F.col("body").contains(marker)).agg(F.max("id").alias("id")).where("id IS NOT NULL")
 
 
+COMMENT_PAGES, PAGE_SIZE = 10, 100
+
+
+def comment_action(comments: DataFrame, marker: str) -> DataFrame:
+    """One row action (create or update), id: of the first ten pages of comments (id, body), in order of id, the last with the marker is updated."""
+    seen = comments.orderBy("id").limit(COMMENT_PAGES * PAGE_SIZE)
+    last = seen.where(F.col("body").contains(marker)).agg(F.max("id").alias("id"))
+    return last.select(F.when(F.col("id").isNull(), "create").otherwise("update").alias("action"), "id")
+
+
 def changes_table(changes: DataFrame, style: str = "table", most: int = 10_000) -> str:
     """The ordered changes as text table, json or markdown, for a person to read; more than `most` rows are refused."""
     rows = ordered(changes).limit(most + 1).collect()

@@ -16,9 +16,10 @@ MOST_TEXT, MOST_LINE = 100 * 1024 * 1024, 10 * 1024 * 1024
 
 
 def read_texts(spark: SparkSession, path: str | list[str], most: int = MOST_TEXT) -> DataFrame:
-    """path, content of whole files up to `most` bytes."""
+    """path, content of whole files; one above `most` bytes is an error."""
     out = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
-    return out.where(F.octet_length("content") <= most)
+    stop = F.raise_error(F.concat(F.lit("file too large: "), "path"))
+    return out.withColumn("content", F.when(F.octet_length("content") > most, stop).otherwise(F.col("content")))
 
 
 def from_text(spark: SparkSession, text: str) -> DataFrame:
