@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bpe, models, pretok, text
-from ..operators import costs, fairness, focus, governance, usage
-from ..sources.files import lines_of, ranks_of, read_tiktoken
+from ..operators import costs, fairness, focus, governance, render, usage
+from ..sources import config, pricing
+from ..sources.files import is_prompt_path, lines_of, ranks_of, read_tiktoken
 from ..sources.pricing import packaged_prices, prices_sql, staleness
 
 GPT_4O = (5.00, 20.00, None)
@@ -318,6 +319,166 @@ def q_cost_rollup(spark, sf_dir):
     return rows.withColumn("pico", text.pico(models.token_cost("tokens", zero, zero))).rollup("provider", "model").agg(F.sum("tokens").alias("tokens"), F.sum("pico").cast("long").alias("cost_pico"))
 
 
+def q_report_text(spark, sf_dir):
+    return render.report_text(costs.report(_docs(spark, sf_dir), 5.0), "gpt-4o")
+
+
+def q_report_json(spark, sf_dir):
+    return render.report_json(costs.report(_docs(spark, sf_dir), 5.0), "gpt-4o")
+
+
+def q_models_json(spark, sf_dir):
+    return render.models_json(q_models(spark, sf_dir))
+
+
+def q_models_text(spark, sf_dir):
+    return render.models_text(q_models(spark, sf_dir))
+
+
+def _estimated(spark, sf_dir):
+    rows = costs.text_costs(_docs(spark, sf_dir).withColumn("model", F.lit("gpt-4o")), packaged_prices(spark))
+    rows = rows.withColumn("r", text.resource_id(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("id-"), F.col("doc_id").cast("string"))), "path"))
+    return rows.withColumns({"resource_id": F.col("r.value"), "id_source": F.col("r.source")})
+
+
+def q_estimate_scan(spark, sf_dir):
+    """The lines of an estimate over a manifest."""
+    return render.estimate_lines(_estimated(spark, sf_dir)).select("path", "text")
+
+
+def q_estimate_files(spark, sf_dir):
+    """The blocks of an estimate over files."""
+    return render.estimate_lines(_estimated(spark, sf_dir), scan=False).select("path", "text")
+
+
+def q_estimate_total(spark, sf_dir):
+    return render.estimate_total(_estimated(spark, sf_dir))
+
+
+def q_fairness_json(spark, sf_dir):
+    return render.fairness_json(q_fairness_words(spark, sf_dir), "gpt-4o", "o200k_base", "en")
+
+
+def q_fairness_text(spark, sf_dir):
+    return render.fairness_text(q_fairness_words(spark, sf_dir), "gpt-4o", "o200k_base", "en")
+
+
+#: Word counts given for a language, and how the words of others are counted.
+GIVEN_WORDS, WORD_MODES = {"fr": 100_000}, {"de": "character", "es": "heuristic"}
+
+
+def q_fairness_words(spark, sf_dir):
+    """Word modes by language and given word counts, on blank-separated pieces as tokens, which SQL can count too."""
+    d = _docs(spark, sf_dir)
+    mode = F.coalesce(F.create_map(*(F.lit(x) for kv in WORD_MODES.items() for x in kv))[F.col("lang")], F.lit("whitespace"))
+    rows = fairness.by_language(d, n_words=text.word_count_by("content", mode), tokens=F.size(pretok.pieces_sql("content", "spaces")).cast("long"))
+    given = F.create_map(*(F.lit(x) for k, n in GIVEN_WORDS.items() for x in (k, n)))[F.col("lang")].cast("long")
+    rows = rows.withColumn("words", F.coalesce(given, "words")).withColumn("fertility", text.fertility("tokens", "words"))
+    return fairness.with_parity(rows, "en")
+
+
+def q_fairness_exact(spark, sf_dir):
+    """Fertility and parity on exact byte-pair counts of a public vocabulary."""
+    tokens = bpe.count_tokens("content", _public_encoding(spark))
+    counted = _docs(spark, sf_dir).withColumn("n", tokens["tokens"])
+    return fairness.with_parity(fairness.by_language(counted, n_words=text.words("content"), tokens=F.col("n")), "en")
+
+
+def q_bpe_decode(spark, sf_dir):
+    """Whether decoding the ids of a text gives its bytes back."""
+    encoding = _public_encoding(spark)
+    vocabulary = spark.createDataFrame([(bytearray(t), r) for t, r in encoding.ranks.items()], "token binary, rank int")
+    rows = _docs(spark, sf_dir).select("doc_id", "content", bpe.encode("content", encoding).alias("ids"))
+    return bpe.decode(rows, "ids", vocabulary).select("doc_id", (F.col("bytes") == F.col("content").cast("binary")).alias("same"), F.octet_length("bytes").cast("long").alias("n_bytes"))
+
+
+def _manifest(n: int = 30) -> str:
+    head = '[budget]\nmax_cost_usd = 0.05  # US dollars\nwarn_threshold = 0.5\n[policy]\nallowed_models = ["gpt-4o", "gpt-4o-mini"]\n[defaults]\nmodel = "gpt-4o"\n[other]\nx = 1\n'
+    models_ = ["", 'model = "gpt-4o-mini"\n', 'model = "claude-sonnet-4"\n']
+    return head + "".join(f'[[prompts]]\npath = "doc-{k}.txt"\nprompt_id = "p{k}"\n{models_[k % 3 if k % 5 == 0 else 0]}tags = {{ team = "t{k % 4}", n = "{k}" }}\n' for k in range(n))
+
+
+def _manifest_costs(spark, sf_dir):
+    """A parsed manifest's prompts with the cost of their documents; paths that no document has are dropped."""
+    policy = config.parse_manifest(_manifest())
+    prompts = config.prompts_table(spark, policy).withColumn("default_model", F.lit(policy.default_model))
+    prompts = prompts.withColumn("model", costs.model_of("check_manifest"))
+    found = _docs(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "content")
+    return policy, costs.text_costs(prompts.join(found, "path"), packaged_prices(spark), missing="zero").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+
+
+def q_manifest_prompts(spark, sf_dir):
+    _, rows = _manifest_costs(spark, sf_dir)
+    return rows.select("place", "path", "prompt_id", "model", F.col("tags")["team"].alias("team"), "tokens", text.pico("cost").cast("long").alias("cost_pico"))
+
+
+def q_check_manifest(spark, sf_dir):
+    """The whole check: manifest, files, prices, policy and budget."""
+    policy, rows = _manifest_costs(spark, sf_dir)
+    rows = rows.withColumn("cost", text.pico("cost").cast("double") / 1e12)
+    out = governance.check(rows, policy.allowed_models, policy.max_cost_usd)
+    return out.select("prompts", F.round("total", 9).alias("total"), F.round("percent", 6).alias("percent"), "exit_code")
+
+
+def q_ci_gate(spark, sf_dir):
+    """The whole gate of a pull request: snapshots, deltas, budget, exit code, whether to comment."""
+    s = _snapshots(spark, sf_dir).agg(F.sum("head_cost").alias("head"), F.sum("delta").alias("delta"))
+    head, delta = F.col("head").cast("double") / 1e12, F.col("delta").cast("double") / 1e12
+    return s.select(F.col("head").cast("long").alias("head_pico"), F.col("delta").cast("long").alias("delta_pico"), governance.gate(head, 0.5, delta, False).alias("budget_code"), governance.gate(head, None, delta, True).alias("increase_code"), governance.wants_comment(delta, 1e-3).alias("comment"))
+
+
+def q_sticky_comment(spark, sf_dir):
+    """Turns of conversations as comments: which one is to be updated."""
+    c = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("body"))
+    parts = [governance.comment_action(c, m).withColumn("marker", F.lit(m)) for m in ("the", "no such marker at all")]
+    return parts[0].union(parts[1])
+
+
+def q_last_by_path(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select(F.col("source").alias("path"), F.col("doc_id").alias("place"), F.length("content").alias("n"))
+    last, first = governance.last_by_path(rows), governance.last_by_path(rows, first=True)
+    return last.select("path", "place", "n", F.lit("last").alias("which")).union(first.select("path", "place", "n", F.lit("first").alias("which")))
+
+
+def q_work_list(spark, sf_dir):
+    d = _prompts(spark, sf_dir).select("path", "model", F.col("doc_id").alias("place"))
+    return governance.work_list(d, d.where("place % 4 = 0"))
+
+
+def q_model_of(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit("own")).alias("model"), F.when(F.col("doc_id") % 3 == 0, F.lit("default")).alias("default_model"))
+    kinds = ("check_manifest", "check_file", "export", "diff", "estimate")
+    return d.select("doc_id", *(costs.model_of(k, given=g).alias(f"{k}_{g or 'none'}") for k in kinds for g in (None, "given")))
+
+
+def q_formats(spark, sf_dir):
+    """Byte sizes, throughput, ratios and signed amounts as they are printed."""
+    d = _docs(spark, sf_dir).select("doc_id", text.byte_length("content").alias("n")).withColumn("big", F.col("n") * F.col("n") * 37)
+    cost = (F.col("n") - 2000) / 1e6
+    return d.select("doc_id", text.format_bytes("n").alias("size"), text.format_bytes("big").alias("large"), text.fixed_point(cost).alias("amount"), text.throughput_mb("n", F.lit(0.25)).alias("mb_s"), text.compression("n", F.col("doc_id") % 3).alias("ratio"))
+
+
+def q_budget_percent(spark, sf_dir):
+    d = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return d.select("o_orderkey", *(governance.budget(F.col("o_totalprice"), x)[part].alias(f"{part}_{name}") for name, x in (("some", 150_000.0), ("none", None), ("zero", 0.0)) for part in ("percent", "over")))
+
+
+def q_price_file(spark, sf_dir):
+    """A price file's text through its parser, with older cost fields, faulty entries and a missing provider."""
+    rows = spark.createDataFrame(pricing.parse_prices(_PRICE_FILE), pricing.SCHEMA)
+    return rows.select("model", "provider", "input_price", "output_price", "reasoning_price")
+
+
+_PRICE_FILE = '{"models":{"a":{"provider":"P","input_price_per_mtok":1.5,"output_price_per_mtok":2},"b":{"input_cost_per_mtok":3,"output_cost_per_mtok":4.25,"output_reasoning_price_per_mtok":5},"c":{"provider":"Q","input_price_per_mtok":0,"input_cost_per_mtok":7,"output_price_per_mtok":0.5},"d":7},"version":1}'
+
+
+def q_discovered(spark, sf_dir):
+    """Which paths are prompts."""
+    names = F.array(*map(F.lit, ["a.txt", "b.md", "c.prompt", "d.py", ".hidden.txt", "x/.git/y.txt", "deep/er/z.txt", "txt"]))
+    d = _docs(spark, sf_dir).select("doc_id", F.element_at(names, (F.col("doc_id") % 8 + 1).cast("int")).alias("path"))
+    return d.where(is_prompt_path("path")).groupBy("path").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("q_")}
 
@@ -328,7 +489,47 @@ def oracle_sql() -> dict[str, str]:
     cjk = "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{20000}-\\x{2A6DF}\\x{F900}-\\x{FAFF}\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{AC00}-\\x{D7AF}]"
     words, specials = _WORDS.format("content"), list(bpe.CL100K.specials)
     costed = _COST.format(_tokens("content"), "0", "0")
+    number = lambda x: f"regexp_replace(regexp_replace(CAST({x} AS VARCHAR), '\\.0(e|$)', '\\1'), 'e-0', 'e-')"
+    report = f"SELECT bytes, tokens, words, 5.0::DOUBLE / 1000000.0::DOUBLE * tokens AS cost, tokens::DOUBLE / words AS fertility, bytes::DOUBLE / tokens AS ratio FROM (SELECT CAST(sum(strlen(content)) AS BIGINT) AS bytes, CAST(sum({_tokens('content')}) AS BIGINT) AS tokens, CAST(sum({words}) AS BIGINT) AS words FROM {_DOCS})"
+    estimated = f"(SELECT doc_id, path, {_tokens('content')} AS tokens, 5.0::DOUBLE / 1000000.0::DOUBLE * {_tokens('content')} AS cost, CASE WHEN doc_id % 3 = 0 THEN 'id-' || CAST(doc_id AS VARCHAR) ELSE {_SLUG.format('path')} END AS id, CASE WHEN doc_id % 3 = 0 THEN 'manifest' ELSE 'path_slug' END AS src FROM {_DOCS})"
+    heuristic = f"CASE WHEN (length(content) - length(regexp_replace(content, '{cjk}', '', 'g'))) * 100 // greatest(length(content), 1) > 30 THEN length(content) ELSE {words} END"
+    langs = f"""WITH l AS (SELECT *, tokens::DOUBLE / words AS fertility FROM (SELECT lang, CAST(sum(len(regexp_extract_all(content, '[^ ]+| '))) AS BIGINT) AS tokens,
+ CASE WHEN lang = 'fr' THEN 100000 ELSE CAST(sum(CASE lang WHEN 'de' THEN length(content) WHEN 'es' THEN {heuristic} ELSE {words} END) AS BIGINT) END AS words, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM {_DOCS} WHERE lang IS NOT NULL GROUP BY lang)),
+ p AS (SELECT *, fertility / (SELECT fertility FROM l WHERE lang = 'en') AS parity_ratio FROM l),
+ r AS (SELECT parity_ratio AS x, row_number() OVER (ORDER BY parity_ratio) AS i FROM p),
+ g AS (SELECT sum(i * x) * 2 / (count(*) * sum(x)) - (count(*) + 1)::DOUBLE / count(*) AS gini FROM r),
+ w AS (SELECT lang AS worst, parity_ratio AS most FROM p ORDER BY parity_ratio DESC, lang LIMIT 1)"""
+    manifest = f"(SELECT d.doc_id AS place, 'doc-' || d.doc_id || '.txt' AS path, 'p' || d.doc_id AS prompt_id, CASE WHEN d.doc_id % 5 = 0 AND d.doc_id % 3 = 1 THEN 'gpt-4o-mini' WHEN d.doc_id % 5 = 0 AND d.doc_id % 3 = 2 THEN 'claude-sonnet-4' ELSE 'gpt-4o' END AS model, content FROM {_DOCS} d WHERE doc_id < 30)"
+    manifest = f"(SELECT m.*, {_tokens('content')} AS tokens, coalesce(CAST({_PICO.format(costed)} AS BIGINT), 0) AS pico FROM {manifest} m LEFT JOIN ({p}) USING (model))"
+    sized = f"(SELECT doc_id, CAST(strlen(content) AS BIGINT) AS n, CAST(strlen(content) AS BIGINT) * strlen(content) * 37 AS big FROM {_DOCS})"
+    # printed decimals round the shortest form of a double half up, printf of DuckDB its binary value
+    fixed = lambda x, n: f"CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,{n})) AS VARCHAR)"
+    unit = lambda x: f"CASE WHEN {x} < 1024 THEN printf('%d B', {x}) WHEN {x} < 1048576 THEN {fixed(f'({x} / 1024.0::DOUBLE)', 2)} || ' KB' WHEN {x} < 1073741824 THEN {fixed(f'({x} / 1048576.0::DOUBLE)', 2)} || ' MB' ELSE {fixed(f'({x} / 1073741824.0::DOUBLE)', 2)} || ' GB' END"
     return {
+        "q_report_text": f"SELECT printf(replace('@=== Tokenizer Report: gpt-4o ===@Corpus Size:    %d bytes@Word Count:     %d words@Token Count:    %d tokens@Est. Cost:      $%.6f@@--- Efficiency Metrics ---@Compression:    %.2f bytes/token  (Higher is better)@Fertility:      %.2f tokens/word  (Lower is better)@', '@', chr(10)), bytes, words, tokens, cost, ratio, fertility) AS text FROM ({report})",
+        "q_report_json": f"SELECT printf(replace('{{@  \"model\": \"gpt-4o\",@  \"stats\": {{@    \"bytes\": %d,@    \"tokens\": %d,@    \"words\": %d,@    \"cost_usd\": %.6f@  }},@  \"metrics\": {{@    \"bytes_per_token\": %.2f,@    \"tokens_per_word\": %.2f@  }}@}}@', '@', chr(10)), bytes, tokens, words, cost, ratio, fertility) AS text FROM ({report})",
+        "q_models_json": f"SELECT '[' || chr(10) || string_agg(replace('  {{@    \"id\": \"', '@', chr(10)) || model || replace('\",@    \"cost_in\": ', '@', chr(10)) || {number('input_price')} || replace(',@    \"cost_out\": ', '@', chr(10)) || {number('output_price')} || CASE WHEN reasoning_price > 0 THEN replace(',@    \"cost_reasoning\": ', '@', chr(10)) || {number('reasoning_price')} ELSE '' END || chr(10) || '  }}', ',' || chr(10) ORDER BY model) || chr(10) || ']' || chr(10) AS text FROM ({p})",
+        "q_models_text": f"SELECT rpad('MODEL', 20, ' ') || ' ' || rpad('INPUT ($/1M)', 15, ' ') || ' ' || rpad('OUTPUT ($/1M)', 15, ' ') || ' ' || rpad('REAS ($/1M)', 15, ' ') || chr(10) || repeat('-', 20) || ' ' || repeat('-', 15) || ' ' || repeat('-', 15) || ' ' || repeat('-', 15) || chr(10) || string_agg(printf('%-20s %-15s %-15s %-14s', model, '$' || printf('%.2f', input_price), '$' || printf('%.2f', output_price), CASE WHEN reasoning_price > 0 THEN '$' || printf('%.2f', reasoning_price) ELSE '-' END), chr(10) ORDER BY model) || chr(10) || chr(10) || 'Total models: ' || count(*) || chr(10) AS text FROM ({p})",
+        "q_estimate_scan": f"SELECT path, printf('%s: $%.6f (%s)', path, cost, id) AS text FROM {estimated}",
+        "q_estimate_files": f"SELECT path, printf(replace('File:        %s@Tokens In:   %d@Cost (est):  $%.6f@Resource ID: %s (%s)@', '@', chr(10)), path, tokens, cost, id, src) AS text FROM {estimated}",
+        "q_estimate_total": f"SELECT printf('Total Cost:  $%.6f', CAST(sum({_PICO.format('cost')}) AS DOUBLE) / 1000000000000.0::DOUBLE) AS text FROM {estimated}",
+        "q_fairness_words": f"{langs} SELECT lang, tokens, words, bytes, fertility, parity_ratio FROM p",
+        "q_fairness_text": f"{langs} SELECT replace('Fairness Analysis Report@========================@@Model: gpt-4o@Encoding: o200k_base@Baseline: en@@Global Metrics:@', '@', chr(10)) || printf(replace('  Gini Coefficient: %.4f@  Max Parity Ratio: %.2fx@  Most Taxed: %s@@Per-Language Stats:@', '@', chr(10)), gini, most, worst) || printf('%6s %10s %10s %10s %12s %12s', 'Lang', 'Tokens', 'Words', 'Bytes', 'Fertility', 'Parity') || chr(10) || repeat('-', 6) || ' ' || repeat('-', 10) || ' ' || repeat('-', 10) || ' ' || repeat('-', 10) || ' ' || repeat('-', 12) || ' ' || repeat('-', 12) || chr(10) || (SELECT string_agg(printf('%6s %10d %10d %10d %12.2f %11.2fx', lang, tokens, words, bytes, fertility, parity_ratio), chr(10) ORDER BY lang) FROM p) || chr(10) AS text FROM g, w",
+        "q_manifest_prompts": f"SELECT CAST(place AS INT) AS place, path, prompt_id, model, 't' || CAST(place % 4 AS VARCHAR) AS team, tokens, pico AS cost_pico FROM {manifest}",
+        "q_check_manifest": f"SELECT count(*) AS prompts, round(sum(pico)::DOUBLE / 1000000000000.0::DOUBLE, 9) AS total, round(sum(pico)::DOUBLE / 1000000000000.0::DOUBLE / 0.05::DOUBLE * 100, 6) AS percent, CAST(CASE WHEN bool_or(model NOT IN ('gpt-4o', 'gpt-4o-mini')) THEN 3 WHEN sum(pico) > 50000000000 THEN 2 ELSE 0 END AS INT) AS exit_code FROM {manifest}",
+        "q_ci_gate": f"SELECT CAST(sum(head_cost) AS BIGINT) AS head_pico, CAST(sum(delta) AS BIGINT) AS delta_pico, CAST(CASE WHEN sum(head_cost) > 500000000000 THEN 2 ELSE 0 END AS INT) AS budget_code, CAST(CASE WHEN sum(delta) > 0 THEN 2 ELSE 0 END AS INT) AS increase_code, abs(sum(delta)) >= 1000000000 AS comment FROM {_DELTAS}",
+        "q_sticky_comment": " UNION ALL ".join(f"SELECT CASE WHEN max(id) IS NULL THEN 'create' ELSE 'update' END AS action, max(id) AS id, '{m}' AS marker FROM (SELECT * FROM (SELECT conv_id * 1000 + turn AS id, text AS body FROM conversations ORDER BY id LIMIT 1000)) WHERE contains(body, '{m}')" for m in ("the", "no such marker at all")),
+        "q_last_by_path": f"SELECT source AS path, max(doc_id) AS place, CAST(arg_max(length(content), doc_id) AS INT) AS n, 'last' AS which FROM {_DOCS} GROUP BY source UNION ALL SELECT source, min(doc_id), CAST(arg_min(length(content), doc_id) AS INT), 'first' FROM {_DOCS} GROUP BY source",
+        "q_work_list": f"SELECT path, model, doc_id AS place, 0 AS origin FROM {_PROMPTS} UNION ALL SELECT path, model, doc_id, 1 FROM {_PROMPTS} WHERE doc_id % 4 = 0",
+        "q_model_of": f"SELECT doc_id, coalesce(m, d, 'gpt-4o') AS check_manifest_none, coalesce(m, d, 'given') AS check_manifest_given, coalesce(d, 'gpt-4o') AS check_file_none, 'given' AS check_file_given, coalesce(m, d, 'gpt-4o') AS export_none, coalesce(m, d, 'gpt-4o') AS export_given, coalesce(m, 'gpt-4o') AS diff_none, coalesce(m, 'gpt-4o') AS diff_given, 'gpt-4o' AS estimate_none, 'given' AS estimate_given FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'own' END AS m, CASE WHEN doc_id % 3 = 0 THEN 'default' END AS d FROM {_DOCS})",
+        "q_formats": f"SELECT doc_id, {unit('n')} AS size, {unit('big')} AS large, CASE WHEN a < 0 THEN '-' ELSE '' END || CAST(abs(a) // 1000000000000 AS VARCHAR) || '.' || lpad(CAST(abs(a) % 1000000000000 AS VARCHAR), 12, '0') AS amount, n / 1000000.0::DOUBLE / 0.25::DOUBLE AS mb_s, CASE WHEN doc_id % 3 = 0 THEN 0.0::DOUBLE ELSE n::DOUBLE / (doc_id % 3) END AS ratio FROM (SELECT *, CAST(round((n - 2000) / 1000000.0::DOUBLE * 1000000000000.0::DOUBLE) AS BIGINT) AS a FROM {sized})",
+        "q_budget_percent": "SELECT o_orderkey, o_totalprice / 150000.0::DOUBLE * 100 AS percent_some, o_totalprice > 150000.0::DOUBLE AS over_some, CAST(NULL AS DOUBLE) AS percent_none, false AS over_none, CAST(NULL AS DOUBLE) AS percent_zero, o_totalprice > 0 AS over_zero FROM orders",
+        "q_price_file": "SELECT * FROM (VALUES ('a', 'P', 1.5::DOUBLE, 2.0::DOUBLE, CAST(NULL AS DOUBLE)), ('b', 'Unknown', 3.0, 4.25, 5.0), ('c', 'Q', 7.0, 0.5, NULL)) t(model, provider, input_price, output_price, reasoning_price)",
+        "q_discovered": f"SELECT path, count(*) AS n FROM (SELECT ['a.txt', 'b.md', 'c.prompt', 'd.py', '.hidden.txt', 'x/.git/y.txt', 'deep/er/z.txt', 'txt'][CAST(doc_id % 8 + 1 AS INT)] AS path FROM {_DOCS}) WHERE regexp_matches(path, '\\.(txt|md|prompt)$') AND NOT starts_with(path, '.') AND NOT contains(path, '.git') GROUP BY path",
+        "q_bpe_decode": f"SELECT doc_id, true AS same, CAST(strlen(content) AS BIGINT) AS n_bytes FROM {_DOCS}",
+        "q_pipe_output": f"""SELECT line_no, CASE kind WHEN 'usage' THEN printf('{{"input":%d,"output":%d,"reasoning":%d,"cost":%s}}', input, output, reasoning, {fixed('cost', 6)}) WHEN 'error' THEN '{{"error":"' || error || '"}}'
+ WHEN 'raw' THEN printf('{{"tokens":%d,"cost":%s}}', input, {fixed('cost', 6)}) ELSE left(value, length(value) - 1) || ',"usage":{{"input_tokens":' || input || ',"cost_usd":' || {number('cost')} || '}}}}' END AS json
+ FROM {_usage_sql()} JOIN {_LINES} l USING (line_no)""",
         "q_models": f"SELECT model AS id, provider, {_ENC.format('model')} AS encoding, input_price, output_price, reasoning_price FROM ({p})",
         "q_encoding_map": f"SELECT model, {_ENC.format('model')} AS encoding FROM ({p})",
         "q_cost_by_lang_model": f"SELECT lang, model, tokens, CAST({_PICO.format(_COST.format('tokens', '0', '0'))} AS BIGINT) AS cost_pico FROM (SELECT lang, CAST(sum({_tokens('content')}) AS BIGINT) AS tokens FROM {_DOCS} WHERE lang IS NOT NULL GROUP BY lang), ({p})",
@@ -350,7 +551,7 @@ def oracle_sql() -> dict[str, str]:
         "q_fairness_lang": f"{_WITH_LANGS} SELECT lang, tokens, words, bytes, f AS fertility, parity_ratio FROM {_LANGS}",
         "q_gini": f"{_WITH_LANGS}, r AS (SELECT parity_ratio AS x FROM {_LANGS}) SELECT round((SELECT sum(abs(a.x - b.x)) FROM r a, r b) / (2.0::DOUBLE * count(*) * count(*) * avg(x)), 9) AS gini FROM r",
         "q_worst": f"{_WITH_LANGS} SELECT lang AS worst_lang, round(parity_ratio, 9) AS max_parity FROM {_LANGS} ORDER BY parity_ratio DESC, lang LIMIT 1",
-        "q_special_tokens": f"SELECT doc_id, {_special_sql(specials)} AS strict, {_special_sql(specials[1:])} AS listed FROM (SELECT doc_id, substr(content, 1, 20) || ['<|endoftext|>', '<|fim_prefix|> <|endoftext|>', ''][CAST(doc_id % 3 + 1 AS INT)] AS t FROM {_DOCS})",
+        "q_special_tokens": f"SELECT doc_id, {_special_sql(specials)} AS strict, {_special_sql(specials[1:])} AS listed FROM (SELECT doc_id, content || ['<|endoftext|>', '<|fim_prefix|> <|endoftext|>', ''][CAST(doc_id % 3 + 1 AS INT)] AS t FROM {_DOCS})",
         "q_pretok_spaces": f"SELECT doc_id, CAST(len(regexp_extract_all(content, '[^ ]+| ')) AS BIGINT) AS pieces FROM {_DOCS}",
         "q_top_pieces": f"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, '[^ ]+| ')) AS piece FROM {_DOCS}) GROUP BY piece ORDER BY n DESC, piece LIMIT 20",
         "q_lines": f"SELECT doc_id, count(*) AS lines, CAST(sum({_tokens('value')}) AS BIGINT) AS tokens FROM (SELECT doc_id, unnest(string_split(content, chr(10))) AS value FROM {_DOCS}) GROUP BY doc_id",

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,9 +26,18 @@ def test_output_lines(spark):
     rows = usage.with_cost(usage.classify(lines(spark, '{"usage":{"prompt_tokens":1000,"completion_tokens":100,"completion_tokens_details":{"reasoning_tokens":20}}}', '{"content":"a b","k":[1,{"z":null}],"usage":3}'[:-1] + "}", "x y")), FLASH)
     got = [r[0] for r in rows.orderBy("n").select(usage.as_json(rows)).collect()]
     assert got[0] == '{"input":1000,"output":100,"reasoning":20,"cost":0.000268}'
+    assert got[1] == '{"content":"a b","k":[1,{"z":null}],"usage":{"input_tokens":2,"cost_usd":3e-7}}'
     assert got[2] == '{"tokens":2,"cost":0.000000}'
 
 
+def test_objects_keep_their_types_and_order(spark):
+    given = '{"content":"a b","id":"123","flag":"true","s":"null","q":"say \\"x\\"","n":7,"f":1.5,"b":false,"z":null,"a":["1",2],"o":{"y":"5","x":5}}'
+    rows = usage.with_cost(usage.classify(lines(spark, given, '{"usage":3,"z":"1"}', "{}")), FLASH)
+    got = [json.loads(r[0]) for r in rows.orderBy("n").select(usage.as_json(rows)).collect()]
+    assert got[0] == json.loads(given) | {"usage": {"input_tokens": 2, "cost_usd": 3e-7}} and list(got[0])[:-1] == list(json.loads(given))
+    assert list(got[1]) == ["usage", "z"] and got[1]["z"] == "1" and got[2] == {"usage": {"input_tokens": 1, "cost_usd": 1.5e-7}}
+
+
 def brute_quota(rows, limit):
     out, total = [], 0
     for n, tokens, error in rows:
@@ -156,3 +167,63 @@ def test_special_tokens_are_searched_in_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["strict"], r["listed"]) for r in queries.q_special_tokens(spark, str(tmp_path)).collect()}
     assert got == {0: (50, None), 2: (300, 300), 5: (None, None)}
+
+
+def test_amounts_have_their_sign(spark):
+    from promptmeter.functions.text import fixed_point
+
+    d = spark.createDataFrame([(-0.005,), (0.0,), (12.5,), (-3.25,)], "c double")
+    assert [r[0] for r in d.select(fixed_point("c")).collect()] == ["-0.005000000000", "0.000000000000", "12.500000000000", "-3.250000000000"]
+
+
+def test_texts_above_the_limit_are_an_error(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x" * 50)
+    assert files.read_texts(spark, f"file://{tmp_path}", most=50).count() == 1
+    with pytest.raises(Exception, match="file too large"):
+        files.read_texts(spark, f"file://{tmp_path}", most=49).collect()
+
+
+def test_native_merges_are_those_of_the_plain_form(spark):
+    import public_tokenizers
+
+    from promptmeter.functions import bpe
+
+    ranks = files.ranks_of(files.read_tiktoken(spark, "file://" + public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    e = bpe.Encoding("x", "cl100k", ranks)
+    fast, plain = bpe.Encoder(e, most=50), bpe.Encoder(e, native=False)
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + ["日本語 don't  \n\n x" + "a" * 500, "", None]
+    for t in texts:
+        assert fast.ids(t) == plain.ids(t) and fast.count(t) == len(plain.ids(t))
+    cases = spark.createDataFrame([("x", "some text", plain.ids("some text")), ("x", "some text", [1]), ("y", "a", [1])], "encoding string, text string, tokens array<int>")
+    assert tuple(bpe.parity_counts(cases, {"x": e, "y": bpe.CL100K}).first()) == (1, 1, 1)
+    d = spark.createDataFrame([(plain.ids("日本 x"),), ([10**6],), (None,)], "ids array<int>")
+    vocabulary = spark.createDataFrame([(bytearray(t), r) for t, r in ranks.items()], "token binary, rank int")
+    assert [bytes(r["bytes"]) for r in bpe.decode(d, "ids", vocabulary).collect()] == ["日本 x".encode(), b"", b""]
+
+
+def test_exact_fairness_counts(spark):
+    import __spark_entry__ as entry
+
+    got = {r["lang"]: r["tokens"] for r in entry.queries()["q_fairness_exact"](spark, "/root/testdata/sf0.001").collect()}
+    from promptmeter.functions import bpe
+    from promptmeter.plans.queries import _public_encoding
+
+    plain, expected = bpe.Encoder(_public_encoding(spark), native=False), {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null").collect():
+        expected[r["lang"]] = expected.get(r["lang"], 0) + len(plain.ids(r["text"]))
+    assert got == expected
+
+
+def test_rendered_fairness_is_json(spark):
+    import __spark_entry__ as entry
+
+    got = json.loads(entry.queries()["q_fairness_json"](spark, "/root/testdata/sf0.001").first()[0])
+    assert list(got) == ["meta", "global_metrics", "languages"] and got["languages"]["en"]["parity_ratio"] == 1
+    assert got["global_metrics"]["worst_language"] in got["languages"] and got["meta"] == {"model": "gpt-4o", "encoding": "o200k_base", "baseline": "en"}
+
+
+def test_summary_and_comments(spark):
+    rows = usage.with_cost(usage.classify(lines(spark, "a b", "c")), FLASH)
+    assert usage.summary_text(usage.totals(rows)).first()[0] == "Lines: 2\nTokens: 3\nCost: $0.000000"
+    d = spark.createDataFrame([(k, "mark" if k in (3, 7, 1500) else "") for k in range(2000)], "id long, body string")
+    assert tuple(governance.comment_action(d, "mark").first()) == ("update", 7) and tuple(governance.comment_action(d, "none").first()) == ("create", None)
