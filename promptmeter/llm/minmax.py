@@ -15,7 +15,7 @@ are looked at in blocks: a bucket is dealt to parts of at most PART documents, e
 only pairs whose sizes and sketches allow the similarity leave it. So no task's work grows with a bucket. A bucket
 of n documents no two of which are near still costs n^2 / 2 comparisons of sketches, spread over (n / PART)^2 / 2
 blocks; leaving any out could lose a link.
-Components come from alternating stars.
+Components come from alternating stars; links found later are looked at between components only.
 
 Before full sets are compared, pairs that cannot reach the similarity are left out by odd sketches: bit i of a
 sketch is the parity of the number of shingles whose hash falls on i, so two sketches differ in at most as many bits
@@ -127,22 +127,33 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
-    """node, component (its smallest reachable node) of the undirected edges (u, v), by alternating large and small stars."""
+    """node, component (its smallest reachable node) of the undirected edges (u, v), by alternating large and small stars; a node that is its own component has no row."""
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), tag)
-    before = None
-    while True:
+    while not _stars(e):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = written(small.where("u <> v").distinct(), tag)
-        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         discard(e)
         e = new
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u of the distinct edges u > v has one v, which is no u itself: then v is its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("reached")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("reached").alias("reached")).where("out > 1 or (out > 0 and reached > 0)").isEmpty()
+
+
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (node, component) after the links found, whose ends stand for their components: only these are searched for stars."""
+    known = labels.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    ends = found.join(known, "u", "left").join(known.toDF("v", "cv"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    moved = components(ends, "minmax-stars")
+    after = labels.join(moved.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(after.union(moved), "minmax-labels")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -206,8 +217,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "n")).alias("hub")).where("first < last")
     rows = rows.join(shared.select("band", "hub"), "band")
     pairs = _pairs(rows.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("hub.doc_id").alias("v"), F.col("hub.n").alias("nv")), None, percent)
-    tested, links = pairs, written(_verified(docs, pairs, width, percent).union(again), "minmax-links")
-    labels = written(components(links, "minmax-stars"), "minmax-labels")
+    tested, found = pairs, written(_verified(docs, pairs, width, percent).union(again), "minmax-links")
+    labels = written(components(found, "minmax-stars"), "minmax-labels")
     # Then all bands, of which only the buckets with several components count; those of one component are settled.
     rows = _named(reps, labels).select("doc_id", "n", "c", F.explode("bands").alias("band"))
     several = rows.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
@@ -232,8 +243,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
             k = max(k, hub_rounds)
             tested = tested.union(pairs)
             continue
-        tested, links = tested.union(pairs), links.union(found)
-        labels = written(components(links, "minmax-stars"), "minmax-labels")
+        tested, labels = tested.union(pairs), _joined(labels, found)
     final = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(final, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -158,6 +158,27 @@ def test_buckets_of_distinct_documents_are_looked_at_in_blocks(spark, monkeypatc
     assert sorted(map(tuple, met)) == sorted((u, v) for u in range(40) for v in range(u) if u % 3 != v % 3)  # each pair once
 
 
+def test_components_of_links_found_one_after_the_other(spark):
+    """Against plain merging, on a path, a star, a cycle and random links; later links join components that are there."""
+    rng = np.random.default_rng(5)
+    edges = [(k, k + 1) for k in range(12)] + [(20, k) for k in range(21, 30)] + [(40, 41), (41, 42), (42, 40), (50, 50)] + [tuple(map(int, x)) for x in rng.integers(60, 120, (45, 2))]
+    later = [(3, 25), (25, 3), (119, 0), (200, 201), (41, 42), *(tuple(map(int, x)) for x in rng.integers(0, 120, (12, 2)))]
+
+    def plain(links):
+        root = {n: n for link in links for n in link}
+        for u, v in links:
+            a, b = sorted((root[u], root[v]))
+            root = {n: a if r == b else r for n, r in root.items()}
+        return {n: r for n, r in root.items() if n != r}
+
+    table = lambda links: spark.createDataFrame(links, "u long, v long")
+    labels = minmax.components(table(edges), "test-stars")
+    assert {r.node: r.component for r in labels.collect()} == plain(edges) and labels.count() == len(plain(edges))
+    after = minmax._joined(labels, table(later))
+    assert {r.node: r.component for r in after.collect()} == plain(edges + later) and after.count() == len(plain(edges + later))
+    assert minmax.components(table([]), "test-stars").count() == 0
+
+
 def test_near_dedup_keeps_columns_of_any_name(spark, odd):
     own = odd.withColumn("__copy", F.lit("mine")).withColumn("__keep", F.lit("mine"))
     kept = minmax.drop_near_duplicates(own)
