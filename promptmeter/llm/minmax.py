@@ -222,12 +222,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
     # Then all bands, of which only the buckets with several components count; those of one component are settled.
     rows = _named(reps, labels).select("doc_id", "n", "c", F.explode("bands").alias("band"))
     several = rows.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
-    bucket = rows.join(several, "band").select("band", "doc_id", "n").join(reps.select("doc_id", "sketch"), "doc_id")
-    bucket = written(bucket.select("band", "doc_id", "n", "sketch"), "minmax-buckets")
-    size, k = bucket.count(), 0
+    # one row a document with its open bands, so that labels and sketches meet documents, not each of their bands
+    bands_of = rows.join(several, "band").groupBy("doc_id").agg(F.collect_list("band").alias("bands"))
+    bucket = written(bands_of.join(reps.select("doc_id", "n", "sketch"), "doc_id"), "minmax-buckets")
+    size, k = bucket.agg(F.sum(F.size("bands"))).first()[0] or 0, 0
     while k <= hub_rounds:
         k += 1
-        named = written(_named(bucket, labels), "minmax-named")
+        named = written(_named(bucket, labels), "minmax-named").select("doc_id", "n", "c", "sketch", F.explode("bands").alias("band"))
         if k <= hub_rounds:
             parts = named.groupBy("band", "c").count().groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("nn"))
             across = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
