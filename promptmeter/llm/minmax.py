@@ -171,12 +171,16 @@ def _able(percent: int):
     return (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (F.col("u") != F.col("v"))
 
 
-def _pairs(rows: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
-    """Distinct pairs u > v of rows (u, nu, v, nv) whose set sizes, and sketches (su, sv) where there are any, allow the similarity and that are not tested yet."""
-    if "su" in rows.columns:
-        rows = rows.where(_may_reach(F.col("su"), F.col("sv"), F.col("nu") + F.col("nv"), percent))
-    rows = rows.where(_able(percent)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    return written(rows if tested is None else rows.join(tested, ["u", "v"], "left_anti"), "minmax-pairs")
+def _pairs(rows: DataFrame, tested: DataFrame | None, percent: int, sketches: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs u > v of rows (u, nu, v, nv) whose set sizes, and sketches (doc_id, sketch) where given, allow the similarity and that are not tested yet."""
+    rows = rows.where(_able(percent)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("nu") + F.col("nv")).alias("n")).distinct()
+    if tested is not None:
+        rows = rows.join(tested, ["u", "v"], "left_anti")
+    if sketches is not None:
+        for x in "uv":
+            rows = rows.join(sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}")), x)
+        rows = rows.where(_may_reach(F.col("su"), F.col("sv"), F.col("n"), percent))
+    return written(rows.select("u", "v"), "minmax-pairs")
 
 
 def _across(named: DataFrame, percent: int) -> DataFrame:
@@ -222,23 +226,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
     # Then all bands, of which only the buckets with several components count; those of one component are settled.
     rows = _named(reps, labels).select("doc_id", "n", "c", F.explode("bands").alias("band"))
     several = rows.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
-    # one row a document with its open bands, so that labels and sketches meet documents, not each of their bands
-    bands_of = rows.join(several, "band").groupBy("doc_id").agg(F.collect_list("band").alias("bands"))
-    bucket = written(bands_of.join(reps.select("doc_id", "n", "sketch"), "doc_id"), "minmax-buckets")
-    size, k = bucket.agg(F.sum(F.size("bands"))).first()[0] or 0, 0
+    # rows keep the component they have now; where components join later, that is looked up a component, not a row
+    bucket, size, k = written(rows.join(several, "band"), "minmax-buckets"), None, 0
     while k <= hub_rounds:
         k += 1
-        named = written(_named(bucket, labels), "minmax-named").select("doc_id", "n", "c", "sketch", F.explode("bands").alias("band"))
+        order = lambda doc: F.xxhash64(F.lit(k), doc)  # noqa: B023, E731
+        held = bucket.groupBy("band", "c").agg(F.count("*").alias("m"), F.min_by(F.struct("doc_id", "n"), order("doc_id")).alias("hub"))
+        held = held.join(labels.select(F.col("node").alias("c"), F.col("component").alias("now")), "c", "left").withColumn("now", F.coalesce("now", "c"))
+        held = written(held, "minmax-held")
+        parts = held.groupBy("band", "now").agg(F.sum("m").alias("m"), F.min_by("hub", order("hub.doc_id")).alias("hub"))
+        # the hub of a bucket is one of its largest component, so only the others are tested against it
+        mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.max(F.struct("m", order("hub.doc_id").alias("order"), "hub", "now")).alias("h"))
+        mixed = written(mixed.where("parts > 1"), "minmax-mixed")
+        left, across = mixed.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()
+        if not left:
+            break
+        size = size or left
+        k = hub_rounds + 1 if across <= 4 * size else k
         if k <= hub_rounds:
-            parts = named.groupBy("band", "c").count().groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("nn"))
-            across = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
-            k = hub_rounds + 1 if across <= 4 * size else k
-        mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("doc_id", "n", "c", "sketch"), F.xxhash64(F.lit(k), "doc_id")).alias("h")).where("c0 < c1")
-        if k <= hub_rounds:
-            rows = named.join(mixed, "band").where("c <> h.c").select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("h.doc_id").alias("v"), F.col("h.n").alias("nv"), F.col("sketch").alias("su"), F.col("h.sketch").alias("sv"))
+            rows = bucket.join(held.join(mixed.select("band", "h"), "band").where("now <> h.now").select("band", "c", "h.hub"), ["band", "c"])
+            rows = rows.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("hub.doc_id").alias("v"), F.col("hub.n").alias("nv"))
+            pairs = _pairs(rows, tested, percent, reps)
         else:  # the pairs that are left between components of one bucket
-            rows = _across(named, percent)
-        pairs = _pairs(rows, tested, percent)
+            rows = bucket.join(held.join(mixed.select("band"), "band").select("band", "c", "now"), ["band", "c"])
+            pairs = _pairs(_across(rows.select("band", "doc_id", "n", F.col("now").alias("c")).join(reps.select("doc_id", "sketch"), "doc_id"), percent), tested, percent)
         found = written(_verified(docs, pairs, width, percent), "minmax-links")
         if found.isEmpty():
             k = max(k, hub_rounds)
