@@ -10,9 +10,10 @@ bands were independent; as they share values, 600 in all, with about 8e-5 (simul
 How buckets of any size stay whole without listing their pairs: equal sets are one class with one
 representative; in each bucket of the first bands every representative is tested against one hub; of all bands,
 buckets whose documents are one component by then are settled; while many pairs lie between the components of the
-others, these get other hubs, up to `hub_rounds` times. At last the pairs between different components of a bucket
-are looked at in blocks: a bucket is dealt to parts of at most PART documents, each two parts meet in one task, and
-only pairs whose sizes and sketches allow the similarity leave it. So no task's work grows with a bucket. A bucket
+others, these get other hubs, of their largest component, up to `hub_rounds` times. At last the pairs between different
+components of a bucket are looked at in blocks: a bucket is dealt to parts of about PART documents, each two parts meet
+in one task (but not parts of its largest component), and only pairs whose sizes and sketches allow the similarity
+leave it. So no task's work grows with a bucket. A bucket
 of n documents no two of which are near still costs n^2 / 2 comparisons of sketches, spread over (n / PART)^2 / 2
 blocks; leaving any out could lose a link.
 Components come from alternating stars; links found later are looked at between components only.
@@ -186,11 +187,16 @@ def _pairs(rows: DataFrame, tested: DataFrame | None, percent: int, sketches: Da
 def _across(named: DataFrame, percent: int) -> DataFrame:
     """u, nu, v, nv of the pairs between components of one bucket that sizes and sketches allow, looked at in blocks.
 
-    A bucket of m documents has p = m / PART parts; a document goes to the p blocks that its part forms with the others.
+    A bucket's largest component has no pairs within itself, so its documents are dealt to parts of their own, which
+    meet only the parts of the other documents; those also meet each other. A part holds about PART documents.
     """
-    sizes = named.groupBy("band").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band", (F.floor(F.col("m") / PART) + 1).cast("int").alias("p"))
-    dealt = named.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("p")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    parts = named.groupBy("band", "c").agg(F.count("*").alias("m"))
+    sizes = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("top")).where("parts > 1")
+    number = lambda m: (F.floor(m / PART) + 1).cast("int")
+    sizes = sizes.select("band", F.col("top.c").alias("top"), number(F.col("m") - F.col("top.m")).alias("others"), number(F.col("top.m")).alias("tops"))
+    top, at = F.col("c") == F.col("top"), F.xxhash64(F.lit(3), "doc_id")
+    dealt = named.join(sizes, "band").withColumn("part", F.when(top, F.col("others") + F.pmod(at, "tops")).otherwise(F.pmod(at, "others")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(top, 0).otherwise(F.col("tops")))))
     dealt = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
     a, b = (dealt.select("band", "low", "high", F.col("part").alias(f"p{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")) for x in "uv")
     # within a part each pair is met once by the order of components, between two parts by the order of parts
