@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import column_udf, discard, mix64, shingles, unused, written
@@ -268,10 +268,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hub_roun
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _nodes(docs: DataFrame, node: str) -> DataFrame:
+    """docs with a number for each doc_id and text: the first text of an id has the id, others have numbers that no id has."""
+    of = lambda d: (F.col("doc_id").cast("long").alias("i"), F.struct(F.xxhash64(F.lit(1), F.col("text")).alias("a"), F.xxhash64(F.lit(2), F.col("text")).alias("b")).alias("d"))
+    digests = docs.where("doc_id is not null").select(*of(docs))
+    many = digests.groupBy("i").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first <> last")
+    others = written(digests.join(many, "i").where("d <> first").select("i", "d").distinct(), "minmax-others")
+    own = F.col("doc_id").cast("long")
+    if others.isEmpty():
+        return docs.withColumn(node, own)
+    low, high = docs.agg(F.min(own), F.max(own)).first()
+    # row numbers of the written table are below 2^62 where it has fewer than 2^28 partitions
+    place = F.monotonically_increasing_id()
+    numbered = written(others.select("i", "d", (place + (high + 1) if high < 1 << 62 else F.lit(low - 1) - place).alias(node)), "minmax-nodes")
+    keys = unused(docs, "i"), unused(docs, "d")
+    out = docs.withColumns(dict(zip(keys, of(docs), strict=True)))
+    extra = numbered.withColumnsRenamed({"i": f"{keys[0]}x", "d": f"{keys[1]}x", node: f"{node}x"})
+    out = out.join(extra, (F.col(keys[0]) == F.col(f"{keys[0]}x")) & (F.col(keys[1]) == F.col(f"{keys[1]}x")), "left")
+    return out.withColumn(node, F.coalesce(f"{node}x", own)).select(*docs.columns, node)
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document, the smallest doc_id, of each group; of rows with one doc_id the first by text stays."""
-    keep, copy = unused(docs, "keep"), unused(docs, "copy")
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias(keep)).distinct()
-    known = docs.join(kept, docs["doc_id"] == kept[keep], "left_semi")
-    known = known.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(copy) == 1)
-    return known.select(*docs.columns).union(docs.where("doc_id is null"))
+    """docs with one document of each group of near duplicates: that with the smallest doc_id.
+
+    Here a doc_id with several texts stands for several documents, so a row goes only if a near duplicate of its own
+    text stays; of one id's texts the first by digest counts as its document, the others come after all ids. Of rows
+    with one id and one text one stays. Rows without doc_id stay.
+    """
+    node, keep = unused(docs, "node"), unused(docs, "keep")
+    known = _nodes(docs, node)
+    result = near_duplicates(known.where("doc_id is not null").select(F.col(node).alias("doc_id"), "text"), width, percent)
+    kept = written(result.where("kept").groupBy(F.col("doc_id").alias(keep)).agg(F.count("*").alias("n")), "minmax-kept")
+    out = known.join(kept.where("n = 1"), F.col(node) == F.col(keep), "left_semi").select(*docs.columns)
+    if not kept.where("n > 1").isEmpty():
+        rows = known.join(kept.where("n > 1"), F.col(node) == F.col(keep), "left_semi")
+        order = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))  # rows are combined before they are shuffled
+        one = rows.groupBy(node).agg(F.min_by(F.struct(*docs.columns), order).alias(keep))
+        out = out.union(one.select(f"{keep}.*").select(*docs.columns))
+    return out.union(docs.where("doc_id is null"))

@@ -10,10 +10,8 @@ Edge cases: a null or empty text is one piece of one token (the end id); equal r
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,99 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
+from .word_ids import batch_ids, vocabulary_path
 
 CAPACITY = 2048
 END_ID = 0
 
 
-def vocabulary_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class _Recent:
-    """Two generations of a memo: when the young one is full it becomes the old one, whose entries come back on use."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
-        self.young = young = _Young()
-        young.fill = self.fill
-
-    def fill(self, key: bytes) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self.young) >= self.most:
-            self.old = dict(self.young)
-            self.young.clear()
-        self.young[key] = value
-        return value
-
-
-class _Young(dict):
-    def __missing__(self, key: bytes) -> bytes:
-        return self.fill(key)
-
-
-class WordIds:
-    """Ids, little-endian, of white-space words; the vocabulary drops white space, so words are independent.
-
-    A word of letters, with signs after them or not, is cut into the two, which the vocabulary keeps apart as well;
-    such parts go straight to the merges, past the normaliser, which would leave them as they are.
-    """
-
-    def __init__(self, path: str, words: int = 100_000, stems: int = 200_000):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level vocabularies write as themselves
-        other = iter(range(256, 512))
-        self.chars = [chr(b) if b in plain else chr(next(other)) for b in range(256)]
-        self.words = _Recent(self._word, words).young
-        self.stems = _Recent(self._part, stems).young
-        self.cut = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~][!-/:-@\\[-`{-~]*)?").fullmatch
-
-    def _part(self, part: bytes) -> bytes:
-        return np.array([t.id for t in self.model.tokenize("".join([self.chars[b] for b in part]))], "<u4").tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if m := self.cut(text):
-            return self.stems[m[1].encode()] + (self.stems[m[2].encode()] if m[2] else b"")
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-
-@lru_cache(2)
-def _words(path: str) -> WordIds:
-    return WordIds(path)
-
-
-def token_bytes(text: str | None, path: str) -> bytes:
-    """The document's ids, little-endian unsigned 32-bit, with the end id."""
-    text = text or ""
-    try:
-        words = text.encode("latin-1").lower().decode("latin-1").encode().split()
-    except UnicodeEncodeError:  # there may be combining signs, which can compose with one case of a letter only
-        words = text.encode("utf-8", "replace").split()
-    ids = _words(path).words
-    return b"".join([ids[w] for w in words]) + END_ID.to_bytes(4, "little")
-
-
 def pieces_udf(path: str | None = None, capacity: int = CAPACITY):
     @F.pandas_udf("array<struct<piece int, start long, length long, ids_crc32 long>>")
     def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        where, step = path or vocabulary_path(), 4 * capacity
+        where, end = path or vocabulary_path(), END_ID.to_bytes(4, "little")
         for s in texts:
             out = []
-            for text in s:
-                data = token_bytes(text, where)
-                out.append([{"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for k, at in enumerate(range(0, len(data), step)) for part in (data[at : at + step],)])
+            for ids, starts in batch_ids(s, where):
+                for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    data = ids[a:z].tobytes() + end
+                    out.append([{"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for k, at in enumerate(range(0, len(data), 4 * capacity)) for part in (data[at : at + 4 * capacity],)])
             yield pd.Series(out)
 
     return pieces

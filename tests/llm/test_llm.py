@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from promptmeter.llm import fingerprints, langid, licenses, linededup, matroska, minmax, mixing, packing, quality, secrets, shared
+from promptmeter.llm import fingerprints, langid, licenses, linededup, matroska, minmax, mixing, packing, quality, secrets, shared, word_ids
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, __band string"
 ODD = [(None, "no id", "en", "s", 1), (1, None, "en", None, 0), (2, "", None, "s", 0), (3, "same words in two rows", "en", "s", 5), (3, "same words in two rows", "en", "s", 5), (4, "x " * 30_000, "en", "t", 60_000), (5, "\n\n\n", None, None, 3), (6, "word", "de", "t", 4)]
@@ -67,14 +67,22 @@ def check_packing(rows, capacity=2048):
     return len(fill)
 
 
+def adversarial(rng, n):
+    """Texts of words, signs, blanks and strings of special tokens that run into one another."""
+    parts = ["a", "Bc", "é", "É", "e\u0301", "ß", "œ", "日本", "\u200b", "\xa0", "\x85", "\x1c", "\0", " ", "  ", "\n", "\t", "'s", "'LL", "12", "²", "!?", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "</w>", "İ", "ς", "😀", "l'été", "don't", "\u0301"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(n)]
+
+
 def test_pieces_are_those_of_the_tokenizer(spark, odd, none):
+    """Against the library's call with its defaults, so that strings of special tokens are those tokens."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.vocabulary_path())
-    extra = docs(spark, [(9, "ÉCOLE d'été don't I'LL 3rd x² ß ŒUF J̌ a\xa0b\x1cc <|endoftext|> 日本語.", "", "", 0)])
-    texts = [r[1] for r in ODD] + [extra.first()["text"]]
-    got = packing.pack(packing.tokenised(odd.union(extra)), group_items=4).collect()
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(word_ids.vocabulary_path())
+    more = ["ÉCOLE d'été don't I'LL 3rd x² ß ŒUF J̌ a\xa0b\x1cc <|endoftext|> 日本語.", "a <|endoftext|> b", "x<|startoftext|>y <|STARTOFTEXT|> é<|endoftext|>\u0301", *adversarial(random.Random(5), 2000)]
+    extra = docs(spark, [(9 + k, x, "", "", 0) for k, x in enumerate(more)])
+    texts = [r[1] for r in ODD] + more
+    got = packing.pack(packing.tokenised(odd.union(extra)), group_items=400).collect()
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
     expected = []
     for text in texts:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -84,6 +92,17 @@ def test_pieces_are_those_of_the_tokenizer(spark, odd, none):
     assert packing.pack(packing.tokenised(none)).count() == 0
 
 
+def test_word_merges_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    rng, w = random.Random(6), word_ids.WordIds(word_ids.vocabulary_path())
+    t = Tokenizer.from_file(word_ids.vocabulary_path())
+    syllables = ["th", "e", "ing", "an", "ou", "st", "ch", "ment", "tion", "é", "ß", "aux", "q", "zz", "ll", "é", "ö", "..", "!", "?!", "((", "/"]
+    tried = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 9))) for _ in range(30_000)]
+    for word, e in zip(tried, t.encode_batch(tried, add_special_tokens=False), strict=True):
+        assert np.frombuffer(w.word(word), "<u4").tolist() == e.ids, word
+
+
 def test_packing_against_its_bound(spark):
     rng = random.Random(3)
     lengths = [rng.randrange(1, 2049) for _ in range(3000)]
@@ -200,6 +219,21 @@ def test_min_max_signatures_estimate_similarity():
         assert abs(minmax.similarity(minmax.signature(x), minmax.signature(y)) - true) < 0.08
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    """A stage drops a row for what its own text is like, not for its id."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near_a = a.replace("a39", "zz")
+    rows = [(1, a), (1, b), (2, near_a), (3, c), (3, c), (3, near_a), (4, d), (4, b), (5, None), (5, ""), (5, c), (None, a), (None, a), (-7, d)]
+    got = minmax.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert sum(r["doc_id"] is None for r in got) == 2
+    left = [(r["doc_id"], r["text"]) for r in got if r["doc_id"] is not None]
+    assert len(left) == len(set(left)) and {t for _, t in left if t} & {a, near_a} and sum(t in (a, near_a) for _, t in left) == 1
+    assert [sum(t == x for _, t in left) for x in (b, c, d, "", None)] == [1, 1, 1, 1, 1]
+    assert (-7, d) in left  # the smallest id of its group, as (4, d) is the first of id 4 or a later one
+    edge = [(2**63 - 1, a), (2**63 - 1, b), (-(2**63) + 5, c)]
+    assert minmax.drop_near_duplicates(spark.createDataFrame(edge, "doc_id long, text string")).count() == 3
+
+
 # 4
 
 
