@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, linededup, matroska, minmax, mixing, packing, quality, secrets
+from . import alignment, fim, fingerprints, langid, licenses, linededup, matroska, minmax, mixing, packing, quality, rans, secrets
 from .shared import read_table
 
 
@@ -54,8 +54,21 @@ def op10_line_dedup(spark, sf_dir):
     return cleaned.select("doc_id", "text", F.col("__removed").alias("removed_chunks"), F.col("__lines_removed").alias("removed_lines"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fim.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_rans_token_files(spark, sf_dir):
+    parts = rans.plain_parts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rans.digests(rans.write(parts))
+
+
+def op13_tokenizer_alignment(spark, sf_dir):
+    return alignment.Alignment(read_table(spark, sf_dir, "documents").select("doc_id", "text")).documents()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_minmax_near_dedup, op4_fingerprints, op5_matroska_media, op6_secret_scan, op7_license_scan, op8_source_mix, op9_quality, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_minmax_near_dedup, op4_fingerprints, op5_matroska_media, op6_secret_scan, op7_license_scan, op8_source_mix, op9_quality, op10_line_dedup, op11_fill_in_middle, op12_rans_token_files, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -63,4 +76,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_scan": licenses.oracle_sql(),
         "op8_source_mix": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.oracle_sql()})",
         "op10_line_dedup": linededup.oracle_sql(),
+        "op11_fill_in_middle": fim.oracle_sql(),
     }

@@ -32,14 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its lineage ends there and lost executors cost nothing.
 
     The tables of a session are deleted when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/promptmeter/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     if not _WRITTEN:
         atexit.register(_drop_written)
     _WRITTEN.append((spark, path))

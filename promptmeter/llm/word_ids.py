@@ -50,6 +50,13 @@ class _Young(dict):
         return self.fill(key)
 
 
+def byte_chars() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # those written as themselves
+    other = iter(range(256, 512))
+    return {chr(b) if b in plain else chr(next(other)): b for b in range(256)}
+
+
 def latin(text: str) -> bool:
     """Whether all characters are below U+0100, where no sign composes with another."""
     try:
@@ -79,10 +86,7 @@ class WordIds:
         self.specials = {t: array("I", [i]).tobytes() for t, i in added.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")" if added else "((?!))")
         self.tokenizer.encode_special_tokens = True  # they are cut out before
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level vocabularies write as themselves
-        other = iter(range(256, 512))
-        byte = {chr(b) if b in plain else chr(next(other)): b for b in range(256)}
-        ranks = {}
+        byte, ranks = byte_chars(), {}
         for token, rank in self.tokenizer.get_vocab(with_added_tokens=False).items():
             stem = token.removesuffix("</w>")
             if token not in added and all(c in byte for c in stem):
