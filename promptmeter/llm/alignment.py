@@ -8,8 +8,8 @@ groups, which each block knows by itself. What links are worth is summed once a
 documents by the group's key, a block's groups at once.
 
 Neither tokenizer joins what stands on both sides of a blank after a non-blank, so a text falls into chunks there, and
-a chunk's groups do not hang on its neighbours; the distinct chunks of a batch are encoded together, and each worker
-remembers a bounded number of them.
+a chunk's groups do not hang on its neighbours: the distinct chunks of a batch are encoded once, many in a string, and
+aligned by numpy over all their tokens.
 
 Edge cases: null and empty texts, and texts that either tokenizer does not give back byte for byte (U+2581 is a blank
 to B), have no tokens: zeros, and an empty string for the groups. The strings of special tokens are ordinary text.
@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import mix64, written
 from .word_ids import byte_chars
 
 #: Characters that are cut at once, and the documents and distinct groups after which a block ends.
-SLICE, BLOCK_DOCUMENTS, BLOCK_GROUPS = 4_000_000, 8000, 40_000
-#: Chunks that are longer are not remembered.
-LONGEST = 200
+SLICE, BLOCK_DOCUMENTS, BLOCK_GROUPS = 6_000_000, 8000, 40_000
+#: Chunks and characters of a string that is encoded.
+TOGETHER, LONG = 64, 2000
 _BOUNDARY = re.compile(r"(?<=\S)(?= )")
 
 
@@ -48,30 +48,21 @@ def vocabulary_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def cut_groups(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-    """Groups of the ids of one text: they end where tokens of both end."""
-    out, i, j, from_a, from_b, at_a, at_b = [], 0, 0, 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if at_a <= at_b and i < len(a):
-            at_a += len(a_bytes[a[i]])
-            i += 1
-        else:
-            at_b += len(b_bytes[b[j]])
-            j += 1
-        if at_a == at_b:
-            out.append((tuple(a[from_a:i]), tuple(b[from_b:j])))
-            from_a, from_b = i, j
-    return out
-
-
 def written_group(group: tuple[tuple[int, ...], tuple[int, ...]]) -> str:
     return f"{','.join(map(str, group[0]))}|{','.join(map(str, group[1]))}"
 
 
-class Aligner:
-    """Groups of chunks: for each its written groups, joined, the groups, and the numbers of A-ids, B-ids and links; None where a tokenizer doesn't give its bytes back."""
+class Aligned:
+    """Chunks by number: `bad` ones don't come back from a tokenizer; numbers of A-ids, B-ids, links and groups, and where a chunk's groups begin; of each group the place and number of its A-ids and B-ids."""
+
+    def __init__(self, n: int):
+        self.bad = np.zeros(n, bool)
+        self.n_a, self.n_b, self.links, self.groups, self.first = (np.zeros(n, np.int64) for _ in range(5))
+        self.a = self.b = self.a_at = self.a_n = self.b_at = self.b_n = np.empty(0, np.int64)
+
 
-    def __init__(self, a_path: str, b_path: str, most: int = 100_000):
+class Aligner:
+    def __init__(self, a_path: str, b_path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,33 +78,59 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         piece = self.b.id_to_piece
         self.b_bytes = [bytes([int(piece(k)[3:5], 16)]) if self.b.is_byte(k) else piece(k).replace("▁", " ").encode() for k in range(self.b.vocab_size())]
-        self.most = most
-        # two generations: a full one becomes the old one, whose chunks come back on use
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
-
-    def _one(self, chunk: str, a: list[int], b: list[int]) -> tuple | None:
-        data = b" " + chunk.encode("utf-8", "replace")
-        if b"".join([self.a_bytes[k] for k in a]) != data or b"".join([self.b_bytes[k] for k in b]) != data:
-            return None
-        groups = cut_groups(a, b, self.a_bytes, self.b_bytes)
-        return ";".join(map(written_group, groups)), groups, len(a), len(b), sum(len(x) * len(y) for x, y in groups)
-
-    def chunks(self, chunks: list[str]) -> list[tuple | None]:
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+
+    def _encoded(self, items: list[list[int]], chunks: list[str]) -> Iterator[tuple[list[int], list[int], list[int], bool]]:
+        """Each item, its ids of A and B, and whether both have the bytes of its chunks."""
+        strings = ["".join([" " + chunks[k] for k in item]) for item in items]
+        blank = [self.b.piece_to_id("▁")]  # to an empty string alone B adds no blank
+        for item, x, a, b in zip(items, strings, self.a.encode_batch(strings, add_special_tokens=False), self.b.encode([x[1:] for x in strings], num_threads=1), strict=True):
+            data, a, b = x.encode("utf-8", "replace"), a.ids, b if len(x) > 1 else blank
+            yield item, a, b, b"".join([self.a_bytes[k] for k in a]) == data == b"".join([self.b_bytes[k] for k in b])
+
+    def align(self, chunks: list[str], together: int = TOGETHER) -> Aligned:
         """Of distinct chunks, given without the blank before them."""
-        known = {c: self.young[c] if c in self.young else self.old[c] for c in chunks if c in self.young or c in self.old}
-        new = [c for c in chunks if c not in known]
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for c, a, b in zip(some, self.a.encode_batch([" " + c for c in some], add_special_tokens=False), self.b.encode(some, num_threads=1), strict=True):
-                # the blank after a text is a chunk without letters, to which alone B adds no blank
-                known[c] = self._one(c, a.ids, b if c else [self.b.piece_to_id("▁")])
-        for c in chunks:
-            if len(c) <= LONGEST and c not in self.young:
-                if len(self.young) >= self.most:
-                    self.old, self.young = self.young, {}
-                self.young[c] = known[c]
-        return [known[c] for c in chunks]
+        items: list[list[int]] = []
+        size = 0
+        for k, c in enumerate(chunks):
+            alone = not c or c[-1].isspace()  # no boundary would follow
+            if not items or alone or size + len(c) > LONG or len(items[-1]) >= together:
+                items.append([])
+                size = 0
+            items[-1].append(k)
+            size += LONG if alone else len(c)
+        out, order, a, b = Aligned(len(chunks)), [], [], []
+        for attempt in range(2):
+            again = []
+            for at in range(0, len(items), 500):
+                for item, x, y, same in self._encoded(items[at : at + 500], chunks):
+                    if same:
+                        order += item
+                        a += x
+                        b += y
+                    elif len(item) > 1:
+                        again += [[k] for k in item]
+                    else:
+                        out.bad[item[0]] = True
+            items = again
+        if not order:
+            return out
+        own, out.a, out.b = np.array(order), np.array(a, np.int64), np.array(b, np.int64)
+        ends = np.cumsum([len(chunks[k].encode("utf-8", "replace")) + 1 for k in order])
+        a_ends, b_ends = np.cumsum(self.a_size[out.a]), np.cumsum(self.b_size[out.b])
+        last_a = np.flatnonzero(b_ends[np.searchsorted(b_ends, a_ends)] == a_ends)
+        cut = a_ends[last_a]
+        if together > 1 and not np.isin(ends, cut, assume_unique=True).all():  # never met
+            return self.align(chunks, 1)
+        last_b = np.searchsorted(b_ends, cut)
+        out.a_n, out.b_n = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        out.a_at, out.b_at = last_a + 1 - out.a_n, last_b + 1 - out.b_n
+        chunk = np.searchsorted(ends, cut)
+        n = np.bincount(chunk, minlength=len(own))
+        out.groups[own], out.first[own] = n, np.cumsum(n) - n
+        for to, values in ((out.n_a, out.a_n), (out.n_b, out.b_n), (out.links, out.a_n * out.b_n)):
+            to[own] = np.add.reduceat(values, np.cumsum(n) - n)
+        return out
 
 
 @lru_cache(2)
@@ -157,7 +174,7 @@ class _Block:
     """Documents whose distinct groups are numbered together."""
 
     def __init__(self, number: int):
-        self.number, self.numbers, self.groups, self.documents = number, {}, [], []
+        self.number, self.numbers, self.groups, self.names, self.documents = number, {}, [], [], []
         self.docs: list[np.ndarray] = []  # of each document the numbers of its distinct groups
 
     def group(self, g) -> int:
@@ -165,29 +182,45 @@ class _Block:
         if k is None:
             k = self.numbers[g] = len(self.groups)
             self.groups.append(g)
+            self.names.append(written_group(g))
         return k
 
+    def interned(self, x: Aligned) -> np.ndarray:
+        """The number of each group."""
+        whole = lambda k: (tuple(x.a[x.a_at[k] : x.a_at[k] + x.a_n[k]].tolist()), tuple(x.b[x.b_at[k] : x.b_at[k] + x.b_n[k]].tolist()))
+        if not len(x.a_n):
+            return np.empty(0, np.int64)
+        single = (x.a_n == 1) & (x.b_n == 1)
+        hashes = []
+        for seed in (1, 2):  # 128 bits of what stands where on which side
+            sums = []
+            for side, (ids, at, n) in enumerate(((x.a, x.a_at, x.a_n), (x.b, x.b_at, x.b_n))):
+                place = np.arange(len(ids)) - np.repeat(at, n)
+                sums.append(np.add.reduceat(mix64((ids * 4 + side * 2 + seed).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)), at))
+            hashes.append(mix64(sums[0] + np.uint64(seed)) ^ mix64(sums[1] * np.uint64(3)))
+        code = (x.a[x.a_at] << 32 | x.b[x.b_at]).astype(np.uint64)
+        key = np.where(single, code, hashes[0] | np.uint64(1 << 63))
+        _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        if (~single & (hashes[1] != hashes[1][at][inverse])).any():  # two groups with one hash
+            return np.array([self.group(whole(k)) for k in range(len(single))])
+        return np.array([self.group(whole(k)) for k in at.tolist()])[inverse]
+
     def add(self, ids: list, texts: list[str], aligner: Aligner) -> None:
         distinct, order, starts = cut_chunks(texts)
-        aligned = aligner.chunks(distinct)
-        bad = np.array([x is None for x in aligned], bool)
-        said = ["" if x is None else x[0] for x in aligned]
-        per = [[] if x is None else [self.group(g) for g in x[1]] for x in aligned]
-        sizes = np.fromiter(map(len, per), np.int64, len(per))
-        flat = np.fromiter((k for p in per for k in p), np.int64, int(sizes.sum()))
-        first = np.cumsum(sizes) - sizes
-        sums = np.array([(0, 0, 0) if x is None else x[2:] for x in aligned], np.int64).reshape(-1, 3)
+        x = aligner.align(distinct)
+        flat = self.interned(x)
+        names, numbers = self.names, flat.tolist()
+        said = [";".join([names[k] for k in numbers[a : a + n]]) for a, n in zip(x.first.tolist(), x.groups.tolist(), strict=True)]
         listed = order.tolist()
         for doc_id, text, a, z in zip(ids, texts, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             mine = order[a:z]
-            if not text or bad[mine].any():
+            if not text or x.bad[mine].any():
                 self.documents.append((doc_id, 0, 0, 0, 0, "", b"", b""))
                 self.docs.append(np.empty(0, np.int64))
                 continue
-            n = sizes[mine]
-            held, times = np.unique(flat[_spread(n, first[mine])], return_counts=True)
+            held, times = np.unique(flat[_spread(x.groups[mine], x.first[mine])], return_counts=True)
             sha = hashlib.sha256(";".join([said[k] for k in listed[a:z]]).encode()).hexdigest()
-            self.documents.append((doc_id, *sums[mine].sum(0)[:2].tolist(), int(n.sum()), int(sums[mine, 2].sum()), sha, held, times))
+            self.documents.append((doc_id, *(int(v[mine].sum()) for v in (x.n_a, x.n_b, x.groups, x.links)), sha, held, times))
             self.docs.append(held)
 
     def twice(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +261,7 @@ class _Block:
         yield _filled(docs, DOCUMENT, self.number)
         held = np.bincount(np.concatenate(self.docs), minlength=len(self.groups)) if self.docs else np.empty(0, np.int64)
         used = np.flatnonzero(held)
-        yield _filled(pd.DataFrame({"k": used.astype(np.int32), "g": [written_group(self.groups[k]) for k in used], "documents": held[used]}), GROUP, self.number)
+        yield _filled(pd.DataFrame({"k": used.astype(np.int32), "g": [self.names[k] for k in used], "documents": held[used]}), GROUP, self.number)
         a, b, n = self.twice()
         yield _filled(pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "documents": n}), TWICE, self.number)
 

@@ -66,15 +66,20 @@ def latin(text: str) -> bool:
     return True
 
 
+#: Letters, then signs or none: the vocabulary keeps both apart, and the normaliser leaves them as they are.
+_LETTERS, _SIGNS = "a-z\u00df-\u00f6\u00f8-\u00ff", "!-/:-@\\[-`{-~"
+_FIRST = "!-&(-/:-@\\[-`{-~"  # an apostrophe may begin a piece with letters
+
+
 class WordIds:
-    """Ids, little-endian, of white-space words.
+    """Ids of white-space words.
 
-    A word of letters, with signs after them or not, is cut into the two, which the vocabulary keeps apart as well;
-    such parts go straight to the merges, past the normaliser, which would leave them as they are. Their merges run in
-    a byte-level encoder with the same ranks, where the byte 0 stands for the end of a word.
+    Words of letters, with signs after them or not, go straight to the merges, all of a batch in one string, where the
+    byte 1 stands for the end of a part; their merges run in a byte-level encoder with the same ranks. Others are
+    encoded one by one and remembered.
     """
 
-    def __init__(self, path: str, words: int = 250_000, stems: int = 150_000):
+    def __init__(self, path: str, most: int = 100_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -90,31 +95,41 @@ class WordIds:
         for token, rank in self.tokenizer.get_vocab(with_added_tokens=False).items():
             stem = token.removesuffix("</w>")
             if token not in added and all(c in byte for c in stem):
-                ranks[bytes([byte[c] for c in stem]) + (b"\0" if stem != token else b"")] = rank
-        self.merges = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.words = Recent(self.word, words).young
-        self.stems = Recent(self._part, stems).young
-        self.cut = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~][!-/:-@\\[-`{-~]*)?").fullmatch
-
-    def _part(self, part: str) -> bytes:
-        return array("I", self.merges(part + "\0")).tobytes()
-
-    def word(self, word: str) -> bytes:
-        if m := self.cut(word):
-            return self.stems[m[1]] + (self.stems[m[2]] if m[2] else b"")
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+                ranks[bytes([byte[c] for c in stem]) + (b"\1" if stem != token else b"")] = rank
+        self.ends = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends[[rank for part, rank in ranks.items() if part[-1] == 1]] = True
+        self.merges = tiktoken.Encoding("parts", pat_str="[^\1]+\1", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.words = Recent(self._word, most).young
+
+    def _word(self, word: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4")
+
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words together, and of each word where its ids begin and how many they are."""
+        simple = pc.match_substring_regex(words, f"^[{_LETTERS}]+(?:[{_FIRST}][{_SIGNS}]*)?$")
+        own = words.filter(simple)
+        signs = pc.match_substring_regex(own, f"[{_SIGNS}]$").to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring_regex(pc.replace_substring_regex(own, f"([{_LETTERS}]+)", "\\1\1"), f"([{_SIGNS}]+)", "\\1\1")
+        first = np.array(self.merges("".join(cut.to_pylist())), "<u4")
+        last = np.flatnonzero(self.ends[first])[np.cumsum(1 + signs) - 1] if len(own) else np.empty(0, np.int64)
+        others = [self.words[w] for w in words.filter(pc.invert(simple)).to_pylist()]
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        size, at = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        size[is_simple] = np.diff(last, prepend=-1)
+        at[is_simple] = last + 1 - size[is_simple]
+        size[~is_simple] = n = np.fromiter(map(len, others), np.int64, len(others))
+        at[~is_simple] = len(first) + np.cumsum(n) - n
+        return np.concatenate([first, *others]), at, size
 
     def ordinary(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, in which the strings of special tokens are ordinary, and where each text's begin, with the end."""
         split = pc.ascii_split_whitespace(pa.array([x.lower() if latin(x) else x for x in texts], pa.large_string()))
         offsets = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
-        ids = [self.words[w] for w in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at, words = np.cumsum(size) - size, coded.indices.to_numpy()
+        flat, at, size = self.distinct(coded.dictionary)
+        words = coded.indices.to_numpy()
         n = size[words]
         ends = np.concatenate(([0], np.cumsum(n)))
-        flat = np.frombuffer(b"".join(ids), "<u4")
         return flat[np.arange(ends[-1]) + np.repeat(at[words] - ends[:-1], n)], ends[offsets]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -207,11 +207,17 @@ def test_alignment_against_the_plain_form(spark, odd, none, monkeypatch):
     assert alignment.Alignment(odd).documents().count() == len(ODD) and alignment.Alignment(none).documents().count() == 0
 
 
-def test_chunks_forget_and_remember():
-    aligner = alignment.Aligner(*alignment.vocabulary_paths(), most=3)
-    some = [f"w{k}" for k in range(10)] + ["x" * 500]
-    first = aligner.chunks(some)
-    assert aligner.chunks(some[::-1]) == first[::-1] and aligner.chunks(some) == first
+def test_chunks_align_alike_alone_and_together():
+    aligner = alignment.Aligner(*alignment.vocabulary_paths())
+    chunks = list(dict.fromkeys(c for t in (*TEXTS, *adversarial(random.Random(3), 400)) for c in alignment.cut_chunks([t])[0]))
+    x, y = aligner.align(chunks), aligner.align(chunks, 1)
+    for name in ("bad", "n_a", "n_b", "links", "groups"):
+        assert getattr(x, name).tolist() == getattr(y, name).tolist()
+    block = alignment._Block(0)
+    p, q = block.interned(x), block.interned(y)
+    for k in range(len(chunks)):
+        assert p[x.first[k] : x.first[k] + x.groups[k]].tolist() == q[y.first[k] : y.first[k] + y.groups[k]].tolist()
+    assert x.bad.any() and len(set(block.groups)) == len(block.groups)
 
 
 def test_pairs_in_several_groups_of_a_document_count_once(spark):
