@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OK, ERROR, OVER_BUDGET, POLICY, API = 0, 1, 2, 3, 4
@@ -37,8 +37,8 @@ def check(rows: DataFrame, allowed: list[str] | None, limit: float | None) -> Da
 
 def last_by_path(rows: DataFrame, place: str = "place", first: bool = False) -> DataFrame:
     """One row a path: the last by place, or the first."""
-    order = F.col(place).asc() if first else F.col(place).desc()
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("path").orderBy(order))).where("__n = 1").drop("__n")
+    pick = F.min_by if first else F.max_by  # rows of a path are combined before they are shuffled
+    return rows.groupBy("path").agg(pick(F.struct(*rows.columns), place).alias("__row")).select("__row.*")
 
 
 def deltas(base: DataFrame, head: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from ..functions.text import approximate_tokens, pico, quoted
 
 _RECORD = "usage struct<prompt_tokens string, completion_tokens string, total_tokens string, completion_tokens_details struct<reasoning_tokens string>>, input_tokens string, output_tokens string"
 _WHOLE = "^[0-9]{1,19}$"
+#: Slices of a running total, whose sums one task takes.
+SLICES = 10_000
 
 
 def classify(lines: DataFrame, mode: str = "auto", json_field: str = "content", tokens: Column | None = None) -> DataFrame:
@@ -91,11 +93,15 @@ def totals(rows: DataFrame) -> DataFrame:
     return good.agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.col("input") + F.col("output")), F.lit(0)).cast("long").alias("tokens"), F.coalesce(F.sum(pico("cost")), F.lit(0)).cast("decimal(38,0)").alias("cost_pico"))
 
 
-def until_quota(rows: DataFrame, order: str, max_tokens: int | None = None, max_cost_pico: int | None = None, slice_rows: int = 100_000) -> DataFrame:
+def until_quota(rows: DataFrame, order: str, max_tokens: int | None = None, max_cost_pico: int | None = None, slice_rows: int | None = None) -> DataFrame:
     """rows in `order` (whole numbers) up to and with the one at which a running total reaches its limit.
 
     Running totals in two steps: totals of slices of the order, then sums inside each slice, so no task takes all rows.
+    Without a given size, slices are as large as keeps their number at SLICES at most, and have 100,000 numbers at least.
     """
+    if slice_rows is None:
+        low, high = rows.agg(F.min(order), F.max(order)).first()
+        slice_rows = max(100_000, (int(high) - int(low)) // SLICES + 1) if low is not None else 100_000
     piece = F.floor(F.col(order) / slice_rows)
     each = rows.withColumn("__s", piece).withColumn("__ok", F.col("error").isNull())
     each = each.withColumn("__t", F.when(F.col("__ok"), F.col("input") + F.col("output")).otherwise(0).cast("decimal(38,0)")).withColumn("__c", F.when(F.col("__ok"), pico("cost")).otherwise(0).cast("decimal(38,0)"))

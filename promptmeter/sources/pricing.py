@@ -6,6 +6,7 @@ import hashlib
 import json
 import time
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,19 +90,30 @@ def stale_state(valid_until: int | None, now: float) -> str:
     return "Warning" if now > end else "Fresh"
 
 
-def load_prices(spark: SparkSession, cached: str | None = None, verify: Callable[[bytes], bool] | None = None, sha256: str | None = None, now: float | None = None) -> tuple[DataFrame, str]:
-    """Prices and where they come from: a cached file that is verified first and not critically stale, else the packaged table.
+class Prices(NamedTuple):
+    """Prices, where they come from (cache or packaged), and why a given cache isn't used."""
+
+    prices: DataFrame
+    source: str
+    reason: str | None
+
+
+def load_prices(spark: SparkSession, cached: str | None = None, verify: Callable[[bytes], bool] | None = None, sha256: str | None = None, now: float | None = None) -> Prices:
+    """Prices of a cached file that is verified first and not critically stale, else the packaged table.
 
     `verify` is any signature check over the file's bytes; without one the file's SHA-256 must be the given one.
     """
+    reason = None
     if cached:
         try:
             text = _read(spark, cached)
             data = text.encode()
-            good = verify(data) if verify else sha256 is not None and hashlib.sha256(data).hexdigest() == sha256
-            end = json.loads(text).get("valid_until") if good else None
-            if good and stale_state(end if isinstance(end, int) else None, now or time.time()) != "Critical":
-                return spark.createDataFrame(parse_prices(text), SCHEMA), "cache"
-        except Exception:  # any fault of the cache falls back to the packaged table
-            pass
-    return packaged_prices(spark), "packaged"
+            if not (verify(data) if verify else sha256 is not None and hashlib.sha256(data).hexdigest() == sha256):
+                return Prices(packaged_prices(spark), "packaged", "not verified")
+            end = json.loads(text).get("valid_until")
+            if stale_state(end if isinstance(end, int) else None, now or time.time()) == "Critical":
+                return Prices(packaged_prices(spark), "packaged", "stale")
+            return Prices(spark.createDataFrame(parse_prices(text), SCHEMA), "cache", None)
+        except Exception as e:  # any fault of the cache falls back to the packaged table, with its reason
+            reason = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    return Prices(packaged_prices(spark), "packaged", reason)
