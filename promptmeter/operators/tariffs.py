@@ -28,7 +28,7 @@ def as_of(rows: DataFrame, history: DataFrame, key: str, time: str, since: str,
     the first entry, and rows without key or time, have nulls; of entries of one time the one with the greatest values counts.
     """
     values = [c for c in history.columns if c not in (key, since)]
-    bucket = lambda c: F.floor(F.unix_seconds(F.col(c)) / bucket_seconds)
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_seconds)
     entries = history.where(F.col(key).isNotNull() & F.col(since).isNotNull())
     entries = entries.groupBy(F.col(key).alias("__k"), F.col(since).alias("__t")).agg(F.max(F.struct(*values)).alias("__v")).withColumn("__b", bucket("__t"))
     known = rows.where(F.col(key).isNotNull() & F.col(time).isNotNull())

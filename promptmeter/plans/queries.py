@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions import bpe, models, pretok, text
-from ..operators import costs, fairness, focus, governance, render, usage
+from ..functions import bpe, models, pretok, text, utf8
+from ..operators import costs, encoding, fairness, focus, governance, render, tariffs, usage
 from ..sources import config, pricing
+from ..sources.cut import shared_dir
 from ..sources.files import is_prompt_path, lines_of, ranks_of, read_tiktoken
 from ..sources.pricing import packaged_prices, prices_sql, staleness
+from ..streaming import windows
 
 GPT_4O = (5.00, 20.00, None)
 FLASH = (0.15, 0.60, 3.50)
@@ -38,8 +42,13 @@ _PICO = "CAST(round(({0}) * 1000000000000.0::DOUBLE) AS DECIMAL(38,0))"
 _ENC = "CASE " + " ".join(f"WHEN starts_with({{0}}, '{p}') THEN '{e}'" for p, e in models.PREFIXES) + " END"
 
 
+def _used_prices(spark, sf_dir):
+    """Prices of the models that prompts use."""
+    return packaged_prices(spark).join(_prompts(spark, sf_dir).select("model").distinct(), "model", "left_semi")
+
+
 def q_models(spark, sf_dir):
-    return models.models_list(packaged_prices(spark))
+    return models.models_list(_used_prices(spark, sf_dir))
 
 
 def q_cost_by_lang_model(spark, sf_dir):
@@ -59,7 +68,9 @@ def _price_rows():
 
 
 def q_encoding_map(spark, sf_dir):
-    return packaged_prices(spark).select("model", models.encoding_of("model").alias("encoding"))
+    """The encoding of each model that prompts use, and its prompts."""
+    used = _prompts(spark, sf_dir).groupBy("model").agg(F.count("*").alias("prompts"))
+    return used.select("model", models.encoding_of("model").alias("encoding"), "prompts")
 
 
 def q_slug(spark, sf_dir):
@@ -308,10 +319,14 @@ def q_staleness(spark, sf_dir):
     return e.groupBy(staleness(F.col("until"), 150 * 86400).alias("state")).agg(F.count("*").alias("n"))
 
 
+NAMES = ["gpt-4o", "openai/gpt-4o", "openai/new", "meta/llama-3-8b", "mistral/large", "other/x", "gpt-3.5-turbo", "plain"]
+
+
 def q_resolve_models(spark, sf_dir):
-    names = ["gpt-4o", "openai/gpt-4o", "openai/new", "meta/llama-3-8b", "mistral/large", "other/x", "gpt-3.5-turbo", "plain"]
-    d = spark.sql("SELECT explode(array(" + ", ".join(f"'{n}'" for n in names) + ")) AS model")
-    return d.select("model", models.resolve_model("model").alias("r")).select("model", "r.provider", "r.name", "r.encoding", "r.family", "r.accuracy")
+    """What is known of the model names that documents are dealt, and how many documents have each."""
+    dealt = _docs(spark, sf_dir).select(F.element_at(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % len(NAMES) + 1).cast("int")).alias("model"))
+    used = dealt.groupBy("model").agg(F.count("*").alias("prompts"))
+    return used.select("model", "prompts", models.resolve_model("model").alias("r")).select("model", "prompts", "r.provider", "r.name", "r.encoding", "r.family", "r.accuracy")
 
 
 def q_cost_rollup(spark, sf_dir):
@@ -464,13 +479,128 @@ def q_budget_percent(spark, sf_dir):
     return d.select("o_orderkey", *(governance.budget(F.col("o_totalprice"), x)[part].alias(f"{part}_{name}") for name, x in (("some", 150_000.0), ("none", None), ("zero", 0.0)) for part in ("percent", "over")))
 
 
+_FILE = """CASE p_partkey % 5
+ WHEN 0 THEN '{"version":1,"models":{"m' || CAST(p_partkey AS {s}) || '":{"provider":"' || p_brand || '","input_price_per_mtok":' || CAST(p_size AS {s}) || ',"output_price_per_mtok":2.5},"skipped":7}}'
+ WHEN 1 THEN '{"a":{"input_cost_per_mtok":' || CAST(p_size AS {s}) || ',"output_cost_per_mtok":4.25,"output_reasoning_price_per_mtok":5},"b":{"provider":"Q","input_price_per_mtok":0,"input_cost_per_mtok":7,"output_price_per_mtok":0.5}}'
+ WHEN 2 THEN '{"models":{"c":{"input_price_per_mtok":"9","output_reasoning_price_per_mtok":0}}}'
+ WHEN 3 THEN '[1, 2]'
+ ELSE 'no JSON' END"""
+
+
 def q_price_file(spark, sf_dir):
-    """A price file's text through its parser, with older cost fields, faulty entries and a missing provider."""
-    rows = spark.createDataFrame(pricing.parse_prices(_PRICE_FILE), pricing.SCHEMA)
-    return rows.select("model", "provider", "input_price", "output_price", "reasoning_price")
+    """Price files, a JSON text a part, with older cost fields, faulty entries, missing providers and texts that are none."""
+    files = _t(spark, sf_dir, "part").select("p_partkey", F.expr(_FILE.replace("{s}", "STRING")).alias("file"))
+    return pricing.prices_of_texts(files, "file").drop("file")
+
+
+def _price_file_sql():
+    entry = lambda k, model, *values: f"SELECT p_partkey, {model} AS model, {', '.join(values)} FROM part WHERE p_partkey % 5 = {k}"
+    return " UNION ALL ".join((
+        entry(0, "'m' || CAST(p_partkey AS VARCHAR)", "p_brand AS provider", "CAST(p_size AS DOUBLE) AS input_price", "2.5::DOUBLE AS output_price", "CAST(NULL AS DOUBLE) AS reasoning_price"),
+        entry(1, "'a'", "'Unknown'", "CAST(p_size AS DOUBLE)", "4.25::DOUBLE", "5.0::DOUBLE"),
+        entry(1, "'b'", "'Q'", "7.0::DOUBLE", "0.5::DOUBLE", "NULL"),
+        entry(2, "'c'", "'Unknown'", "0.0::DOUBLE", "0.0::DOUBLE", "0.0::DOUBLE"),
+    ))
+
+
+def q_piece_table(spark, sf_dir):
+    """The distinct pieces of all documents, with their occurrences and documents."""
+    return encoding.PieceTable(_docs(spark, sf_dir), "doc_id", "content", bpe.Encoding("words", "spaces")).pieces()
+
+
+def q_bpe_pieces(spark, sf_dir):
+    """Exact token counts; each distinct piece is merged once."""
+    return encoding.PieceTable(_docs(spark, sf_dir), "doc_id", "content", _public_encoding(spark)).counts()
+
+
+def q_vocabulary_use(spark, sf_dir):
+    """How much of a public vocabulary the documents of each language use, and how much of that is rare."""
+    encoding_, out = _public_encoding(spark), None
+    for lang in ("en", "fr", "de", "es"):
+        own = _docs(spark, sf_dir).where(F.col("lang") == lang)
+        row = encoding.PieceTable(own, "doc_id", "content", encoding_).utilisation().withColumn("lang", F.lit(lang))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def q_pretok_digits(spark, sf_dir):
+    """The pieces of digits of both public pre-tokenizers: a run of digits falls into threes."""
+    d = _docs(spark, sf_dir)
+    digits = lambda kind: F.size(F.filter(pretok.pieces("content", kind), lambda p: p.rlike("^[0-9]+$"))).cast("long")
+    return d.select("doc_id", digits("cl100k").alias("cl100k"), digits("o200k").alias("o200k"))
+
+
+def q_bytes_text(spark, sf_dir):
+    """Documents as raw bytes between broken sequences: each faulty byte is one replacement sign."""
+    payload = F.concat(F.unhex(F.lit("E282")), F.col("content").cast("binary"), F.unhex(F.lit("F09F98ED")))
+    d = _docs(spark, sf_dir).select("doc_id", utf8.as_text(payload).alias("t"))
+    return d.select("doc_id", F.md5("t").alias("md5"), F.length("t").cast("long").alias("chars"))
+
+
+#: The tables' times have no zone; they count as UTC, whatever the session's zone.
+_INSTANT = "timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts))"
+
+
+def _timed(spark, sf_dir, events=None):
+    """Events as usage lines with their times."""
+    events = _t(spark, sf_dir, "events") if events is None else events
+    lines = events.select(F.col("event_id").alias("line_no"), F.expr(_INSTANT).alias("ts"), "user_id", "event_type", F.expr(_LINE.replace("{s}", "STRING")).alias("value"))
+    return usage.with_cost(usage.classify(lines, "json_field"), FLASH)
+
+
+def _shown(w, *by):
+    return w.select(F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"), *by, "lines", "tokens", F.col("cost_pico").cast("long").alias("cost_pico"))
+
+
+def q_cost_windows(spark, sf_dir):
+    return _shown(windows.tumbling(_timed(spark, sf_dir), "ts", "6 hours", "event_type"), "event_type")
+
+
+def q_cost_sessions(spark, sf_dir):
+    sums = windows.sessions(_timed(spark, sf_dir), "ts", "2 days", "user_id")
+    return _shown(sums, "user_id")
+
+
+def q_stream_windows(spark, sf_dir):
+    """The windows of q_cost_windows as a stream over the same table makes them."""
+    path, folder = f"{sf_dir}/events.parquet", f"{shared_dir(spark)}/promptmeter/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be a file, a plain path must be a folder
+    sums, sink = windows.tumbling(_timed(spark, sf_dir, stream), "ts", "6 hours", "event_type", delay="3650 days"), windows.Upserts(f"{folder}/out")
+    sums.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _shown(sink.last(spark, "start", "event_type"), "event_type")
+
+
+_SUMS = f"CAST(count(*) FILTER (error IS NULL) AS BIGINT) AS lines, CAST(coalesce(sum(CASE WHEN error IS NULL THEN input + output END), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(CASE WHEN error IS NULL THEN {_PICO.format('cost')} END), 0) AS BIGINT) AS cost_pico"
+
+
+def _windows_sql():
+    return f"""SELECT w AS start, w + 21600 AS "end", event_type, {_SUMS} FROM (SELECT u.*, e.event_type, CAST(floor(epoch(e.ts) / 21600) * 21600 AS BIGINT) AS w FROM {_usage_sql('json_field')} u JOIN events e ON e.event_id = u.line_no) GROUP BY w, event_type"""
+
+
+def _sessions_sql():
+    return f"""SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts))) + 172800 AS BIGINT) AS "end", user_id, {_SUMS} FROM (
+ SELECT *, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) > 172800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, line_no) AS s
+ FROM (SELECT u.*, e.user_id, e.ts, lag(e.ts) OVER (PARTITION BY e.user_id ORDER BY e.ts, u.line_no) AS before FROM {_usage_sql('json_field')} u JOIN events e ON e.event_id = u.line_no)) GROUP BY user_id, s"""
+
+
+def q_price_bands(spark, sf_dir):
+    """Prompts priced by size: above 300 tokens at twice the price."""
+    p = packaged_prices(spark).select("model", "input_price")
+    bands = p.select("model", F.lit(0).alias("above"), F.col("input_price").alias("price")).union(p.select("model", F.lit(300), F.col("input_price") * 2))
+    rows = tariffs.with_bands(_prompts(spark, sf_dir).select("doc_id", "model", text.approximate_tokens("content").alias("tokens")), bands)
+    return rows.select("doc_id", "model", "tokens", "price", text.pico(F.col("price") / 1e6 * F.col("tokens")).cast("long").alias("cost_pico"))
+
+
+def q_price_as_of(spark, sf_dir):
+    """Events as usage at the price of their time; purchases are the changes of prices."""
+    e = _t(spark, sf_dir, "events").withColumn("ts", F.expr(_INSTANT)).withColumn("model", F.concat(F.lit("m"), (F.col("user_id") % 5).cast("string")))
+    history = e.where("event_type = 'purchase'").select("model", F.col("ts").alias("since"), F.col("value").alias("price"))
+    return tariffs.as_of(e.select("event_id", "model", "ts"), history, "model", "ts", "since").select("event_id", "model", "price")
 
 
-_PRICE_FILE = '{"models":{"a":{"provider":"P","input_price_per_mtok":1.5,"output_price_per_mtok":2},"b":{"input_cost_per_mtok":3,"output_cost_per_mtok":4.25,"output_reasoning_price_per_mtok":5},"c":{"provider":"Q","input_price_per_mtok":0,"input_cost_per_mtok":7,"output_price_per_mtok":0.5},"d":7},"version":1}'
+def q_gini_documents(spark, sf_dir):
+    """The spread of the documents' lengths in words."""
+    return fairness.gini(_docs(spark, sf_dir).select(text.words("content").alias("n")), "n").select(F.round("gini", 9).alias("gini"))
 
 
 def q_discovered(spark, sf_dir):
@@ -506,11 +636,13 @@ def oracle_sql() -> dict[str, str]:
     # printed decimals round the shortest form of a double half up, printf of DuckDB its binary value
     fixed = lambda x, n: f"CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,{n})) AS VARCHAR)"
     unit = lambda x: f"CASE WHEN {x} < 1024 THEN printf('%d B', {x}) WHEN {x} < 1048576 THEN {fixed(f'({x} / 1024.0::DOUBLE)', 2)} || ' KB' WHEN {x} < 1073741824 THEN {fixed(f'({x} / 1048576.0::DOUBLE)', 2)} || ' MB' ELSE {fixed(f'({x} / 1073741824.0::DOUBLE)', 2)} || ' GB' END"
+    everything, p = p, f"SELECT * FROM ({p}) WHERE model IN (SELECT model FROM {_PROMPTS})"
+    used, p = p, everything
     return {
         "q_report_text": f"SELECT printf(replace('@=== Tokenizer Report: gpt-4o ===@Corpus Size:    %d bytes@Word Count:     %d words@Token Count:    %d tokens@Est. Cost:      $%.6f@@--- Efficiency Metrics ---@Compression:    %.2f bytes/token  (Higher is better)@Fertility:      %.2f tokens/word  (Lower is better)@', '@', chr(10)), bytes, words, tokens, cost, ratio, fertility) AS text FROM ({report})",
         "q_report_json": f"SELECT printf(replace('{{@  \"model\": \"gpt-4o\",@  \"stats\": {{@    \"bytes\": %d,@    \"tokens\": %d,@    \"words\": %d,@    \"cost_usd\": %.6f@  }},@  \"metrics\": {{@    \"bytes_per_token\": %.2f,@    \"tokens_per_word\": %.2f@  }}@}}@', '@', chr(10)), bytes, tokens, words, cost, ratio, fertility) AS text FROM ({report})",
-        "q_models_json": f"SELECT '[' || chr(10) || string_agg(replace('  {{@    \"id\": \"', '@', chr(10)) || model || replace('\",@    \"cost_in\": ', '@', chr(10)) || {number('input_price')} || replace(',@    \"cost_out\": ', '@', chr(10)) || {number('output_price')} || CASE WHEN reasoning_price > 0 THEN replace(',@    \"cost_reasoning\": ', '@', chr(10)) || {number('reasoning_price')} ELSE '' END || chr(10) || '  }}', ',' || chr(10) ORDER BY model) || chr(10) || ']' || chr(10) AS text FROM ({p})",
-        "q_models_text": f"SELECT rpad('MODEL', 20, ' ') || ' ' || rpad('INPUT ($/1M)', 15, ' ') || ' ' || rpad('OUTPUT ($/1M)', 15, ' ') || ' ' || rpad('REAS ($/1M)', 15, ' ') || chr(10) || repeat('-', 20) || ' ' || repeat('-', 15) || ' ' || repeat('-', 15) || ' ' || repeat('-', 15) || chr(10) || string_agg(printf('%-20s %-15s %-15s %-14s', model, '$' || printf('%.2f', input_price), '$' || printf('%.2f', output_price), CASE WHEN reasoning_price > 0 THEN '$' || printf('%.2f', reasoning_price) ELSE '-' END), chr(10) ORDER BY model) || chr(10) || chr(10) || 'Total models: ' || count(*) || chr(10) AS text FROM ({p})",
+        "q_models_json": f"SELECT '[' || chr(10) || string_agg(replace('  {{@    \"id\": \"', '@', chr(10)) || model || replace('\",@    \"cost_in\": ', '@', chr(10)) || {number('input_price')} || replace(',@    \"cost_out\": ', '@', chr(10)) || {number('output_price')} || CASE WHEN reasoning_price > 0 THEN replace(',@    \"cost_reasoning\": ', '@', chr(10)) || {number('reasoning_price')} ELSE '' END || chr(10) || '  }}', ',' || chr(10) ORDER BY model) || chr(10) || ']' || chr(10) AS text FROM ({used})",
+        "q_models_text": f"SELECT rpad('MODEL', 20, ' ') || ' ' || rpad('INPUT ($/1M)', 15, ' ') || ' ' || rpad('OUTPUT ($/1M)', 15, ' ') || ' ' || rpad('REAS ($/1M)', 15, ' ') || chr(10) || repeat('-', 20) || ' ' || repeat('-', 15) || ' ' || repeat('-', 15) || ' ' || repeat('-', 15) || chr(10) || string_agg(printf('%-20s %-15s %-15s %-14s', model, '$' || printf('%.2f', input_price), '$' || printf('%.2f', output_price), CASE WHEN reasoning_price > 0 THEN '$' || printf('%.2f', reasoning_price) ELSE '-' END), chr(10) ORDER BY model) || chr(10) || chr(10) || 'Total models: ' || count(*) || chr(10) AS text FROM ({used})",
         "q_estimate_scan": f"SELECT path, printf('%s: $%.6f (%s)', path, cost, id) AS text FROM {estimated}",
         "q_estimate_files": f"SELECT path, printf(replace('File:        %s@Tokens In:   %d@Cost (est):  $%.6f@Resource ID: %s (%s)@', '@', chr(10)), path, tokens, cost, id, src) AS text FROM {estimated}",
         "q_estimate_total": f"SELECT printf('Total Cost:  $%.6f', CAST(sum({_PICO.format('cost')}) AS DOUBLE) / 1000000000000.0::DOUBLE) AS text FROM {estimated}",
@@ -525,14 +657,23 @@ def oracle_sql() -> dict[str, str]:
         "q_model_of": f"SELECT doc_id, coalesce(m, d, 'gpt-4o') AS check_manifest_none, coalesce(m, d, 'given') AS check_manifest_given, coalesce(d, 'gpt-4o') AS check_file_none, 'given' AS check_file_given, coalesce(m, d, 'gpt-4o') AS export_none, coalesce(m, d, 'gpt-4o') AS export_given, coalesce(m, 'gpt-4o') AS diff_none, coalesce(m, 'gpt-4o') AS diff_given, 'gpt-4o' AS estimate_none, 'given' AS estimate_given FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'own' END AS m, CASE WHEN doc_id % 3 = 0 THEN 'default' END AS d FROM {_DOCS})",
         "q_formats": f"SELECT doc_id, {unit('n')} AS size, {unit('big')} AS large, CASE WHEN a < 0 THEN '-' ELSE '' END || CAST(abs(a) // 1000000000000 AS VARCHAR) || '.' || lpad(CAST(abs(a) % 1000000000000 AS VARCHAR), 12, '0') AS amount, n / 1000000.0::DOUBLE / 0.25::DOUBLE AS mb_s, CASE WHEN doc_id % 3 = 0 THEN 0.0::DOUBLE ELSE n::DOUBLE / (doc_id % 3) END AS ratio FROM (SELECT *, CAST(round((n - 2000) / 1000000.0::DOUBLE * 1000000000000.0::DOUBLE) AS BIGINT) AS a FROM {sized})",
         "q_budget_percent": "SELECT o_orderkey, o_totalprice / 150000.0::DOUBLE * 100 AS percent_some, o_totalprice > 150000.0::DOUBLE AS over_some, CAST(NULL AS DOUBLE) AS percent_none, false AS over_none, CAST(NULL AS DOUBLE) AS percent_zero, o_totalprice > 0 AS over_zero FROM orders",
-        "q_price_file": "SELECT * FROM (VALUES ('a', 'P', 1.5::DOUBLE, 2.0::DOUBLE, CAST(NULL AS DOUBLE)), ('b', 'Unknown', 3.0, 4.25, 5.0), ('c', 'Q', 7.0, 0.5, NULL)) t(model, provider, input_price, output_price, reasoning_price)",
+        "q_price_file": _price_file_sql(),
+        "q_piece_table": f"SELECT piece, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(content, '[^ ]+| ')) AS piece FROM {_DOCS}) GROUP BY piece",
+        "q_pretok_digits": f"SELECT doc_id, n AS cl100k, n AS o200k FROM (SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(content, '[0-9]+'), lambda x: (length(x) + 2) // 3)), 0) AS BIGINT) AS n FROM {_DOCS})",
+        "q_bytes_text": f"SELECT doc_id, md5(t) AS md5, length(t) AS chars FROM (SELECT doc_id, repeat(chr(65533), 2) || content || repeat(chr(65533), 4) AS t FROM {_DOCS})",
+        "q_cost_windows": _windows_sql(),
+        "q_stream_windows": _windows_sql(),
+        "q_cost_sessions": _sessions_sql(),
+        "q_price_bands": f"SELECT doc_id, model, tokens, price, CAST({_PICO.format('price / 1000000.0::DOUBLE * tokens')} AS BIGINT) AS cost_pico FROM (SELECT doc_id, d.model, {_tokens('content')} AS tokens, CASE WHEN {_tokens('content')} > 300 THEN input_price * 2 WHEN {_tokens('content')} > 0 THEN input_price END AS price FROM {_PROMPTS} d LEFT JOIN ({p}) p ON d.model = p.model)",
+        "q_price_as_of": "WITH e AS (SELECT event_id, 'm' || CAST(user_id % 5 AS VARCHAR) AS model, ts, event_type, value FROM events), h AS (SELECT model, ts AS since, max(value) AS price FROM e WHERE event_type = 'purchase' GROUP BY ALL) SELECT event_id, e.model, price FROM e ASOF LEFT JOIN h ON e.model = h.model AND e.ts >= h.since",
+        "q_gini_documents": f"SELECT round(sum(i * x) * 2 / (count(*) * sum(x)) - (count(*) + 1)::DOUBLE / count(*), 9) AS gini FROM (SELECT {words}::DOUBLE AS x, row_number() OVER (ORDER BY {words}) AS i FROM {_DOCS})",
         "q_discovered": f"SELECT path, count(*) AS n FROM (SELECT ['a.txt', 'b.md', 'c.prompt', 'd.py', '.hidden.txt', 'x/.git/y.txt', 'deep/er/z.txt', 'txt'][CAST(doc_id % 8 + 1 AS INT)] AS path FROM {_DOCS}) WHERE regexp_matches(path, '\\.(txt|md|prompt)$') AND NOT starts_with(path, '.') AND NOT contains(path, '.git') GROUP BY path",
         "q_bpe_decode": f"SELECT doc_id, true AS same, CAST(strlen(content) AS BIGINT) AS n_bytes FROM {_DOCS}",
         "q_pipe_output": f"""SELECT line_no, CASE kind WHEN 'usage' THEN printf('{{"input":%d,"output":%d,"reasoning":%d,"cost":%s}}', input, output, reasoning, {fixed('cost', 6)}) WHEN 'error' THEN '{{"error":"' || error || '"}}'
  WHEN 'raw' THEN printf('{{"tokens":%d,"cost":%s}}', input, {fixed('cost', 6)}) ELSE left(value, length(value) - 1) || ',"usage":{{"input_tokens":' || input || ',"cost_usd":' || {number('cost')} || '}}}}' END AS json
  FROM {_usage_sql()} JOIN {_LINES} l USING (line_no)""",
-        "q_models": f"SELECT model AS id, provider, {_ENC.format('model')} AS encoding, input_price, output_price, reasoning_price FROM ({p})",
-        "q_encoding_map": f"SELECT model, {_ENC.format('model')} AS encoding FROM ({p})",
+        "q_models": f"SELECT model AS id, provider, {_ENC.format('model')} AS encoding, input_price, output_price, reasoning_price FROM ({used})",
+        "q_encoding_map": f"SELECT model, {_ENC.format('model')} AS encoding, count(*) AS prompts FROM {_PROMPTS} GROUP BY model",
         "q_cost_by_lang_model": f"SELECT lang, model, tokens, CAST({_PICO.format(_COST.format('tokens', '0', '0'))} AS BIGINT) AS cost_pico FROM (SELECT lang, CAST(sum({_tokens('content')}) AS BIGINT) AS tokens FROM {_DOCS} WHERE lang IS NOT NULL GROUP BY lang), ({p})",
         "q_slug": f"SELECT doc_id, {_SLUG.format('path')} AS slug, CASE WHEN doc_id % 3 = 0 THEN 'id-' || CAST(doc_id AS VARCHAR) ELSE {_SLUG.format('path')} END AS resource_id, CASE WHEN doc_id % 3 = 0 THEN 'manifest' ELSE 'path_slug' END AS id_source FROM {_DOCS}",
         "q_words_modes": f"SELECT doc_id, {words} AS whitespace, length(content) AS character, CASE WHEN length(content) > 0 AND (length(content) - length(regexp_replace(content, '{cjk}', '', 'g'))) * 100 // greatest(length(content), 1) > 30 THEN length(content) ELSE {words} END AS heuristic, CAST(len(regexp_extract_all(content, '[^ \\t\\n\\r]+')) AS BIGINT) AS narrow, CAST(strlen(content) AS BIGINT) AS bytes, {_tokens('content')} AS tokens FROM {_DOCS}",
@@ -558,6 +699,6 @@ def oracle_sql() -> dict[str, str]:
         "q_lines": f"SELECT doc_id, count(*) AS lines, CAST(sum({_tokens('value')}) AS BIGINT) AS tokens FROM (SELECT doc_id, unnest(string_split(content, chr(10))) AS value FROM {_DOCS}) GROUP BY doc_id",
         "q_percentiles": "SELECT event_type, count(*) AS n, min(v) AS min, max(v) AS max, CAST(sum(v) // count(*) AS BIGINT) AS mean, CAST(floor(sqrt(floor(sum((v - m) * (v - m)) / count(*)))) AS BIGINT) AS stddev, " + ", ".join(f"list_sort(list(v))[CAST(least(count(*) * {k} // 100, count(*) - 1) AS INT) + 1] AS p{k}" for k in (50, 95, 99)) + " FROM (SELECT *, CAST(sum(v) OVER (PARTITION BY event_type) // count(*) OVER (PARTITION BY event_type) AS BIGINT) AS m FROM (SELECT event_type, CAST(floor(coalesce(value, 0)) AS BIGINT) AS v FROM events)) GROUP BY event_type",
         "q_staleness": "SELECT CASE WHEN u = 0 OR 150 > u + 90 THEN 'Critical' WHEN 150 > u THEN 'Warning' ELSE 'Fresh' END AS state, count(*) AS n FROM (SELECT event_id % 200 AS u FROM events) GROUP BY 1",
-        "q_resolve_models": "SELECT * FROM (VALUES ('gpt-4o', 'openai', 'gpt-4o', 'o200k_base', 'gpt4', 'exact'), ('openai/gpt-4o', 'openai', 'gpt-4o', 'o200k_base', 'gpt4', 'exact'), ('openai/new', 'openai', 'new', NULL, 'gpt4', 'heuristic'), ('meta/llama-3-8b', 'meta', 'llama-3-8b', NULL, 'llama3', 'heuristic'), ('mistral/large', 'mistral', 'large', NULL, 'mistral', 'heuristic'), ('other/x', 'generic', 'x', NULL, 'unknown', 'heuristic'), ('gpt-3.5-turbo', 'openai', 'gpt-3.5-turbo', 'cl100k_base', 'gpt3', 'exact'), ('plain', 'generic', 'plain', NULL, 'unknown', 'heuristic')) t(model, provider, name, encoding, family, accuracy)",
+        "q_resolve_models": f"SELECT t.*, prompts FROM (VALUES ('gpt-4o', 'openai', 'gpt-4o', 'o200k_base', 'gpt4', 'exact'), ('openai/gpt-4o', 'openai', 'gpt-4o', 'o200k_base', 'gpt4', 'exact'), ('openai/new', 'openai', 'new', NULL, 'gpt4', 'heuristic'), ('meta/llama-3-8b', 'meta', 'llama-3-8b', NULL, 'llama3', 'heuristic'), ('mistral/large', 'mistral', 'large', NULL, 'mistral', 'heuristic'), ('other/x', 'generic', 'x', NULL, 'unknown', 'heuristic'), ('gpt-3.5-turbo', 'openai', 'gpt-3.5-turbo', 'cl100k_base', 'gpt3', 'exact'), ('plain', 'generic', 'plain', NULL, 'unknown', 'heuristic')) t(model, provider, name, encoding, family, accuracy) JOIN (SELECT {NAMES}[CAST(doc_id % {len(NAMES)} + 1 AS INT)] AS model, count(*) AS prompts FROM documents GROUP BY 1) USING (model)",
         "q_cost_rollup": f"SELECT provider, model, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(c) AS BIGINT) AS cost_pico FROM (SELECT provider, model, {_tokens('content')} AS tokens, {_PICO.format(costed)} AS c FROM {_PROMPTS} JOIN ({p}) USING (model)) GROUP BY ROLLUP (provider, model)",
     }

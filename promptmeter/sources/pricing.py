@@ -68,6 +68,30 @@ def parse_prices(text: str) -> list[tuple]:
     return out
 
 
+def prices_of_texts(files: DataFrame, text: str) -> DataFrame:
+    """files with a row for each model of the price files in a column of JSON texts, by the rules of parse_prices().
+
+    Columns of the file, then model, provider, input_price, output_price, reasoning_price; a text that is no JSON object has no row.
+    """
+    whole = F.from_json(text, "map<string,variant>")
+    inner = F.from_json(F.to_json(whole["models"]), "map<string,variant>")
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    rows = files.withColumn("__models", F.when(is_object(whole["models"]), inner).otherwise(whole))
+    rows = rows.select(*files.columns, F.explode("__models").alias("model", "__entry")).where(is_object(F.col("__entry")))
+
+    def number(*names):
+        found = []
+        for name in names:
+            kind = F.schema_of_variant(F.try_variant_get("__entry", f"$.{name}", "variant"))
+            value = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get("__entry", f"$.{name}", "double"))
+            found.append(F.nullif(value, F.lit(0.0)) if len(names) > 1 else value)
+        return F.coalesce(*found)
+
+    price = lambda side: F.coalesce(number(f"{side}_price_per_mtok", f"{side}_cost_per_mtok"), F.lit(0.0))
+    provider = F.coalesce(F.try_variant_get("__entry", "$.provider", "string"), F.lit("Unknown"))
+    return rows.select(*files.columns, "model", provider.alias("provider"), price("input").alias("input_price"), price("output").alias("output_price"), number("output_reasoning_price_per_mtok").alias("reasoning_price"))
+
+
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
     """A price file as a table; only the driver reads it, its size is bounded."""
     return spark.createDataFrame(parse_prices(_read(spark, path)), SCHEMA)

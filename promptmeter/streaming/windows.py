@@ -68,12 +68,12 @@ class CostWindows:
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         ledger = Ledger(batch.sparkSession, f"{self.folder}/ledger")
         latest = (ledger.before(epoch) or {}).get("latest")
-        end = F.window(self.time, self.size)["end"].cast("double")
+        end = F.window(self.time, self.size)["end"].cast("timestamp").cast("double")
         held = batch.withColumn("__late", F.lit(False) if latest is None else end <= latest - self.delay).persist()
         put = lambda rows, part: rows.write.mode("overwrite").parquet(f"{self.folder}/{part}/epoch={epoch}")
         put(held.where("__late").drop("__late"), "late")
         put(tumbling(held.where("not __late"), self.time, self.size, *self.by), "sums")
-        most = held.agg(F.max(F.col(self.time).cast("double"))).first()[0]
+        most = held.agg(F.max(F.col(self.time).cast("timestamp").cast("double"))).first()[0]
         held.unpersist()
         ledger.put(epoch, {"latest": max((x for x in (latest, most) if x is not None), default=None)})
 
