@@ -2,7 +2,8 @@
 
 A passage is a line, a paragraph (lines between empty ones) or the whole text, in lower case with everything but
 letters and digits as single blanks. Its size is its number of word bigrams, the size of a template likewise; the
-coefficient is twice the number of distinct common bigrams over the sum of both sizes. A template can reach the
+coefficient is twice the number of common bigrams over the sum of both sizes, and a bigram that both hold several times
+is common as often as the one that holds it less often does: a text has 1 against itself. A template can reach the
 threshold t only with passages between a t / (2 - t) and a (2 - t) / t bigrams, so others are never compared.
 DataFrame operations only.
 
@@ -12,13 +13,14 @@ paragraph of one line and a text of one paragraph are reported once, as the smal
 A notice inside a longer line, or wrapped over lines that others adjoin, is a window: a run of words of the text that
 begins and ends with bigrams of one template and reaches the threshold. Its number is that of its first word. Of
 windows that overlap the one with the greatest coefficient counts, then the longest; windows inside a line, paragraph
-or text that reaches the threshold itself are not reported again. Rows with one doc_id and one text have theirs once.
+or text that reaches the threshold itself are not reported again. Equal rows have theirs each.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -62,13 +64,23 @@ def bounds(size: int, t: float) -> tuple[int, int]:
     return int(-(-size * t // (2 - t))), int(size * (2 - t) / t)
 
 
+def least_common(b: list[str], lo: int, t: float) -> int:
+    """How many bigrams a passage that reaches t has in common with a template at least."""
+    return math.ceil(t * (len(b) + lo) / 2 - 1e-9)
+
+
+def least_distinct(b: list[str], lo: int, t: float) -> int:
+    """How many different ones of them, as only the template's repeated bigrams can be common twice."""
+    return max(1, least_common(b, lo, t) - len(b) + len(set(b)))
+
+
 def clue_words(templates: dict[str, tuple[list[str], int]], t: float) -> list[str]:
     """Words of which every passage that reaches the threshold holds one.
 
-    A passage needs t (size + least passage) / 2 of a template's d distinct bigrams, so one of any d - that + 1 of
+    A passage needs so many of a template's d distinct bigrams (see `least_distinct`), so one of any d - that + 1 of
     them. Words are chosen, long ones first, until so many bigrams of each template have one of them.
     """
-    need = {k: len(set(b)) - math.ceil(t * (len(b) + lo) / 2 - 1e-9) + 1 for k, (b, lo) in templates.items()}
+    need = {k: len(set(b)) - least_distinct(b, lo, t) + 1 for k, (b, lo) in templates.items()}
     has: dict[str, dict[str, set[str]]] = {}
     for k, (b, _) in templates.items():
         for pair in b:
@@ -92,16 +104,13 @@ def clue_words(templates: dict[str, tuple[list[str], int]], t: float) -> list[st
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, unit, unit_no, license, dice of every passage that reaches the threshold, with its best template."""
     sizes = {k: (bigrams(v), bounds(len(bigrams(v)), threshold)) for k, v in sorted(templates.items())}
-    known = F.array(*[
-        F.struct(F.lit(k).alias("license"), F.lit(len(b)).alias("size"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.split(F.lit("|".join(sorted(set(b)))), r"\|").alias("set"))
-        for k, (b, (lo, hi)) in sizes.items()
-    ])
+    known = _known(sizes)
     least, most = min(lo for _, (lo, _) in sizes.values()), max(hi for _, (_, hi) in sizes.values())
     lower, clues = F.lower("text"), clue_words({k: (b, lo) for k, (b, (lo, _)) in sizes.items()}, threshold)
     hinted = lambda c: reduce(lambda a, b: a | b, (c.contains(w) for w in clues))
     clean = F.trim(F.regexp_replace(F.regexp_replace(lower, r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n"))
     # a generator is evaluated once, however often its column is used after it; texts without a clue word are read once
-    texts = written(docs.where(hinted(lower)).select("doc_id", F.explode(F.array(clean)).alias("clean")), "license-texts")
+    texts = written(docs.where(hinted(lower)).select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.array(clean)).alias("clean")), "license-texts")
     units = {"line": F.split("clean", "\n"), "paragraph": F.split("clean", "\n\n+"), "text": F.array("clean")}
     blank = {"line": lambda x: F.lit(True), "paragraph": lambda x: x.contains("\n"), "text": lambda x: x.contains("\n\n")}
 
@@ -111,12 +120,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         return F.filter(every, lambda s: (F.length(s["p"]) > 2 * least) & blank[unit](s["p"]) & hinted(s["p"]))
 
     rows = texts.select("doc_id", F.explode(F.concat(*map(passages, units))).alias("s"))
-    rows = rows.select("doc_id", "s.unit", "s.unit_no", F.explode(F.array(F.split(F.regexp_replace(F.trim("s.p"), "\n+", " "), " "))).alias("w"))
+    rows = rows.select("doc_id", "s.unit", "s.unit_no", F.explode(F.array(F.split(F.trim(F.regexp_replace("s.p", "\n+", " ")), " "))).alias("w"))
     rows = rows.withColumn("n", F.size("w") - 1).where(F.col("n").between(least, most))
-    pairs = F.array_distinct(F.transform(F.slice("w", 1, F.col("n")), lambda x, i: F.concat_ws(" ", x, F.element_at("w", i + 2))))
-    rows = rows.select("doc_id", "unit", "unit_no", "n", F.explode(F.array(pairs)).alias("b"))
+    rows = rows.select("doc_id", "unit", "unit_no", "n", F.explode(F.array(_pairs("w"))).alias("b"))
     able = F.filter(known, lambda t: (F.col("n") >= t["lo"]) & (F.col("n") <= t["hi"]))
-    scored = F.transform(able, lambda t: F.struct((F.size(F.array_intersect(t["set"], F.col("b"))) * 2.0 / (t["size"] + F.col("n"))).alias("dice"), t["license"].alias("license")))
+    scored = F.transform(able, lambda t: F.struct(_coefficient(t, F.col("b"), F.col("n"), threshold).alias("dice"), t["license"].alias("license")))
     hits = F.filter(scored, lambda x: x["dice"] >= threshold)
     # the greatest coefficient, and of equal ones the first name
     best = F.array_min(F.transform(hits, lambda x: F.struct((-x["dice"]).alias("less"), x["license"].alias("license"))))
@@ -130,43 +138,76 @@ def _bound(value, use):
     return F.transform(F.array(value), use)[0]
 
 
+def _known(sizes: dict):
+    """The templates as an array: their distinct bigrams, how often each stands in it, and the repeated ones."""
+    rows = []
+    for k, (b, (lo, hi)) in sizes.items():
+        count = sorted(Counter(b).items())
+        again = [f"{x}|{m}" for x, m in count if m > 1]
+        texts = lambda xs: F.filter(F.split(F.lit("#".join(xs)), "#"), lambda x: x != "")
+        repeated = F.transform(texts(again), lambda x: F.struct(F.split(x, r"\|")[0].alias("x"), F.split(x, r"\|")[1].cast("int").alias("m")))
+        times = F.transform(texts([str(m) for _, m in count]), lambda x: x.cast("int"))
+        rows.append(F.struct(F.lit(k).alias("license"), F.lit(len(b)).alias("size"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), texts([x for x, _ in count]).alias("set"), times.alias("times"), repeated.alias("again")))
+    return F.array(*rows)
+
+
+def _pairs(words):
+    """The bigrams of an array of words, in order."""
+    w = F.col(words) if isinstance(words, str) else words
+    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.element_at(w, i + 2)))
+
+
+def _coefficient(t, b, n, threshold: float):
+    """The Dice coefficient of template t and a passage of the n bigrams b; 0 where it can't reach the threshold.
+
+    The common distinct bigrams come first; only where those and all repeats would do, the repeats are counted.
+    """
+    repeats = F.aggregate(t["again"], F.lit(0), lambda s, y: s + F.greatest(F.least(y["m"], F.size(F.filter(b, lambda x: x == y["x"]))) - 1, F.lit(0)))
+    exact = lambda c: (c + repeats) * 2.0 / (t["size"] + n)
+    most = lambda c: (c + t["size"] - F.size(t["set"])) * 2.0 / (t["size"] + n)
+    return _bound(F.size(F.array_intersect(t["set"], b)), lambda c: F.when(most(c) >= threshold, exact(c)).otherwise(0.0))
+
+
 def _dice(known, words, threshold: float):
     """Whether the words as one passage reach the threshold with any template."""
 
     def any_of(w):
-        pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.element_at(w, i + 2)))
-        return _bound(F.array_distinct(pairs), lambda b: F.exists(known, lambda t: (F.size(w) - 1).between(t["lo"], t["hi"]) & (F.size(F.array_intersect(t["set"], b)) * 2.0 / (t["size"] + F.size(w) - 1) >= threshold)))
+        n = F.size(w) - 1
+        able = F.filter(known, lambda t: n.between(t["lo"], t["hi"]))
+        return _bound(F.when(F.size(able) > 0, _pairs(w)), lambda b: F.exists(able, lambda t: _coefficient(t, b, n, threshold) >= threshold))
 
     return _bound(words, any_of)
 
 
 def _windows(texts: DataFrame, sizes: dict, known, threshold: float) -> DataFrame:
-    """The rows of windows of texts (doc_id, clean)."""
+    """The rows of windows of texts (doc_id, row, clean); texts are not shuffled, only places of windows are."""
     every = F.split(F.lit("|".join(sorted({x for b, _ in sizes.values() for x in b}))), r"\|")
-    need = {k: math.ceil(threshold * (len(b) + lo) / 2 - 1e-9) for k, (b, (lo, _)) in sizes.items()}
-    needs = F.create_map(*(F.lit(x) for k, n in need.items() for x in (k, n)))
+    needs, distinct = (F.create_map(*(F.lit(x) for k, (b, (lo, _)) in sizes.items() for x in (k, f(b, lo, threshold)))) for f in (least_common, least_distinct))
     # words with the number of their line and paragraph
     lines = F.split("clean", "\n")
-    rows = texts.select("doc_id", F.explode(F.array(lines)).alias("lines"))
+    rows = texts.select(F.struct("doc_id", "row").alias("key"), F.explode(F.array(lines)).alias("lines"))
     numbered = F.flatten(F.transform("lines", lambda x, i: F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), i.alias("line")))))
-    rows = rows.select("doc_id", "lines", F.explode(F.array(numbered)).alias("ws"))
+    rows = rows.select("key", "lines", F.explode(F.array(numbered)).alias("ws"))
     pairs = F.transform(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x["w"], F.element_at("ws", i + 2)["w"]))
-    rows = rows.select("doc_id", "lines", "ws", F.explode(F.array(pairs)).alias("b"))
-    rows = rows.select("doc_id", "lines", "ws", "b", F.explode(F.array(F.array_intersect(every, "b"))).alias("seen"))
-    able = F.filter(known, lambda t: F.size(F.array_intersect(t["set"], F.col("seen"))) >= needs[t["license"]])
-    rows = rows.select("doc_id", "lines", "ws", "b", F.explode(F.array(able)).alias("able")).where(F.size("able") > 0)
-    rows = rows.select("doc_id", "lines", "ws", "b", F.posexplode("able").alias("k", "t"))
+    rows = rows.select("key", "lines", "ws", F.explode(F.array(pairs)).alias("b"))
+    rows = rows.select("key", "lines", "ws", "b", F.explode(F.array(F.array_intersect(every, "b"))).alias("seen"))
+    able = F.filter(known, lambda t: F.size(F.array_intersect(t["set"], F.col("seen"))) >= distinct[t["license"]])
+    rows = rows.select("key", "lines", "ws", "b", F.explode(F.array(able)).alias("able")).where(F.size("able") > 0)
+    rows = rows.select("key", "lines", "ws", "b", F.posexplode("able").alias("k", "t"))
     places = F.filter(F.transform("b", lambda x, i: F.struct((i + 1).alias("at"), F.array_position(F.col("t.set"), x).cast("int").alias("id"))), lambda h: h["id"] > 0)
-    rows = rows.select("doc_id", "lines", "ws", "k", "t", F.explode(F.array(places)).alias("hits"))
-    # for each hit the place of the same bigram before it, in reach of a window (0: none)
+    rows = rows.select("key", "lines", "ws", "k", "t", F.explode(F.array(places)).alias("hits"))
+    # for each hit the place of the same bigram as many times before it as the template holds it, in reach of a window
+    # (0: none): a window that begins after that place counts the hit
     before = lambda h, i: F.slice(F.col("hits"), F.greatest(i + 1 - F.col("t.hi"), F.lit(1)), F.least(i, F.col("t.hi")))
-    last = F.transform("hits", lambda h, i: F.struct(h["at"].alias("at"), F.coalesce(F.array_max(F.transform(F.filter(before(h, i), lambda g: g["id"] == h["id"]), lambda g: g["at"])), F.lit(0)).alias("before")))
-    rows = rows.select("doc_id", "lines", "ws", "k", "t", F.explode(F.array(last)).alias("hits"))
+    same = lambda h, i: F.transform(F.filter(before(h, i), lambda g: g["id"] == h["id"]), lambda g: g["at"])
+    full = lambda h, i: _bound(same(h, i), lambda xs: F.get(xs, F.size(xs) - F.element_at(F.col("t.times"), h["id"])))
+    last = F.transform("hits", lambda h, i: F.struct(h["at"].alias("at"), F.coalesce(full(h, i), F.lit(0)).alias("before")))
+    rows = rows.select("key", "lines", "ws", "k", "t", F.explode(F.array(last)).alias("hits"))
     # a window begins where enough hits follow within its greatest length
     least = needs[F.col("t.license")]
     dense = F.filter(F.sequence(F.lit(1), F.size("hits")), lambda j: (j + least - 1 <= F.size("hits")) & (F.get("hits", j + least - 2)["at"] - F.get("hits", j - 1)["at"] < F.col("t.hi")))
-    rows = rows.select("doc_id", "lines", "ws", "t", "hits", F.explode(F.array(F.when(F.size("hits") >= least, dense).otherwise(F.array().cast("array<int>")))).alias("dense")).where(F.size("dense") > 0)
-    rows = rows.select("doc_id", "lines", "ws", "t", "hits", F.explode("dense").alias("j"))
+    rows = rows.select("key", "lines", "ws", "t", "hits", F.explode(F.array(F.when(F.size("hits") >= least, dense).otherwise(F.array().cast("array<int>")))).alias("dense")).where(F.size("dense") > 0)
+    rows = rows.select("key", "lines", "ws", "t", "hits", F.explode("dense").alias("j"))
     at = F.get("hits", F.col("j") - 1)["at"]
     start = F.struct(F.lit(0).alias("c"), F.lit(0.0).alias("dice"), F.lit(0).alias("n"))
 
@@ -178,48 +219,76 @@ def _windows(texts: DataFrame, sizes: dict, known, threshold: float) -> DataFram
 
     rows = rows.withColumn("at", at)
     best = F.aggregate(F.slice("hits", F.col("j"), F.least(F.col("t.hi"), F.size("hits"))), start, step)
-    rows = rows.select("doc_id", "lines", "ws", "t.license", "at", F.explode(F.array(best)).alias("best")).where(F.col("best.dice") >= threshold)
-    rows = rows.select("doc_id", "lines", "ws", F.struct((-F.col("best.dice")).alias("less"), (-F.col("best.n")).alias("short"), "license", F.col("at").alias("a"), (F.col("at") + F.col("best.n")).alias("z")).alias("x"))
-    # what overlaps a better one goes; rows of one text meet here
-    rows = rows.groupBy("doc_id", "lines", "ws").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    apart = F.aggregate("xs", F.slice("xs", 1, 0), lambda s, x: F.when(F.exists(s, lambda y: (x["a"] <= y["z"]) & (y["a"] <= x["z"])), s).otherwise(F.concat(s, F.array(x))))
-    rows = rows.select("doc_id", "lines", "ws", F.explode(apart).alias("x"))
+    rows = rows.select("key", "lines", "ws", "t.license", "at", F.explode(F.array(best)).alias("best")).where(F.col("best.dice") >= threshold)
     # the line, paragraph and text around a window
-    first, final = F.element_at("ws", F.col("x.a"))["line"], F.element_at("ws", F.col("x.z"))["line"]
-    rows = rows.select("doc_id", "lines", "ws", "x", first.alias("p"), final.alias("q"))
+    rows = rows.select("key", "lines", "ws", "license", "best", F.col("at").alias("a"), (F.col("at") + F.col("best.n")).alias("z"))
+    rows = rows.withColumns({"p": F.element_at("ws", F.col("a"))["line"], "q": F.element_at("ws", F.col("z"))["line"]})
     blank = F.filter(F.transform("lines", lambda l, i: F.when(l == "", i)), lambda i: i.isNotNull())
-    rows = rows.select("doc_id", "ws", "x", "p", "q", F.explode(F.array(blank)).alias("blank"))
+    cols = ["key", "ws", "license", "best", "a", "z", "p", "q"]
+    rows = rows.select(*cols, F.explode(F.array(blank)).alias("blank"))
     lo = F.coalesce(F.array_max(F.filter("blank", lambda i: i < F.col("p"))), F.lit(-1))
     hi = F.coalesce(F.array_min(F.filter("blank", lambda i: i > F.col("p"))), F.lit(2**31 - 1))
-    rows = rows.select("doc_id", "ws", "x", "p", "q", lo.alias("lo"), hi.alias("hi"))
+    rows = rows.select(*cols, lo.alias("lo"), hi.alias("hi"))
     part = lambda ok: F.transform(F.filter("ws", ok), lambda w: w["w"])
     shown = (F.col("p") == F.col("q")) & _dice(known, part(lambda w: w["line"] == F.col("p")), threshold)
     shown = shown | ((F.col("q") < F.col("hi")) & _dice(known, part(lambda w: (w["line"] > F.col("lo")) & (w["line"] < F.col("hi"))), threshold))
-    shown = shown | _dice(known, F.transform("ws", lambda w: w["w"]), threshold)
-    rows = rows.select("doc_id", "x", F.explode(F.array(shown)).alias("shown")).where(~F.coalesce("shown", F.lit(False)))
-    return rows.select("doc_id", F.lit("window").alias("unit"), F.col("x.a").cast("long").alias("unit_no"), F.col("x.license").alias("license"), (-F.col("x.less")).alias("dice"))
+    shown = F.coalesce(shown | _dice(known, F.transform("ws", lambda w: w["w"]), threshold), F.lit(False))
+    rows = rows.select("key", F.struct((-F.col("best.dice")).alias("less"), (-F.col("best.n")).alias("short"), "license", "a", "z", shown.alias("shown")).alias("x"))
+    # what overlaps a better one goes; the windows of one row meet here
+    rows = rows.groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    apart = F.aggregate("xs", F.slice("xs", 1, 0), lambda s, x: F.when(F.exists(s, lambda y: (x["a"] <= y["z"]) & (y["a"] <= x["z"])), s).otherwise(F.concat(s, F.array(x))))
+    rows = rows.select("key", F.explode(apart).alias("x")).where(~F.col("x.shown"))
+    return rows.select("key.doc_id", F.lit("window").alias("unit"), F.col("x.a").cast("long").alias("unit_no"), F.col("x.license").alias("license"), (-F.col("x.less")).alias("dice"))
 
 
 def oracle_sql(docs: str = "documents", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The scan in DuckDB SQL."""
-    rows = []
+    """The scan in DuckDB SQL, windows included."""
+    rows, grams = [], []
     for k, v in sorted(templates.items()):
         b = bigrams(v)
         lo, hi = bounds(len(b), threshold)
-        rows.append(f"('{k}', {len(b)}, {lo}, {hi}, [{', '.join(repr(x) for x in sorted(set(b)))}])")
+        rows.append(f"('{k}', {len(b)}, {lo}, {hi}, {least_common(b, lo, threshold)})")
+        grams += [f"('{k}', {x!r}, {m})" for x, m in sorted(Counter(b).items())]
     parts = {
         "line": ("string_split(clean, chr(10))", "true"),
         "paragraph": ("regexp_split_to_array(clean, '\\n\\n+')", "contains(p, chr(10))"),
         "text": ("[clean]", "contains(p, chr(10) || chr(10))"),
     }
     units = " UNION ALL ".join(
-        f"SELECT doc_id, '{u}' AS unit, CAST(i AS BIGINT) AS unit_no, p FROM (SELECT doc_id, unnest({a}) AS p, generate_subscripts({a}, 1) AS i FROM c) WHERE {w}" for u, (a, w) in parts.items()
+        f"SELECT doc_id, row, '{u}' AS unit, CAST(i AS BIGINT) AS unit_no, p FROM (SELECT doc_id, row, unnest({a}) AS p, generate_subscripts({a}, 1) AS i FROM c) WHERE {w}" for u, (a, w) in parts.items()
+    )
+    # passages of every unit around a window: its line, what stands between empty lines, and the text
+    inside = "len(list_filter(blank, lambda i: i BETWEEN p AND q)) = 0 AND"
+    around = {
+        "p = q": "line = p",
+        f"{inside} true": "line > coalesce(list_max(list_filter(blank, lambda i: i < p)), -1) AND line < coalesce(list_min(list_filter(blank, lambda i: i > p)), 2147483647)",
+        "true": "true",
+    }
+    shown = " UNION ALL ".join(
+        f"SELECT row, license, a, z, {k} AS k, list(w.w ORDER BY w.i) AS w FROM edge JOIN w USING (row) WHERE {ok} AND {holds} GROUP BY ALL" for k, (ok, holds) in enumerate(around.items())
     )
-    return f"""WITH t(license, size, lo, hi, bag) AS (VALUES {', '.join(rows)}),
-c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ') AS clean FROM {docs} WHERE text IS NOT NULL),
-u AS ({units}),
-w AS (SELECT doc_id, unit, unit_no, string_split(regexp_replace(trim(p, ' '), '\\n+', ' ', 'g'), ' ') AS w FROM u),
-n AS (SELECT *, len(w) - 1 AS n, list_distinct([w[i] || ' ' || w[i + 1] for i in generate_series(1, len(w) - 1)]) AS b FROM w WHERE len(w) BETWEEN (SELECT min(lo) FROM t) + 1 AND (SELECT max(hi) FROM t) + 1),
-s AS (SELECT doc_id, unit, unit_no, license, len(list_intersect(bag, b)) * 2.0::DOUBLE / (size + n) AS dice FROM n JOIN t ON n BETWEEN lo AND hi),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, license) AS place FROM s WHERE dice >= {threshold}::DOUBLE)
-SELECT doc_id, unit, unit_no, license, dice FROM k WHERE place = 1"""
+    return f"""WITH t(license, size, lo, hi, need) AS MATERIALIZED (VALUES {', '.join(rows)}),
+g(license, b, m) AS MATERIALIZED (VALUES {', '.join(grams)}),
+c AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ') AS clean FROM {docs} WHERE text IS NOT NULL),
+u AS (SELECT row_number() OVER () AS id, doc_id, unit, unit_no, string_split(trim(regexp_replace(p, '\\n+', ' ', 'g'), ' '), ' ') AS w FROM ({units})),
+n AS MATERIALIZED (SELECT id, doc_id, unit, unit_no, len(w) - 1 AS n, w FROM u WHERE len(w) BETWEEN (SELECT min(lo) FROM t) + 1 AND (SELECT max(hi) FROM t) + 1),
+nb AS (SELECT id, n, b, count(*) AS m FROM (SELECT id, n, unnest([w[i] || ' ' || w[i + 1] for i in generate_series(1, len(w) - 1)]) AS b FROM n) WHERE b IN (SELECT b FROM g) GROUP BY ALL),
+s AS (SELECT id, license, CAST(sum(least(nb.m, g.m)) AS BIGINT) * 2.0::DOUBLE / (any_value(size) + any_value(n)) AS dice FROM nb JOIN g USING (b) JOIN t USING (license) WHERE n BETWEEN lo AND hi GROUP BY id, license),
+k AS (SELECT doc_id, unit, unit_no, license, dice FROM s JOIN n USING (id) WHERE dice >= {threshold}::DOUBLE QUALIFY row_number() OVER (PARTITION BY id ORDER BY dice DESC, license) = 1),
+l AS MATERIALIZED (SELECT row, i - 1 AS line, x FROM (SELECT row, unnest(string_split(clean, chr(10))) AS x, generate_subscripts(string_split(clean, chr(10)), 1) AS i FROM c)),
+w AS MATERIALIZED (SELECT row, line, w, row_number() OVER (PARTITION BY row ORDER BY line, j) AS i FROM (SELECT row, line, unnest(string_split(x, ' ')) AS w, generate_subscripts(string_split(x, ' '), 1) AS j FROM l) WHERE w <> ''),
+h AS MATERIALIZED (SELECT row, license, b, g.m, i AS at, row_number() OVER (PARTITION BY row, license, b ORDER BY i) AS r, row_number() OVER (PARTITION BY row, license ORDER BY i) AS o
+ FROM (SELECT row, i, w || ' ' || lead(w) OVER (PARTITION BY row ORDER BY i) AS b FROM w) JOIN g USING (b)),
+f AS MATERIALIZED (SELECT h.row, h.license, h.at, h.o, coalesce(e.at, 0) AS before FROM h LEFT JOIN h e ON e.row = h.row AND e.license = h.license AND e.b = h.b AND e.r = h.r - h.m),
+d AS (SELECT f.row, license, f.at AS a, f.o, size, lo, hi FROM f JOIN t USING (license) JOIN f y ON y.row = f.row AND y.license = f.license AND y.o = f.o + need - 1 AND y.at - f.at < hi),
+v AS (SELECT d.row, d.license, a, f.at + 1 AS z, f.at - a + 1 AS n, lo, size, CAST(sum(CASE WHEN before < a THEN 1 ELSE 0 END) OVER (PARTITION BY d.row, d.license, a ORDER BY f.at) AS BIGINT) AS common
+ FROM d JOIN f ON f.row = d.row AND f.license = d.license AND f.o >= d.o AND f.at - a < hi),
+x AS (SELECT row, license, a, z, n, common * 2.0::DOUBLE / (size + n) AS dice FROM v WHERE n >= lo AND common * 2.0::DOUBLE / (size + n) >= {threshold}::DOUBLE QUALIFY row_number() OVER (PARTITION BY row, license, a ORDER BY dice DESC, n DESC) = 1),
+xs AS (SELECT row, list_reduce(list([{{'a': a, 'z': z, 'license': license, 'dice': dice}}] ORDER BY dice DESC, n DESC, license, a), lambda s, y: CASE WHEN len(list_filter(s, lambda k: k.a <= y[1].z AND y[1].a <= k.z)) > 0 THEN s ELSE s || y END) AS xs FROM x GROUP BY row),
+one AS (SELECT row, y.a AS a, y.z AS z, y.license AS license, y.dice AS dice FROM (SELECT row, unnest(xs) AS y FROM xs)),
+e AS (SELECT row AS own, coalesce(list(line) FILTER (WHERE x = ''), []) AS blank FROM l GROUP BY row),
+edge AS (SELECT one.*, p.line AS p, q.line AS q, blank FROM one JOIN w p ON p.row = one.row AND p.i = a JOIN w q ON q.row = one.row AND q.i = z JOIN e ON own = one.row),
+ab AS (SELECT row, a, k, n, b, count(*) AS m FROM (SELECT row, a, k, len(w) - 1 AS n, unnest([w[i] || ' ' || w[i + 1] for i in generate_series(1, len(w) - 1)]) AS b FROM ({shown})) WHERE b IN (SELECT b FROM g) GROUP BY ALL),
+gone AS (SELECT DISTINCT row, a FROM (SELECT row, a, k, license, sum(least(ab.m, g.m)) * 2.0::DOUBLE / (any_value(size) + any_value(n)) AS dice FROM ab JOIN g USING (b) JOIN t USING (license) WHERE n BETWEEN lo AND hi GROUP BY ALL) WHERE dice >= {threshold}::DOUBLE)
+SELECT doc_id, unit, unit_no, license, dice FROM k
+UNION ALL SELECT doc_id, 'window', CAST(a AS BIGINT), license, dice FROM one JOIN c USING (row) WHERE NOT EXISTS (FROM gone WHERE gone.row = one.row AND gone.a = one.a)"""
