@@ -109,8 +109,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     lower, clues = F.lower("text"), clue_words({k: (b, lo) for k, (b, (lo, _)) in sizes.items()}, threshold)
     hinted = lambda c: reduce(lambda a, b: a | b, (c.contains(w) for w in clues))
     clean = F.trim(F.regexp_replace(F.regexp_replace(lower, r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n"))
-    # a generator is evaluated once, however often its column is used after it; texts without a clue word are read once
-    texts = written(docs.where(hinted(lower)).select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.array(clean)).alias("clean")), "license-texts")
+    # a generator is evaluated once, however often its column is used after it; texts without a clue word are read once, and
+    # put into lower case once
+    texts = written(docs.where(F.exists(F.array(lower), hinted)).select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.array(clean)).alias("clean")), "license-texts")
     units = {"line": F.split("clean", "\n"), "paragraph": F.split("clean", "\n\n+"), "text": F.array("clean")}
     blank = {"line": lambda x: F.lit(True), "paragraph": lambda x: x.contains("\n"), "text": lambda x: x.contains("\n\n")}
 
