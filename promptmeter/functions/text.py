@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pandas as pd
 from pyspark.sql import Column
@@ -135,3 +136,41 @@ def quoted(text) -> Column:
     """A JSON string."""
     whole = F.to_json(F.array(_c(text)))
     return whole.substr(F.lit(2), F.length(whole) - 2)
+
+
+class _Number(str):
+    """A number as it was written."""
+
+
+def _plain_json(value) -> str:
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_plain_json(k)}:{_plain_json(v)}" for k, v in sorted(value.items(), key=lambda x: x[0].encode("utf-8", "surrogatepass"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_plain_json, value)) + "]"
+    return value if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+
+
+def plain_json(text: str | None) -> str | None:
+    """A JSON text with the keys of all its objects in byte order, the last value of a repeated key and no blanks.
+
+    Numbers stay as they are written; null where the text is no JSON, is nested too deeply to be read, or names
+    half of a surrogate pair.
+    """
+    try:
+        out = None if text is None else _plain_json(json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_refuse))
+        return out and out.encode().decode()
+    except (ValueError, RecursionError):
+        return None
+
+
+def _refuse(name: str):
+    raise ValueError(f"no JSON: {name}")
+
+
+def sorted_json(text) -> Column:
+    """`plain_json` of a column."""
+
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series([plain_json(t) for t in texts], dtype=object)
+
+    return F.pandas_udf(each, "string")(_c(text))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import bpe, models, pretok, text, utf8
+from ..functions import bpe, models, pretok, signatures, text, utf8
 from ..operators import costs, encoding, fairness, focus, governance, render, tariffs, usage
 from ..sources import config, pricing
 from ..sources.cut import shared_dir
@@ -610,6 +611,24 @@ def q_discovered(spark, sf_dir):
     return d.where(is_prompt_path("path")).groupBy("path").agg(F.count("*").alias("n"))
 
 
+def q_signed_files(spark, sf_dir):
+    """What the signatures of files say: of every four one is sound, one of other bytes, one's comment was changed, one is of another key."""
+    seed, key_id = b"\1" * 32, b"promptme"
+    key = base64.b64encode(b"Ed" + key_id + signatures.public_key(seed)).decode()
+    k, data = F.col("doc_id") % 4, F.col("content").cast("binary")
+    d = _docs(spark, sf_dir).withColumn("mine", signatures.signature_files(data, seed, key_id, "prices"))
+    other = F.replace("mine", F.lit("\nRURwc"), F.lit("\nRURwA"))  # the record's first bytes with another key id
+    changed = F.when(k == 3, other).when(k == 2, F.replace("mine", F.lit("\ntrusted comment: "), F.lit("\ntrusted comment: my "))).otherwise(F.col("mine"))
+    d = d.select("doc_id", F.when(k == 1, F.concat("content", F.lit(" "))).otherwise(F.col("content")).cast("binary").alias("data"), changed.alias("signature"))
+    return d.select("doc_id", signatures.signature_state(F.col("data"), F.col("signature"), key).alias("state"))
+
+
+def q_sorted_json(spark, sf_dir):
+    """Nested JSON with keys in byte order at all depths; the last of two values of a key stays."""
+    raw = F.format_string('{"z": {"b": %d, "a": [1.50, {"y": null, "x": true}]}, "é": "%s", "Z": -0.0, "a": "old", "a": "%s", "lang": {}}', "doc_id", F.md5("content"), "source")
+    return _docs(spark, sf_dir).select("doc_id", text.sorted_json(raw).alias("json"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("q_")}
 
@@ -658,6 +677,8 @@ def oracle_sql() -> dict[str, str]:
         "q_formats": f"SELECT doc_id, {unit('n')} AS size, {unit('big')} AS large, CASE WHEN a < 0 THEN '-' ELSE '' END || CAST(abs(a) // 1000000000000 AS VARCHAR) || '.' || lpad(CAST(abs(a) % 1000000000000 AS VARCHAR), 12, '0') AS amount, n / 1000000.0::DOUBLE / 0.25::DOUBLE AS mb_s, CASE WHEN doc_id % 3 = 0 THEN 0.0::DOUBLE ELSE n::DOUBLE / (doc_id % 3) END AS ratio FROM (SELECT *, CAST(round((n - 2000) / 1000000.0::DOUBLE * 1000000000000.0::DOUBLE) AS BIGINT) AS a FROM {sized})",
         "q_budget_percent": "SELECT o_orderkey, o_totalprice / 150000.0::DOUBLE * 100 AS percent_some, o_totalprice > 150000.0::DOUBLE AS over_some, CAST(NULL AS DOUBLE) AS percent_none, false AS over_none, CAST(NULL AS DOUBLE) AS percent_zero, o_totalprice > 0 AS over_zero FROM orders",
         "q_price_file": _price_file_sql(),
+        "q_signed_files": f"SELECT doc_id, ['valid', 'invalid signature', 'valid, comment not verified', 'key mismatch'][CAST(doc_id % 4 + 1 AS INT)] AS state FROM {_DOCS}",
+        "q_sorted_json": f"""SELECT doc_id, '{{"Z":-0.0,"a":"' || source || '","lang":{{}},"z":{{"a":[1.50,{{"x":true,"y":null}}],"b":' || doc_id || '}},"é":"' || md5(content) || '"}}' AS json FROM {_DOCS}""",
         "q_piece_table": f"SELECT piece, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(content, '[^ ]+| ')) AS piece FROM {_DOCS}) GROUP BY piece",
         "q_pretok_digits": f"SELECT doc_id, n AS cl100k, n AS o200k FROM (SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(content, '[0-9]+'), lambda x: (length(x) + 2) // 3)), 0) AS BIGINT) AS n FROM {_DOCS})",
         "q_bytes_text": f"SELECT doc_id, md5(t) AS md5, length(t) AS chars FROM (SELECT doc_id, repeat(chr(65533), 2) || content || repeat(chr(65533), 4) AS t FROM {_DOCS})",
